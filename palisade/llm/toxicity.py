@@ -2,7 +2,8 @@
 
 The terms of a document are its lower-cased words and their first four and
 five letters, each known by a hash of 32 bits. Terms whose rate differs between
-the classes of the training sample (Z standard errors or more) enter the model:
+the classes of the training sample (LIFT times or more, and by a likelihood ratio
+beyond what the largest of so many terms reaches by chance) enter the model:
 
     score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)   over present terms i, j
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from palisade.llm.bpe import worker_memo
 
-SAMPLE, MOST_TERMS, Z, THRESHOLD, KEPT_WORDS = 3000, 4096, 4.0, 0.7, 300_000
-FACTORS, EPOCHS, BATCH, RATE, SHRINK, SEED = 4, 30, 100, 0.1, 1e-4, 7
+SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 300_000
+FACTORS, EPOCHS, BATCH, RATE, SHRINK, SEED = 4, 60, 100, 0.2, 2e-5, 7
 WORD = re.compile(r"\w+")
 
 
@@ -70,7 +71,13 @@ class FactorizationMachine:
 
     @classmethod
     def fitted(cls, docs: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> FactorizationMachine:
-        """docs: the hashed terms of each row, distinct; y: 0 or 1."""
+        """docs: the hashed terms of each row, sorted and distinct; y: 0 or 1.
+
+        Near copies mostly share their two smallest hashes; one of them is learnt
+        from, or the words of a text copied often would pass for signs of its class.
+        """
+        alone = sorted({(int(c), *d[:2].tolist()): i for i, (d, c) in reversed(list(enumerate(zip(docs, y, strict=True))))}.values())
+        docs, y = [docs[i] for i in alone], y[alone]
         n1, n0 = float((y == 1).sum()), float((y == 0).sum())
         if not n1 or not n0:
             share = n1 / (n1 + n0) if n1 + n0 else 0.0
@@ -79,11 +86,14 @@ class FactorizationMachine:
         terms, where = np.unique(np.concatenate(docs) if lengths.sum() else np.zeros(0, np.int64), return_inverse=True)
         label = np.repeat(y, lengths)
         has1, has0 = np.bincount(where[label == 1], minlength=len(terms)), np.bincount(where[label == 0], minlength=len(terms))
-        p = (has1 + has0) / (n1 + n0)
-        z = np.abs(has1 / n1 - has0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        z[has1 + has0 < 5] = 0
-        chosen = np.sort(np.argsort(-z, kind="stable")[:MOST_TERMS])
-        chosen = chosen[z[chosen] >= Z]
+        common = has1 + has0 >= LEAST_ROWS
+        with np.errstate(divide="ignore", invalid="ignore"):  # log-likelihood ratio of the class's rate against one rate for all
+            parts = [np.where(h > 0, h * np.log(h * (n1 + n0) / ((has1 + has0) * n)), 0) for h, n in ((has1, n1), (has0, n0))]
+        gain = 2 * (parts[0] + parts[1])
+        lift = np.abs(np.log(((has1 + 0.5) / n1) / ((has0 + 0.5) / n0)))
+        gain[~common | (lift < np.log(LIFT)) | (gain < 2 * np.log(max(2, common.sum())) + GAIN)] = 0
+        chosen = np.sort(np.argsort(-gain, kind="stable")[:MOST_TERMS])
+        chosen = chosen[gain[chosen] > 0]
         local = np.full(len(terms), -1)
         local[chosen] = np.arange(len(chosen))
         rows = [r[r >= 0] for r in np.split(local[where], np.cumsum(lengths)[:-1])]
@@ -91,15 +101,24 @@ class FactorizationMachine:
 
     @staticmethod
     def _trained(rows: list[np.ndarray], y: np.ndarray, n: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-        """Adagrad on the log loss; row n of the parameters is the bias, present everywhere, and has no factors."""
+        """Adagrad on the log loss; row n of the parameters is the bias, present everywhere, and has no factors.
+
+        Each time, a row shows a random part of its terms, so that a term which mostly
+        comes with others still carries weight alone.
+        """
+
+        def part_of(row: np.ndarray) -> np.ndarray:
+            shown = row[rng.random(len(row)) < rng.random()]
+            return shown if len(shown) or not len(row) else row[rng.integers(len(row), size=1)]
+
         rng = np.random.default_rng(seed)
         w, v = np.zeros(n + 1), rng.normal(0, 0.01, (n + 1, FACTORS))
         v[n] = 0
         gw, gv = np.full(n + 1, 1e-6), np.full((n + 1, FACTORS), 1e-6)
         for _ in range(EPOCHS):
             for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
-                at = np.concatenate([np.append(rows[i], n) for i in part])
-                size = np.array([len(rows[i]) + 1 for i in part])
+                shown = [np.append(part_of(rows[i]), n) for i in part]
+                at, size = np.concatenate(shown), np.array([len(r) for r in shown])
                 starts = np.cumsum(size) - size
                 doc = np.repeat(np.arange(len(part)), size)
                 here = v[at]
