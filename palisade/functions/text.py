@@ -123,3 +123,14 @@ def evidence_month(name: Column) -> Column:
 def percent(part: Column, whole: Column, half_even: bool = False) -> Column:
     share = F.when(whole > 0, part * 100.0 / whole).otherwise(0.0)
     return (F.bround(share) if half_even else F.floor(share + 0.5)).cast("int")
+
+
+def isolated_count(c: Column) -> Column:
+    """The number a text consists of, the letter O read as 0; NULL for anything else."""
+    t = F.regexp_replace(F.trim(c), r"^[:=]\s*", "")
+    return F.when(t.isin("o", "O"), F.lit(0).cast("bigint")).when(F.rlike(t, F.lit(r"\A[0-9]{1,7}\z")), t.try_cast("bigint"))
+
+
+def is_no_count(c: Column) -> Column:
+    """Whether a text shows a date, a clock time or a dotted version, so that its numbers are no counts."""
+    return F.rlike(c, F.lit(r"\b[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}\b|\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b|\b[0-9]{3,}\.[0-9]+\b"))
