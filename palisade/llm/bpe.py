@@ -21,6 +21,7 @@ import base64
 import heapq
 import sys
 import types
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered by a worker, and characters of the documents replayed together.
-KEPT_WORDS, BLOCK_CHARS = 400_000, 1 << 21
+KEPT_WORDS, BLOCK_CHARS = 300_000, 1 << 22
 
 #: Unicode's White_Space, which \s means to the tokenizer; Python's \s has U+001C to U+001F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -62,21 +63,27 @@ def exact_space(pattern: str) -> str:
 
 
 def worker_memo(key: str) -> dict:
-    """A dict that outlives the task: workers unpickle functions anew for each."""
-    home = sys.modules.setdefault("_palisade_memo", types.ModuleType("_palisade_memo"))
-    return home.__dict__.setdefault(key, {})
+    """A dict that outlives the task, as workers unpickle functions anew for each; another operator's takes its place."""
+    home = sys.modules.setdefault("_palisade_memo", types.ModuleType("_palisade_memo")).__dict__.setdefault("held", {})
+    if key not in home:
+        home.clear()
+        home[key] = {}
+    return home[key]
 
 
 class MergeReplay:
     """Encodes words by replaying merges over all of them at once."""
 
+    #: Positions of one rank from which they are merged as arrays.
+    MANY = 12
+
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.ranks = ranks
-        self.single = np.array([ranks[bytes([b])] for b in range(256)])
-        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)])
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.double = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
         self.pairs: dict[int, int] = {}
 
     def rank_of(self, a: int, b: int) -> int:
@@ -84,75 +91,120 @@ class MergeReplay:
         key = a << 32 | b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, packed as little-endian unsigned 32-bit integers."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1)  # of each word's closing mark; a mark stands at 0 too
-        laid = np.frombuffer(b"\0" + b"\0".join(words) + b"\0" * bool(words), np.uint8).astype(np.int64)
-        start = self.single[laid]
-        start[0] = -1
-        start[ends] = -1
-        inside = (start[:-1] >= 0) & (start[1:] >= 0)
-        found = np.where(inside, self.double[laid[:-1] << 8 | laid[1:]], -1)
-        order = np.argsort(found, kind="stable")
-        order = order[np.searchsorted(found[order], 0) :]
-        cuts = np.flatnonzero(np.diff(found[order])) + 1
-        index: dict[int, list[int]] = {int(found[part[0]]): part.tolist() for part in np.split(order, cuts) if len(part)}
-        token, n = start.tolist(), len(start)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_of, known = self.rank_of, self.pairs.get
-        todo = list(index)
-        heapq.heapify(todo)
-        while todo:
-            rank = heapq.heappop(todo)
-            positions = index.pop(rank, None)
-            if positions is None:
+        state = _Replay(self, words)
+        while state.todo:
+            rank = heapq.heappop(state.todo)
+            places = state.index.pop(rank, None)
+            if places is None:
                 continue
-            positions.sort()
-            for k, at in enumerate(positions):
-                a, right = token[at], after[at]
-                if a < 0 or right >= n:
-                    continue
-                b = token[right]
-                if b < 0 or (known(a << 32 | b) or rank_of(a, b)) != rank:
-                    continue  # a neighbour was merged meanwhile
-                token[at], token[right] = rank, -2
-                beyond, behind = after[right], before[at]
-                after[at], before[beyond] = beyond, at
-                lower = False
-                x, y = token[behind], token[beyond]
-                if x >= 0:
-                    made = known(x << 32 | rank) or rank_of(x, rank)
-                    if made >= 0:
-                        lower = made <= rank
-                        if made in index:
-                            index[made].append(behind)
-                        else:
-                            index[made] = [behind]
-                            heapq.heappush(todo, made)
-                if y >= 0:
-                    made = known(rank << 32 | y) or rank_of(rank, y)
-                    if made >= 0:
-                        lower |= made <= rank
-                        if made in index:
-                            index[made].append(at)
-                        else:
-                            index[made] = [at]
-                            heapq.heappush(todo, made)
-                if lower:  # that pair comes before the other positions of this rank
-                    index.setdefault(rank, []).extend(positions[k + 1 :])
-                    heapq.heappush(todo, rank)
-                    break
-        left = np.array(token, np.int64)
-        stays = left >= 0
+            if len(places) == 1 and isinstance(places[0], int):
+                state.merge_one(rank, places[0])
+            else:
+                state.merge(rank, places)
+        return state.packed()
+
+
+class _Replay:
+    """The words of a block in one array of tokens, linked, with the inverted index from ranks to positions.
+
+    token is -1 between words and -2 where a merge has taken a token away; pair
+    holds the rank of the pair that begins at a position, or -1. Of the positions
+    of a rank each word merges its leftmost; the others wait, as the pair that the
+    merge makes may come before them.
+    """
+
+    def __init__(self, owner: MergeReplay, words: list[bytes]):
+        self.rank_of = owner.rank_of
+        self.lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(self.lengths + 1)  # of each word's closing mark; a mark stands at 0 too
+        laid = np.frombuffer(b"\0" + b"\0".join(words) + b"\0" * bool(words), np.uint8)
+        n = len(laid)
+        token = owner.single[laid]
+        token[0] = -1
+        token[self.ends] = -1
+        pair = np.full(n, -1, np.int32)
+        inside = (token[:-1] >= 0) & (token[1:] >= 0)
+        pair[:-1][inside] = owner.double[(laid[:-1].astype(np.int32) << 8 | laid[1:])[inside]]
+        # arrays for single positions, views of the same memory for many
+        self.token_, self.pair_ = array("i", token.tobytes()), array("i", pair.tobytes())
+        self.after_, self.before_ = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes()), array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        self.token, self.pair, self.after, self.before = (np.frombuffer(x, np.int32) for x in (self.token_, self.pair_, self.after_, self.before_))
+        self.index: dict[int, list] = {}
+        self.todo: list[int] = []
+        at = np.flatnonzero(pair >= 0).astype(np.int32)
+        self.enter(at, pair[at])
+
+    def put(self, rank: int, place) -> None:
+        if rank in self.index:
+            self.index[rank].append(place)
+        else:
+            self.index[rank] = [place]
+            heapq.heappush(self.todo, rank)
+
+    def enter(self, at: np.ndarray, ranks: np.ndarray) -> None:
+        """Put positions under their ranks, without those of rank -1."""
+        at, ranks = at[ranks >= 0], ranks[ranks >= 0]
+        if len(at):
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.concatenate(([0], np.flatnonzero(ranks[1:] != ranks[:-1]) + 1, [len(at)])).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                self.put(int(ranks[i]), at[i:j] if j - i > 1 else int(at[i]))
+
+    def merge_one(self, rank: int, at: int) -> None:
+        token, after, pair = self.token_, self.after_, self.pair_
+        if pair[at] != rank:
+            return  # a neighbour was merged meanwhile
+        gone = after[at]
+        beyond, behind = after[gone], self.before_[at]
+        token[at], token[gone], pair[gone] = rank, -2, -1
+        after[at], self.before_[beyond] = beyond, at
+        x, y = token[behind], token[beyond]
+        if x >= 0:
+            made = pair[behind] = self.rank_of(x, rank)
+            if made >= 0:
+                self.put(made, behind)
+        made = pair[at] = self.rank_of(rank, y) if y >= 0 else -1
+        if made >= 0:
+            self.put(made, at)
+
+    def merge(self, rank: int, places: list) -> None:
+        at = np.concatenate([np.atleast_1d(np.asarray(p, np.int32)) for p in places]) if len(places) > 1 else places[0]
+        at = np.unique(at[self.pair[at] == rank])
+        if not len(at):
+            return
+        word = np.searchsorted(self.ends, at)
+        first = np.concatenate(([True], word[1:] != word[:-1]))
+        rest, at = at[~first], at[first]
+        if len(rest):
+            self.put(rank, rest if len(rest) > 1 else int(rest[0]))
+        if len(at) < MergeReplay.MANY:
+            for one in at.tolist():
+                self.merge_one(rank, one)
+            return
+        gone = self.after[at]
+        beyond, behind = self.after[gone], self.before[at]
+        self.token[at], self.token[gone], self.pair[gone] = rank, -2, -1
+        self.after[at], self.before[beyond] = beyond, at
+        for here, other, left in ((behind, behind, True), (at, beyond, False)):
+            near = self.token[other]
+            kinds, which = np.unique(near, return_inverse=True)
+            made = np.array([-1 if t < 0 else self.rank_of(t, rank) if left else self.rank_of(rank, t) for t in kinds.tolist()], np.int32)[which]
+            self.pair[here[near >= 0] if left else here] = made[near >= 0] if left else made
+            self.enter(here, made)
+
+    def packed(self) -> list[bytes]:
+        stays = self.token >= 0
         upto = np.concatenate(([0], np.cumsum(stays))) * 4
-        blob = left[stays].astype("<u4").tobytes()
-        from_, to = upto[ends - lengths].tolist(), upto[ends].tolist()
+        blob = self.token[stays].astype("<u4").tobytes()
+        from_, to = upto[self.ends - self.lengths].tolist(), upto[self.ends].tolist()
         return [blob[a:b] for a, b in zip(from_, to, strict=True)]
 
 
@@ -184,38 +236,51 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full.findall(text) if high(text) else fast.findall(text)
 
 
+class KnownWords:
+    """Ids of words, remembered in two generations of half the bound each: what is used again survives."""
+
+    def __init__(self, replay: MergeReplay, most: int):
+        self.replay, self.half = replay, most // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of all words of a block."""
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        fresh = [w for w in words if w not in young]
+        unknown = []
+        for w in fresh:
+            if w in old:
+                young[w] = old[w]
+            else:
+                unknown.append(w)
+        young.update(zip(unknown, self.replay.encode([w.encode() for w in unknown]), strict=True))
+        return young
+
+
 def encode_batches(ranks: dict[bytes, int], pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(f"bpe-{hash(pattern)}-{len(ranks)}-{hash(frozenset(ranks.items()))}")
         if not memo:
-            memo |= {"replay": MergeReplay(ranks), "split": splitter(pattern), "known": {}}
-        replay, split = memo["replay"], memo["split"]
+            memo |= {"split": splitter(pattern), "known": KnownWords(MergeReplay(ranks), KEPT_WORDS)}
+        split, known = memo["split"], memo["known"]
+
+        def encoded_block(ids: pa.Array, block: list[list[str]]) -> pa.RecordBatch:
+            found = known.learn(set().union(*block)).__getitem__
+            return pa.RecordBatch.from_arrays([ids, pa.array([b"".join(map(found, words)) for words in block], pa.binary())], names=["doc_id", "ids"])
+
         for batch in batches:
-            texts = batch.column(1)
-            out: list[bytes] = []
             block: list[list[str]] = []
-            chars = 0
-
-            def flush() -> None:
-                known = memo["known"]
-                fresh = set().union(*block).difference(known)
-                if len(known) + len(fresh) > KEPT_WORDS:
-                    known = memo["known"] = {}
-                    fresh = set().union(*block)
-                words = list(fresh)
-                known.update(zip(words, replay.encode([w.encode() for w in words]), strict=True))
-                out.extend(b"".join(map(known.__getitem__, words)) for words in block)
-                block.clear()
-
-            for text in texts:
+            chars = start = 0
+            for i, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 block.append(split(text))
                 chars += len(text)
-                if chars >= BLOCK_CHARS:
-                    flush()
-                    chars = 0
-            flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+                if chars >= BLOCK_CHARS or i + 1 == batch.num_rows:
+                    yield encoded_block(batch.column(0).slice(start, len(block)), block)
+                    start, chars, block = i + 1, 0, []
 
     return run
 
@@ -225,6 +290,8 @@ def decode_batches(tokens: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_buffer() or b"", "<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+            decoded = batch = None
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -241,11 +308,18 @@ def decoded(ids: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return ids.mapInArrow(decode_batches(tokens), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: decoded() of encoded() in one pass, so the ids meet one Python worker only."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    encode, decode = encode_batches(ranks, pattern), decode_batches(MergeReplay(ranks).tokens)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    both = decoded(encoded(docs, ranks, public_tokenizers.PATTERN), ranks)
+    both = round_trip(docs, ranks, public_tokenizers.PATTERN)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
