@@ -121,7 +121,7 @@ class RandomStrings:
         ratio = CharMarkov(secret).logp - CharMarkov(ordinary[back:]).logp
         made = cls(ratio, 0.0)
         seen = [made.mean(s) for s in ordinary[:back] if len(s) >= 12]
-        made.threshold = max(seen, default=0.0) + MARGIN
+        made.threshold = max(0.0, max(seen, default=0.0) + MARGIN)
         return made
 
 

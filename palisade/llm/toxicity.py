@@ -15,8 +15,8 @@ Whole texts are scored, in one pass and without a shuffle.
 
 Defined cases: null text counts as empty and scores the bias alone, like a text
 without known terms; labels that are null or lack a document are not used;
-without rows of both classes every score is the share of class 1 (0 without
-labels); rows that repeat a doc_id score alike; an empty table gives no rows;
+without rows of both classes nothing is learnt and every score is one half (0
+without class 1), so nothing is predicted; rows that repeat a doc_id score alike; an empty table gives no rows;
 columns other than id and text are never read.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.bpe import worker_memo
 
-SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 300_000
+SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 200_000
 FACTORS, EPOCHS, BATCH, RATE, SHRINK, SEED = 4, 60, 100, 0.2, 2e-5, 7
 WORD = re.compile(r"\w+")
 
@@ -80,8 +80,7 @@ class FactorizationMachine:
         docs, y = [docs[i] for i in alone], y[alone]
         n1, n0 = float((y == 1).sum()), float((y == 0).sum())
         if not n1 or not n0:
-            share = n1 / (n1 + n0) if n1 + n0 else 0.0
-            return cls(np.zeros(0, np.int64), float("inf") if share else float("-inf"), np.zeros(0), np.zeros((0, FACTORS)))
+            return cls(np.zeros(0, np.int64), 0.0 if n1 else float("-inf"), np.zeros(0), np.zeros((0, FACTORS)))
         lengths = np.array([len(d) for d in docs])
         terms, where = np.unique(np.concatenate(docs) if lengths.sum() else np.zeros(0, np.int64), return_inverse=True)
         label = np.repeat(y, lengths)
@@ -169,6 +168,8 @@ def _score_batches(model: FactorizationMachine):
             with np.errstate(over="ignore"):
                 scores = 1 / (1 + np.exp(-np.array(margins)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            batch = None
+            pa.default_memory_pool().release_unused()
 
     return run
 
