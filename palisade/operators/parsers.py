@@ -18,7 +18,6 @@ from palisade.schemas import SCAN_RUN_FIELDS
 PARSER_VERSION = "structured-v2"
 DETECTED, CLEAN, WARNED, REVIEW = "Completed with detections", "Completed clean", "Completed with warnings", "Requires review"
 MTIME_USED = "No scan timestamp was present; file modification time was used as a fallback."
-NO_STRINGS = F.lit(None).cast("array<string>")
 
 
 def run_rows(df: DataFrame, vendor: str, **cols: Column) -> DataFrame:

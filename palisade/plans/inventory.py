@@ -1,8 +1,9 @@
 """The monthly inventory as one plan: evidence files to verdicts, matches, coverage and a summary.
 
-Each step is a DataFrame; nothing runs before a caller asks. Files are parsed in
-the partition they were read in. Entries are few against their contents, so they
-are persisted once and joined by system, path and place.
+Each step is a DataFrame. Files are parsed in the partition they were read in. The
+classified texts, the runs, the entries and the edges are each read by several
+later steps; they are cut there, so that no plan holds another and no file is
+parsed twice.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions.text import evidence_month, file_name
+from palisade.lineage import cut
 from palisade.operators import checklist, classify, coverage, matching, ocr, parsers, paths, reconcile, verdicts
 from palisade.sources.evidence import content_error, csv_rows, decoded_text, pdf_text
 
@@ -26,9 +28,9 @@ def structured_runs(files: DataFrame, pages: DataFrame | None = None) -> DataFra
         texts = texts.unionByName(pdf_text(pages).where("not too_long").select("source_id", "text"))
     docs = base.drop("content").join(texts, "source_id")
     is_csv = F.lower(file_name(F.col("path"))).endswith(".csv")
-    rows = csv_rows(docs.where(is_csv).select("source_id", "text").dropDuplicates(["source_id"]))
+    rows = cut(csv_rows(docs.where(is_csv).select("source_id", "text").dropDuplicates(["source_id"])))
     headers = rows.groupBy("source_id").agg(F.first("headers").alias("headers"))
-    docs = classify.classified(docs.join(headers, "source_id", "left"), "text", "headers").withColumn("vendor", F.col("classification.vendor"))
+    docs = cut(classify.classified(docs.join(headers, "source_id", "left"), "text", "headers").select("source_id", "path", "month", "mtime", "kind", "text", F.col("classification.vendor").alias("vendor")))
     once = docs.dropDuplicates(["source_id"])
     of = lambda vendor: once.where(F.col("vendor") == vendor)
     pdf = F.col("kind") == "pdf"
@@ -52,7 +54,7 @@ def structured_runs(files: DataFrame, pages: DataFrame | None = None) -> DataFra
         all_runs = all_runs.unionByName(more)
     named = docs.select(F.col("source_id").alias("source_file_id"), "path", "month")
     joined = all_runs.join(named, "source_file_id")
-    return verdicts.in_evidence_month(joined, evidence_month(F.col("month")), "path")
+    return cut(verdicts.in_evidence_month(joined, evidence_month(F.col("month")), "path"))
 
 
 def entries(files: DataFrame, thresholds: dict[str, float] | None = None, strictness: str = "high", pages: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
@@ -90,10 +92,10 @@ def entries(files: DataFrame, thresholds: dict[str, float] | None = None, strict
 
 def monthly(files: DataFrame, cells: DataFrame | None = None, human_verdicts: DataFrame | None = None, **options) -> dict[str, DataFrame]:
     """The whole month: entries, edges, assignments, tree, missing, reconciliation, summary."""
-    found = reconcile.with_companions(entries(files, **options))
+    found = cut(reconcile.with_companions(entries(files, **options)))
     spark = files.sparkSession
     rows = checklist.checklist_rows(cells) if cells is not None else spark.createDataFrame([], "id string, system string, location string, item string, pc_name string, tokens array<string>, av_software string, dat_version string, date_scan string, virus_found string, sheet string, row int, sheet_pos int")
-    edges = matching.match_edges(found, rows)
+    rows, edges = cut(rows), cut(matching.match_edges(found, rows))
     matched = matching.match_metadata(found, edges, matching.assigned(edges))
     found = found.join(matched.select("path", "row_id", F.col("ambiguous").alias("match_ambiguous"), F.col("reason").alias("match_reason")), "path", "left")
     wanted = rows.select(F.col("id").alias("row_id"), F.col("dat_version").alias("chk_dat"), F.col("date_scan").alias("chk_date"), "virus_found")
@@ -102,7 +104,7 @@ def monthly(files: DataFrame, cells: DataFrame | None = None, human_verdicts: Da
     found = found.withColumn("checklist_mismatches", reconcile.mismatches(F.col("status"), F.col("system"), told("chk_dat"), F.col("dat_version"), told("chk_date"), F.col("last_scan"), told("virus_found")))
     verdict_rows = human_verdicts if human_verdicts is not None else spark.createDataFrame([], "path string, content_sha256 string, verdict string")
     found = reconcile.with_manual_verdicts(found, verdict_rows).withColumn("pdf_names", F.array().cast("array<string>"))
-    placed = coverage.places(found)
+    placed = cut(coverage.places(found))
     tree = coverage.tree_status(checklist.expected_tree(rows).select("system", "location", "expected"), coverage.counts(placed), coverage.unknown_systems(placed))
     return {
         "entries": placed,

@@ -19,12 +19,32 @@ DELIMITERS = ",;\t|"
 MOST_PAGES, LEAST_PAGE_CHARS = 500, 24
 
 
-def evidence_files(spark: SparkSession, root: str, most_bytes: int = 100 << 20) -> DataFrame:
-    """EVIDENCE rows with paths below root. Names that begin with . or _ are hidden from Spark's listing."""
+def evidence_files(spark: SparkSession, root: str, most_bytes: int = 100 << 20, include_empty: bool = True) -> DataFrame:
+    """EVIDENCE rows with paths below root. Names that begin with . or _ are hidden from Spark's listing.
+
+    The reader also leaves out files without bytes, which are evidence that fails to
+    parse; the driver's listing adds them, unless include_empty is off.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(EVIDENCE).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:(//)?", "")
     below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?/*", "/"), F.concat(F.lit(r"^\Q"), base, F.lit(r"\E/?")), "")
-    return files.where(F.col("length") <= most_bytes).withColumn("path", F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))))
+    found = files.where(F.col("length") <= most_bytes).withColumn("path", F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))))
+    return found.unionByName(empty_files(spark, root)) if include_empty else found
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """EVIDENCE rows of the files of length 0 below root."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    start = len(system.makeQualified(top).toUri().getPath()) + 1
+    listed, rows = system.listFiles(top, True), []
+    while listed.hasNext():
+        status = listed.next()
+        path = status.getPath().toUri().getPath()[start:]
+        if status.getLen() == 0 and not any(p.startswith((".", "_")) for p in path.split("/")):
+            rows.append((path, status.getModificationTime()))
+    df = spark.createDataFrame(rows, "path string, ms long")
+    return df.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
 def decode(data: bytes) -> tuple[str, str, list[str]]:
