@@ -80,3 +80,21 @@ def inventory_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, change (added, removed, changed) between two inventories (path, content_sha256)."""
     both = old.select("path", F.col("content_sha256").alias("a")).join(new.select("path", F.col("content_sha256").alias("b")), "path", "full")
     return both.select("path", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "changed").alias("change")).where("change is not null")
+
+
+def cached_results(pointers: DataFrame, contents: DataFrame) -> DataFrame:
+    """path and cached columns: pointers (path, content_sha256) to contents (content_sha256, ...); a path without an entry is not there."""
+    return pointers.join(contents, "content_sha256")
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    """The table without its rows, to overwrite it with."""
+    return table.limit(0)
+
+
+def portable_path(path: Column, root: str) -> Column:
+    """path relative to root with / between parts; the bare name where it lies elsewhere. Also brings old absolute keys up to date."""
+    tidy = F.replace(path, F.lit("\\"), F.lit("/"))
+    top = root.replace("\\", "/").rstrip("/") + "/"
+    relative = F.when(F.startswith(tidy, F.lit(top)), F.substring(tidy, len(top) + 1, 1 << 20))
+    return F.coalesce(relative, F.when(F.startswith(tidy, F.lit("/")) | F.rlike(tidy, F.lit("^[A-Za-z]:")), F.element_at(F.split(tidy, "/"), -1)), tidy)

@@ -98,7 +98,9 @@ class WorkbookReader(DataSourceReader):
         found = [self.path] if os.path.isfile(self.path) else sorted(glob.glob(f"{glob.escape(self.path)}/**/*.xls[xm]", recursive=True))
         return [WorkbookPartition(p) for p in found if not os.path.basename(p).startswith(("~$", "."))]
 
-    def read(self, partition: WorkbookPartition) -> Iterator[tuple]:
+    def read(self, partition: WorkbookPartition | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without workbooks
+            return
         try:
             for sheet, at, row, cells in read_workbook(partition.path):
                 yield partition.path, sheet, at, row, cells, None
