@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from palisade.llm.store import written
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has two roots, or is a root and has one: else the edges are stars, one a component."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("root")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    seen = ends.groupBy("id").agg(F.sum("low").alias("low"), F.max("root").alias("root"))
+    return seen.agg(F.max((F.col("low") + F.col("root") > 1).cast("int"))).first()[0] == 1
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (its smallest id) of every node that an edge between two nodes names."""
     edges = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    before = None
-    while (now := _mark(edges)) != before:
-        before = now
+    while _unfinished(edges):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -9,11 +9,14 @@ given the matches so far and a uniform prior, falls under MISS. Survivors are
 verified on the full sets of words.
 
 Equal word sequences are one node. Within a bucket each member is first paired
-with one hub, not with all others. What is then still in several components of
-a bucket meets a further hub, and once the pairs left over are no more than
-PAIRS_A_ROW a row, or after ROUNDS hubs, all pairs between different components
-of a bucket are compared. Only pairs that could not join two components are
-never looked at, so no component is lost and no group is expanded into its pairs.
+with one hub, not with all others; what those pairs link is joined. Buckets that
+still hold several components are then searched whole, but only between
+components: all members outside the bucket's largest component against all
+others. The search compares signatures in arrays of at most BLOCK members of the
+largest component and their rivals, settles survivors by the hashes of their
+whole sets, and only pairs that join two components leave it as rows, to be
+confirmed on the words. Pairs inside a component are never looked at, so no
+component is lost and no group is expanded into its pairs.
 
 Defined cases: null text and texts without words have the empty set and link
 with nothing; one word is a set of one; rows that repeat a doc_id are one document
@@ -34,13 +37,14 @@ from pyspark.sql import functions as F
 
 from palisade.llm.bpe import worker_memo
 from palisade.llm.components import connected_components
-from palisade.llm.store import semi, written
+from palisade.llm.store import semi, small_batches, trim_memory, written
 
 WORDS, THRESHOLD = 2, 0.8
 BANDS, BAND_ROWS = 40, 5
 PERMUTATIONS = BANDS * BAND_ROWS
-BATCH, MISS, SEED, KEPT_WORDS = 25, 1e-6, 5, 300_000
-ROUNDS, PAIRS_A_ROW = 3, 4
+BATCH, MISS, SEED = 25, 1e-6, 5
+#: Members of a bucket's largest component that are searched in one array.
+BLOCK = 1024
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -71,28 +75,23 @@ def _signature(hashes: np.ndarray, flip: np.ndarray, odd: np.ndarray) -> np.ndar
     return least
 
 
-def _sign_batches(n_words: int):
+def _sign_batches(n_words: int, whole: bool = False):
+    """Signatures and bands; or, if whole, signatures with the sorted hashes of the whole set."""
     flip, odd = _constants()
     band_seed = np.random.default_rng(SEED + 1).integers(1, 1 << 62, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     mix, step = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-    class Known(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            value = self[word] = xxhash.xxh3_64_intdigest(word)
-            return value
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_memo("minhash").setdefault("known", Known())
+        worker_memo("minhash")  # drops what other operators remember
+        hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
-            digests, sizes, signatures, bands = [], [], [], []
+            digests, sizes, signatures, bands, sets = [], [], [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 if not words:
-                    digests.append(None), sizes.append(0), signatures.append(None), bands.append([])
+                    digests.append(None), sizes.append(0), signatures.append(None), bands.append([]), sets.append(None)
                     continue
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                h = np.fromiter(map(hashed, words), np.uint64, len(words))
                 width = min(n_words, len(words))
                 s = np.zeros(len(h) - width + 1, np.uint64)
                 for k in range(width):
@@ -100,16 +99,24 @@ def _sign_batches(n_words: int):
                     s ^= s >> np.uint64(29)
                 s = np.unique(s * step)
                 least = _signature((s >> np.uint64(32)).astype(np.uint32), flip, odd)
+                signatures.append((least & np.uint32(0xFFFF)).astype("<u2").tobytes())
+                if whole:
+                    sets.append(s.tobytes())
+                    continue
                 keys = (least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * band_seed).sum(1, dtype=np.uint64)
                 keys = (keys ^ (keys >> np.uint64(31))) * mix + np.arange(BANDS, dtype=np.uint64)
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
                 sizes.append(len(s))
-                signatures.append((least & np.uint32(0xFFFF)).astype("<u2").tobytes())
                 bands.append(keys.view(np.int64))
+            if whole:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "signature", "hashes"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["doc_id", "digest", "n_shingles", "signature", "bands"],
             )
+            batch = None
+            trim_memory()
 
     return run
 
@@ -150,6 +157,66 @@ def _prune_batches(bounds: list[tuple[int, int]]):
     return run
 
 
+def _search_batches(bounds: list[tuple[int, int]], percent: int):
+    """Pairs (a, b) that join components, from rows (main, block, rival, home, doc_id, n, component, signature, hashes) in order of main and block."""
+
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    def searched(t: pa.Table) -> list[tuple[int, int]]:
+        rival, home = t.column("rival").to_numpy().astype(bool), t.column("home").to_numpy().astype(bool)
+        ids, n, component = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
+        signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, PERMUTATIONS)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("hashes")]
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        others = np.flatnonzero(~rival | home)
+        found = []
+        for i in np.flatnonzero(rival).tolist():
+            fits = np.minimum(n[i], n[others]) * 100 >= np.maximum(n[i], n[others]) * percent
+            alive = others[(component[others] != component[i]) & fits]
+            matches, done = np.zeros(len(alive), np.int64), 0
+            for upto, least in bounds:
+                if not len(alive):
+                    break
+                matches += (signs[alive, done:upto] == signs[i, done:upto]).sum(1)
+                keep = matches >= least
+                alive, matches, done = alive[keep], matches[keep], upto
+            for j in alive[np.argsort(-matches, kind="stable")].tolist():
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y and similar(sets[i], sets[j]):
+                    up[max(x, y)] = min(x, y)
+                    found.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        return found
+
+    def emitted(t: pa.Table) -> pa.RecordBatch:
+        found = searched(t)
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            key, block = rest.column("main").to_numpy(), rest.column("block").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                yield emitted(rest.slice(i, j - i))
+            rest = rest.slice(starts[-1])
+        if rest is not None and rest.num_rows:
+            yield emitted(rest)
+        rest = t = batch = None
+        trim_memory()
+
+    return run
+
+
 def _verify_batches(n_words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +231,7 @@ def _verify_batches(n_words: int, percent: int):
                     keep.append(i)
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
+            trim_memory()
 
     return run
 
@@ -173,7 +241,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int):
         self.n_words, self.percent = n_words, percent
-        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+        self.texts = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
         self.signed = written(self.texts.mapInArrow(_sign_batches(n_words), "doc_id long, digest binary, n_shingles long, signature binary, bands array<long>"), "signatures")
         named = self.signed.where("doc_id is not null and digest is not null")
         groups = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).where("rep <> other").select("digest", "rep")
@@ -187,62 +255,59 @@ class NearDuplicates:
         several = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).where("hub <> other").select("key", "hub")
         return written(rows.join(written(several, "buckets"), "key"), "members")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose full sets are similar enough."""
-        signature = self.nodes.select("doc_id", "signature")
+    def survivors(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose signatures leave the threshold possible."""
         pairs = written(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        signature = semi(signature, written(ids, "asked"), ["doc_id"])
-        signature = written(signature, "asked-signatures")
+        signature = written(semi(self.nodes.select("doc_id", "signature"), written(ids, "asked"), ["doc_id"]), "asked-signatures")
         both = pairs.join(signature.select(F.col("doc_id").alias("a"), F.col("signature").alias("s")), "a").join(signature.select(F.col("doc_id").alias("b"), F.col("signature").alias("t")), "b")
-        left = written(both.select("a", "b", "s", "t").mapInArrow(_prune_batches(least_matches(self.percent / 100)), "a long, b long"), "survivors")
-        ids = written(left.select(F.col("a").alias("doc_id")).unionAll(left.select("b")).distinct(), "survivor-ids")
+        return both.select("a", "b", "s", "t").mapInArrow(_prune_batches(least_matches(self.percent / 100)), "a long, b long")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those whose full sets are similar enough."""
+        pairs = written(pairs, "survivors")
+        ids = written(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), "survivor-ids")
         texts = written(semi(self.texts, ids, ["doc_id"]), "survivor-texts")
-        both = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
         return written(both.select("a", "b", "s", "t").mapInArrow(_verify_batches(self.n_words, self.percent), "a long, b long"), "links")
 
     def components(self) -> DataFrame:
         """doc_id, component of all documents that link with another or equal one."""
         members = self.members()
-        links = self.links(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+        links = self.verified(self.survivors(members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()))
         found = written(connected_components(links), "components")
-        for turn in range(1, ROUNDS + 1):
-            open_rows = self._unresolved(members, found)
-            sums = open_rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-            rows, pairs = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2), F.lit(0.0))).first()
-            if not rows:
-                break
-            last = turn == ROUNDS or pairs <= PAIRS_A_ROW * rows
-            fresh = self._all_pairs(open_rows) if last else self._hub_pairs(open_rows, turn)
-            links = links.unionAll(self.links(fresh))
-            found = written(connected_components(links), "components")
-            if last:
-                break
+        more = self.verified(self.between_components(members.drop("hub"), found).distinct())
+        if not more.isEmpty():
+            # components stand for their members: only what joins them is left to solve
+            name = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_part"))
+            joined = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+            over = written(connected_components(joined), "joined-components").withColumnRenamed("id", "part").withColumnRenamed("component", "whole")
+            moved = found.join(over, found["component"] == over["part"], "left").select("id", F.coalesce("whole", "component").alias("component"))
+            alone = over.join(found.select(F.col("id").alias("part")), "part", "left_anti").select(F.col("part").alias("id"), F.col("whole").alias("component"))
+            found = written(moved.unionAll(alone), "components")
         merged = self.copies.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
         alone = self.copies.select("rep").distinct().join(found.select(F.col("id").alias("rep")), "rep", "left_anti")
         return merged.unionAll(found.select("id", "component")).unionAll(alone.select("rep", F.col("rep").alias("component")))
 
-    @staticmethod
-    def _unresolved(members: DataFrame, found: DataFrame) -> DataFrame:
+    def between_components(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs (a, b) that join components: all that share a bucket are compared, by signature, then by the hashes of their sets.
+
+        Buckets with the same largest component are searched together, as their members mostly are the same.
+        """
         rows = members.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
         rows = written(rows, "labelled")
-        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        return written(rows.join(written(several, "open-buckets"), "key", "left_semi"), "open")
-
-    def _fits(self, n, m):
-        """Whether sets of these sizes can be similar enough."""
-        return (F.least(n, m) * 100) >= (F.greatest(n, m) * self.percent)
-
-    def _hub_pairs(self, rows: DataFrame, turn: int) -> DataFrame:
-        order = F.xxhash64("doc_id", "key", F.lit(turn))
-        hubs = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "n", "component")).alias("h")).select("key", "h")
-        met = rows.join(written(hubs, "hubs"), "key").where((F.col("component") != F.col("h.component")) & self._fits(F.col("n"), F.col("h.n")))
-        return met.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b")).distinct()
-
-    def _all_pairs(self, rows: DataFrame) -> DataFrame:
-        other = rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-        met = rows.withColumnRenamed("doc_id", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("c")) & self._fits(F.col("n"), F.col("m")))
-        return met.select("a", "b").distinct()
+        counts = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+        buckets = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+        buckets = written(buckets.select("key", F.col("largest.component").alias("main")), "open-buckets")
+        rows = written(rows.join(buckets, "key").select("main", "doc_id", "n", "component").distinct(), "open")
+        blocks = rows.groupBy("main").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("component") == F.col("main")) / BLOCK)).cast("int").alias("blocks"))
+        rows = rows.join(written(blocks, "open-blocks"), "main").withColumn("rival", F.col("component") != F.col("main")).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("block", F.explode(F.when(F.col("rival"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))))
+        texts = semi(self.texts, written(rows.select("doc_id").distinct(), "open-ids"), ["doc_id"])
+        sets = written(texts.mapInArrow(_sign_batches(self.n_words, whole=True), "doc_id long, signature binary, hashes binary"), "open-sets")
+        rows = rows.join(sets, "doc_id").select("main", "block", "rival", (F.col("block") == F.col("at")).alias("home"), "doc_id", "n", "component", "signature", "hashes")
+        rows = rows.repartition("main", "block").sortWithinPartitions("main", "block")
+        return rows.mapInArrow(_search_batches(least_matches(self.percent / 100), self.percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
@@ -255,3 +320,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_words=WORDS)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, coalesce(c.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""

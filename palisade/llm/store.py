@@ -32,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)  # its codec needs little memory outside the heap
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,6 +55,33 @@ def _at_exit() -> None:
             return
 
 
+#: Bytes of rows that go to a Python worker at once, where the session has Spark's own bound of 64 MB.
+BATCH_BYTES = "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding what its Python workers hold at once; long texts make row counts a poor bound."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") in ("67108864", "64m"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def trim_memory() -> None:
+    """Give what a Python worker has freed back to the machine: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether all rows, counted, fit in limit at row_bytes each."""
     return df.count() * row_bytes <= limit
