@@ -243,3 +243,14 @@ def _linked(nodes: DataFrame, n: int, width: int, kind: str, threshold: float) -
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x),
+r AS (SELECT x AS vec_id, x AS root FROM l UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.vec_id),
+c AS (SELECT vec_id, min(root) AS root FROM r GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.root, e.vec_id) AS component_id, coalesce(c.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id LEFT JOIN c ON c.vec_id = e.vec_id
+"""

@@ -19,4 +19,11 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL, "op3_chat_format": chat.SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": lines.SQL}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.SQL,
+    "op2_embedding_near_dedup": embeddings.SQL,
+    "op3_chat_format": chat.SQL,
+    "op6_mixing": mixing.SQL,
+    "op8_minhash_near_dedup": minhash.SQL,
+    "op9_line_dedup": lines.SQL,
+}
