@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import all_groups, bound, collapsed, first_group, month_number
 
-#: Where a text shows a date with a time.
+#: Where a text shows a date with a time.
 DATE_IN_TEXT = (
     r"(?i)\b(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\s*(?:AM|PM)|"
     r"[A-Za-z]+\s+[0-9]{1,2},\s+[0-9]{4}\s+[0-9]{1,2}:[0-9]{2}:[0-9]{2}|"

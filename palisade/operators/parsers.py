@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import dates
-from palisade.functions.text import all_groups, collapsed, described, first_group, labelled_int, labelled_ints, lines_of, no_text, shortened, to_long
+from palisade.functions.text import collapsed, described, first_group, labelled_int, labelled_ints, lines_of, no_text, shortened, to_long
 from palisade.schemas import SCAN_RUN_FIELDS
 
+# Patterns, labels, statuses and messages below are fixed values of the log formats and of the run table.
 PARSER_VERSION = "structured-v2"
 DETECTED, CLEAN, WARNED, REVIEW = "Completed with detections", "Completed clean", "Completed with warnings", "Requires review"
 MTIME_USED = "No scan timestamp was present; file modification time was used as a fallback."

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.text import SYSTEMS, bound, compact, evidence_month, extension, file_name, stem
+from palisade.functions.text import SYSTEMS, bound, compact, evidence_month, extension, file_name
 
+# Kinds of evidence, their limits, and the folder names of placed().
 IMAGES, TEXTS, PDFS = (".png", ".jpg", ".jpeg", ".gif", ".bmp"), (".txt", ".log", ".csv"), (".pdf",)
 ALLOWED = IMAGES + TEXTS + PDFS
 #: Bytes beyond which a file of the kind fails to parse.
@@ -16,11 +17,6 @@ MOST_BYTES = {TEXTS: 10 << 20, PDFS: 100 << 20, IMAGES: 50 << 20}
 MOST_PATH = 4096
 
 
-def canonical_system(folder: Column) -> Column:
-    """The system a folder is named after, or NULL."""
-    return F.create_map(*[F.lit(x) for pair in SYSTEMS.items() for x in pair])[compact(folder)]
-
-
 def placed(path: Column) -> Column:
     """struct(system, subsystem, display) from a path below its month folder, by an ordered ladder of layouts."""
     parts = F.split(path, "/")
@@ -97,7 +93,3 @@ def months(files: DataFrame, path: str = "path") -> DataFrame:
     df = files.select(F.element_at(F.split(F.col(path), "/"), 1).alias("month")).where(~F.startswith("month", F.lit("."))).distinct()
     at = evidence_month(F.col("month"))
     return df.withColumns({"year": F.coalesce(at["year"], F.lit(0)), "month_no": F.coalesce(at["month"], F.lit(0))}).orderBy(F.desc("year"), F.desc("month_no"), "month")
-
-
-def name_stem(path: Column) -> Column:
-    return stem(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import dates
 
+# Verdicts and scan states.
 THREATS, CLEAN, MANUAL, NOT_SCANNED = "Threats Found", "Clean", "Manual Verification Needed", "Not Scanned"
 
 
