@@ -62,7 +62,7 @@ def tokens(spark, sf: str) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
     rows = e.groupBy("user_id").agg(order.alias("e")).select("user_id", F.posexplode("e").alias("k", "e"))
     y = F.col("k") * 20.0
-    sure = 0.3 + (F.col("e.event_id") % 70) / 100.0
+    sure = F.round(0.3 + (F.col("e.event_id") % 70) / 100.0, 2)
 
     def box(left: float, width: float, dy: float):
         corner = lambda x, dy2: F.array(F.lit(x), y + F.lit(dy2))
