@@ -2,8 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 returns the documents it keeps with their columns; the last returns token ids.
-Null ids and texts, repeated rows and empty tables go through as each operator
-defines; rows that repeat a doc_id share its decision.
+Null texts, repeated rows and empty tables go through as each operator defines.
+Rows that repeat a doc_id share its decision; a row without doc_id can't be named
+by a decision, so the filtering stages keep it and mixing, which must name what
+it takes, leaves it.
 """
 
 from __future__ import annotations
@@ -12,40 +14,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from palisade.llm.store import written
+from palisade.llm.store import semi, small_enough, written
 
 
-def keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among decisions (doc_id), once for each row; ids are compared null-safe."""
-    ids = written(decisions.select(F.col("doc_id").alias("kept_id")).distinct(), "kept-ids")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """docs but for the ids of decisions (doc_id): a broadcast while these are measured to be few, else a join."""
+    return semi(docs, written(decisions.select("doc_id").distinct(), "dropped-ids"), ["doc_id"], row_bytes=24, how="left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return keep(docs, toxicity.scored(docs, model).where("predicted = 0"))
+    return without(docs, toxicity.scored(docs, model).where("predicted = 1"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the smallest id stays."""
-    return keep(docs, exact_dedup.exact_groups(docs).where("kept"))
+    return without(docs, exact_dedup.exact_groups(docs).where("not kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest id stays."""
-    return keep(docs, minhash.near_duplicates(docs).where("kept"))
+    return without(docs, minhash.near_duplicates(docs).where("not kept"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = written(mixing.mixed(docs).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("mixed_copy")).drop("mixed_copy"), "mix")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["mixed_id"])).select(*[docs[c] for c in docs.columns])
+    """Every document as often as the mix takes it; rows that repeat a doc_id as often as the one taken most."""
+    copies = written(mixing.mixed(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies")), "mix")
+    few = F.broadcast(copies) if small_enough(copies, 24) else copies
+    taken = docs.join(few, docs["doc_id"] == copies["mixed_id"])
+    return taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mixed_copies"))).select(*[docs[c] for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe.digests(docs)
+    """Token ids of every document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    The executors come here with heaps that four stages have filled, so the workers remember less.
+    """
+    return bpe.digests(docs, kept_words=30_000, block_chars=1 << 20)
 
 
 STAGES = [("toxicity", toxicity_stage), ("exact_dedup", exact_stage), ("minhash_near_dedup", near_stage), ("mixing", mixing_stage), ("byte_bpe", token_stage)]

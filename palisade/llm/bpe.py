@@ -30,8 +30,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.store import small_batches, trim_memory
+
 #: Words remembered by a worker, and characters of the documents replayed together.
-KEPT_WORDS, BLOCK_CHARS = 300_000, 1 << 22
+KEPT_WORDS, BLOCK_CHARS = 160_000, 1 << 21
 
 #: Unicode's White_Space, which \s means to the tokenizer; Python's \s has U+001C to U+001F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,8 +76,8 @@ def worker_memo(key: str) -> dict:
 class MergeReplay:
     """Encodes words by replaying merges over all of them at once."""
 
-    #: Positions of one rank from which they are merged as arrays.
-    MANY = 12
+    #: Positions of one rank from which they are merged as arrays; fewer cost less one by one.
+    MANY = 40
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -91,7 +93,7 @@ class MergeReplay:
         key = a << 32 | b
         rank = self.pairs.get(key)
         if rank is None:
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 60_000:
                 self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
@@ -115,9 +117,9 @@ class _Replay:
     """The words of a block in one array of tokens, linked, with the inverted index from ranks to positions.
 
     token is -1 between words and -2 where a merge has taken a token away; pair
-    holds the rank of the pair that begins at a position, or -1. Of the positions
-    of a rank each word merges its leftmost; the others wait, as the pair that the
-    merge makes may come before them.
+    holds the rank of the pair that begins at a position, or -1. Of many positions of
+    a rank each word merges its leftmost; the others wait, as the pair that the merge
+    makes may come before them. Few go one by one, until that happens.
     """
 
     def __init__(self, owner: MergeReplay, words: list[bytes]):
@@ -158,24 +160,36 @@ class _Replay:
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 self.put(int(ranks[i]), at[i:j] if j - i > 1 else int(at[i]))
 
-    def merge_one(self, rank: int, at: int) -> None:
+    def merge_one(self, rank: int, at: int) -> bool:
+        """Whether a pair came up that goes before the other positions of this rank."""
         token, after, pair = self.token_, self.after_, self.pair_
         if pair[at] != rank:
-            return  # a neighbour was merged meanwhile
+            return False  # a neighbour was merged meanwhile
         gone = after[at]
         beyond, behind = after[gone], self.before_[at]
         token[at], token[gone], pair[gone] = rank, -2, -1
         after[at], self.before_[beyond] = beyond, at
         x, y = token[behind], token[beyond]
+        lower = False
         if x >= 0:
             made = pair[behind] = self.rank_of(x, rank)
             if made >= 0:
+                lower = made <= rank
                 self.put(made, behind)
         made = pair[at] = self.rank_of(rank, y) if y >= 0 else -1
         if made >= 0:
+            lower |= made <= rank
             self.put(made, at)
+        return lower
 
     def merge(self, rank: int, places: list) -> None:
+        if sum(1 if isinstance(p, int) else len(p) for p in places) < MergeReplay.MANY:
+            few = sorted({x for p in places for x in ((p,) if isinstance(p, int) else p.tolist())})
+            for k, one in enumerate(few):
+                if self.merge_one(rank, one) and few[k + 1 :]:
+                    self.put(rank, np.array(few[k + 1 :], np.int32))
+                    return
+            return
         at = np.concatenate([np.atleast_1d(np.asarray(p, np.int32)) for p in places]) if len(places) > 1 else places[0]
         at = np.unique(at[self.pair[at] == rank])
         if not len(at):
@@ -184,11 +198,7 @@ class _Replay:
         first = np.concatenate(([True], word[1:] != word[:-1]))
         rest, at = at[~first], at[first]
         if len(rest):
-            self.put(rank, rest if len(rest) > 1 else int(rest[0]))
-        if len(at) < MergeReplay.MANY:
-            for one in at.tolist():
-                self.merge_one(rank, one)
-            return
+            self.put(rank, rest)
         gone = self.after[at]
         beyond, behind = self.after[gone], self.before[at]
         self.token[at], self.token[gone], self.pair[gone] = rank, -2, -1
@@ -260,11 +270,11 @@ class KnownWords:
         return young
 
 
-def encode_batches(ranks: dict[bytes, int], pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def encode_batches(ranks: dict[bytes, int], pattern: str, kept_words: int = KEPT_WORDS, block_chars: int = BLOCK_CHARS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_memo(f"bpe-{hash(pattern)}-{len(ranks)}-{hash(frozenset(ranks.items()))}")
         if not memo:
-            memo |= {"split": splitter(pattern), "known": KnownWords(MergeReplay(ranks), KEPT_WORDS)}
+            memo |= {"split": splitter(pattern), "known": KnownWords(MergeReplay(ranks), kept_words)}
         split, known = memo["split"], memo["known"]
 
         def encoded_block(ids: pa.Array, block: list[list[str]]) -> pa.RecordBatch:
@@ -278,7 +288,7 @@ def encode_batches(ranks: dict[bytes, int], pattern: str) -> Callable[[Iterator[
                 text = text.as_py() or ""
                 block.append(split(text))
                 chars += len(text)
-                if chars >= BLOCK_CHARS or i + 1 == batch.num_rows:
+                if chars >= block_chars or i + 1 == batch.num_rows:
                     yield encoded_block(batch.column(0).slice(start, len(block)), block)
                     start, chars, block = i + 1, 0, []
 
@@ -291,7 +301,7 @@ def decode_batches(tokens: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]],
             decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_buffer() or b"", "<u4").tolist())) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
             decoded = batch = None
-            pa.default_memory_pool().release_unused()
+            trim_memory()
 
     return run
 
@@ -299,7 +309,7 @@ def decode_batches(tokens: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]],
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (token ids as little-endian unsigned 32-bit integers)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode_batches(ranks, pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+    return small_batches(rows).mapInArrow(encode_batches(ranks, pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
 def decoded(ids: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -308,18 +318,18 @@ def decoded(ids: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return ids.mapInArrow(decode_batches(tokens), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, decoded: decoded() of encoded() in one pass, so the ids meet one Python worker only."""
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+    """doc_id, ids, decoded: decoded() of encoded() in one pass, so the ids meet one Python worker only; sizes as of encode_batches()."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encode, decode = encode_batches(ranks, pattern), decode_batches(MergeReplay(ranks).tokens)
-    return rows.mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
+    encode, decode = encode_batches(ranks, pattern, **sizes), decode_batches(MergeReplay(ranks).tokens)
+    return small_batches(rows).mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, **sizes: int) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    both = round_trip(docs, ranks, public_tokenizers.PATTERN)
+    both = round_trip(docs, ranks, public_tokenizers.PATTERN, **sizes)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

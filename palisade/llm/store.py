@@ -56,7 +56,7 @@ def _at_exit() -> None:
 
 
 #: Bytes of rows that go to a Python worker at once, where the session has Spark's own bound of 64 MB.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def small_batches(df: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.bpe import worker_memo
+from palisade.llm.store import small_batches, trim_memory
 
-SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 200_000
+SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 40_000
 FACTORS, EPOCHS, BATCH, RATE, SHRINK, SEED = 4, 60, 100, 0.2, 2e-5, 7
 WORD = re.compile(r"\w+")
 
@@ -169,7 +170,7 @@ def _score_batches(model: FactorizationMachine):
                 scores = 1 / (1 + np.exp(-np.array(margins)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
             batch = None
-            pa.default_memory_pool().release_unused()
+            trim_memory()
 
     return run
 
@@ -178,7 +179,7 @@ def scored(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id",
     """doc_id, score, predicted of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_score_batches(model), f"doc_id {kind}, score double")
+    out = small_batches(rows).mapInArrow(_score_batches(model), f"doc_id {kind}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
