@@ -9,7 +9,10 @@ Both models are trained from labelled samples: the values in base spans and
 seeded random strings on one side; other words of the sampled documents and
 identifiers joined from ordinary words on the other. The sample is bounded
 (SAMPLE_DOCS documents with the smallest hash of the id, SAMPLE_VALUES values a
-class); the threshold lies above every ordinary string of the part held back.
+class). Documents also hold secrets that nobody labelled: a first pair of models,
+whose ordinary side is seeded alone, keeps their words that look random out of
+the ordinary class. The threshold is the score that a share FALSE_ALARMS of the
+ordinary strings held back exceeds, of those that could be reported at all.
 The models are of one size and go out with the scanning function; whole texts
 are scanned, in one pass and without a shuffle.
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_VALUES, SEED, LEAST, MARGIN, PSEUDO = 1000, 4000, 11, 20, 0.15, 0.2
+SAMPLE_DOCS, SAMPLE_VALUES, SEED, LEAST, MARGIN, PSEUDO, FALSE_ALARMS = 1000, 4000, 11, 20, 0.15, 0.2, 0.001
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
@@ -98,31 +101,45 @@ class RandomStrings:
         c = codes(s)
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else -math.inf
 
+    @staticmethod
+    def mixed(s: str) -> bool:
+        return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
     def accepts(self, s: str) -> bool:
-        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-        return mixed and self.mean(s) > self.threshold
+        return self.mixed(s) and self.mean(s) > self.threshold
+
+    @classmethod
+    def between(cls, secret: list[str], ordinary: list[str], held_back: list[str]) -> RandomStrings:
+        """Models of both classes; of the strings held back only those that could be reported count for the threshold."""
+        made = cls(CharMarkov(secret).logp - CharMarkov(ordinary).logp, 0.0)
+        seen = [made.mean(s) for s in held_back if len(s) >= LEAST and cls.mixed(s)]
+        if seen:
+            made.threshold = max(0.0, float(np.quantile(seen, 1 - FALSE_ALARMS)) + MARGIN)
+        return made
 
     @classmethod
     def trained(cls, secret: list[str], ordinary: list[str], seed: int = SEED) -> RandomStrings:
         rng = random.Random(seed)
-        secret, ordinary = sorted(set(secret))[:SAMPLE_VALUES], sorted(set(ordinary))[:SAMPLE_VALUES]
+        secret, words = sorted(set(secret))[:SAMPLE_VALUES], sorted(set(ordinary))[:SAMPLE_VALUES]
         letters = ALPHABET[:62]
         for alphabet in (letters, ALPHABET[:64], letters + "-_", "0123456789abcdef", ALPHABET[26:62]):
             secret += ["".join(rng.choices(alphabet, k=rng.randint(LEAST, 48))) for _ in range(SAMPLE_VALUES // 5)]
-        for _ in range(SAMPLE_VALUES):
+
+        def identifier(numbered: float) -> str:
             parts = rng.choices(ORDINARY, k=rng.randint(2, 5))
-            if rng.random() < 0.4:
+            if rng.random() < numbered:
                 parts.append(str(rng.randint(0, 3000)))
             kind = rng.random()
-            ordinary.append("".join(p.title() for p in parts) if kind < 0.3 else rng.choice("_-/.").join(parts) if kind < 0.9 else "_".join(parts).upper())
+            return "".join(p.title() for p in parts) if kind < 0.3 else rng.choice("_-/.").join(parts) if kind < 0.9 else "_".join(parts).upper()
+
+        seeded = [identifier(0.4) for _ in range(SAMPLE_VALUES)]
+        seeded_back = [identifier(1.0) for _ in range(SAMPLE_VALUES)]
         rng.shuffle(secret)
-        rng.shuffle(ordinary)
-        back = len(ordinary) // 5
-        ratio = CharMarkov(secret).logp - CharMarkov(ordinary[back:]).logp
-        made = cls(ratio, 0.0)
-        seen = [made.mean(s) for s in ordinary[:back] if len(s) >= 12]
-        made.threshold = max(0.0, max(seen, default=0.0) + MARGIN)
-        return made
+        first = cls.between(secret, seeded, seeded_back)
+        words = [w for w in words if not first.accepts(w)]  # secrets without a label, or what can't be told from them
+        rng.shuffle(words)
+        back = len(words) // 5
+        return cls.between(secret, seeded + words[back:], seeded_back + words[:back])
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,6 +129,18 @@ def test_pairs_count_beyond_single_terms():
     assert v[at[901]] @ v[at[902]] > 0 and model.margin([at[901], at[902]]) > max(model.margin([at[901]]), model.margin([at[902]]))
 
 
+@pytest.mark.parametrize("planted", [0, 5, 40, 400])
+def test_unlabelled_secrets_in_the_sample_do_not_hide_others(planted):
+    import random
+
+    rng = random.Random(99)
+    key = lambda: "".join(rng.choices(secrets.ALPHABET[:62], k=rng.randint(24, 40)))
+    fresh, words = [key() for _ in range(1000)], [f"{a}-{b}{n}" for a in secrets.ORDINARY[:60] for b in secrets.ORDINARY[60:110] for n in (7,)]
+    model = secrets.RandomStrings.trained(["hunter2hunter2"], words + [key() for _ in range(planted)])
+    assert np.mean([model.accepts(s) for s in fresh]) >= 0.95
+    assert np.mean([model.accepts(f"{a}_{b}_{c}_2024") for a in secrets.ORDINARY[:20] for b in secrets.ORDINARY[40:60] for c in ("handler", "module")]) <= 0.01
+
+
 def test_secrets(docs, empty, spark):
     model = secrets.fit(docs)
     assert len(secrets.found(docs, model).collect()) == len(ROWS)
