@@ -5,19 +5,18 @@ centroids and, on the residuals, one codebook for each of SUBSPACES subspaces;
 every vector is indexed. A vector q visits the lists whose border with its own
 list is nearer than the probing margin. Two vectors at distance e lie on
 opposite sides of the border between their lists, so one of them is within e/2
-of it: with a margin of e/2 no pair is missed for certain; the margin used,
-e * SIGMAS / (2 * sqrt(dimensions)), holds for differences of any direction but
-the few along the border's normal. Recall is measured against brute force in the tests.
+of it: the margin is e/2 in any number of dimensions, so no pair is missed. In
+many dimensions a vector is that near to a large part of the lists.
 
 Inside a list, distances of q to members come from lookup tables of its
 residual against the codebooks. A member is reranked when its coded distance
 is at most e plus the member's own coding error, which loses no pair. The
 rerank is the cosine of the stored vectors in double precision.
 
-Equal vectors are one node with a count. Lists are split into blocks of about
-BLOCK members, which their visitors meet one by one, so no group is larger
-than a block and its visitors; links are counted where they are found and
-leave a block only as sums and one edge a vector.
+Equal vectors are one node with a count. A list's members are split into blocks
+of about BLOCK, its visitors into parts of about VISITORS, and each block meets
+each part in a group of its own; links are counted where they are found and
+leave a group only as sums and one edge a vector.
 
 Defined cases: null and zero vectors and those with null or non-finite
 components link with nothing, nor do vectors of different lengths; rows that
@@ -40,8 +39,8 @@ from palisade.llm.components import connected_components
 from palisade.llm.store import written
 
 THRESHOLD = 0.9
-SAMPLE, SAMPLE_BYTES, LIST_ROWS, MOST_LISTS, BLOCK = 40_000, 64 << 20, 256, 4096, 2048
-SUBSPACES, CODES, ROUNDS, SIGMAS, SEED = 8, 256, 8, 5.0, 3
+SAMPLE, SAMPLE_BYTES, LIST_ROWS, MOST_LISTS, BLOCK, VISITORS = 40_000, 64 << 20, 256, 4096, 2048, 8192
+SUBSPACES, CODES, ROUNDS, SEED = 8, 256, 8, 3
 
 
 def _clean_batches(kind: str):
@@ -109,7 +108,7 @@ class ProductIndex:
         rest = sample - centres[nearest(sample, centres)]
         parts = [p for p in np.array_split(np.arange(width), min(SUBSPACES, width)) if len(p)]
         reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-        return cls(centres, [kmeans(rest[:, p], CODES, rng) for p in parts], parts, reach, min(reach / 2, reach * SIGMAS / (2 * np.sqrt(width))))
+        return cls(centres, [kmeans(rest[:, p], CODES, rng) for p in parts], parts, reach, reach / 2 + 1e-9)
 
     def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Home list, codes and coding error of each row."""
@@ -151,7 +150,7 @@ def _code_batches(index: ProductIndex, kind: str, width: int):
 
 def _search_block(index: ProductIndex, kind: str, width: int, threshold: float):
     def run(key, table):
-        centre = key[0].as_py() >> 32
+        centre = key[0].as_py()
         rows = {c: np.asarray(table.column(c).to_pylist(), d) for c, d in (("vec_id", np.int64), ("n", np.int64), ("size", np.int64), ("home", np.int64), ("visits", bool))}
         x = unit(table.column("v").to_pylist(), kind, width)
         member, visit = np.flatnonzero(~rows["visits"]), np.flatnonzero(rows["visits"])
@@ -227,14 +226,16 @@ def _linked(nodes: DataFrame, n: int, width: int, kind: str, threshold: float) -
     index = ProductIndex.fitted(unit(sample, kind, width), n, threshold)
     coded = nodes.select("vec_id", "n", "size", "v").mapInArrow(_code_batches(index, kind, width), "vec_id long, n long, size int, v binary, home int, codes binary, error double, probes array<int>")
     coded = written(coded, "coded")
-    blocks = written(coded.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")  # one row a list
-    number = lambda home, block: F.shiftleft(home.cast("long"), 32) + block.cast("long")
-    member = coded.join(F.broadcast(blocks), "home").select(number(F.col("home"), F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).alias("block"), F.lit(False).alias("visits"), "vec_id", "n", "size", "home", "codes", "error", "probes", "v")
     goes = coded.select(F.explode(F.concat(F.array("home"), "probes")).alias("list"), "vec_id", "n", "size", "home", "v")
-    visits = goes.join(F.broadcast(blocks.withColumnRenamed("home", "list")), "list").select(F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "list", "vec_id", "n", "size", "home", "v")
+    blocks = coded.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = goes.groupBy("list").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    cells = written(blocks.join(parts, "list"), "cells")  # one row a list
+    at = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    member = coded.withColumn("list", F.col("home")).join(F.broadcast(cells), "list").select("list", at("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("visits"), "vec_id", "n", "size", "home", "codes", "error", "probes", "v")
     none = F.lit(None)
-    visits = visits.select(number(F.col("list"), F.col("k")).alias("block"), F.lit(True).alias("visits"), "vec_id", "n", "size", "home", none.cast("binary").alias("codes"), none.cast("double").alias("error"), F.array().cast("array<int>").alias("probes"), "v")
-    found = member.unionAll(visits).groupBy("block").applyInArrow(_search_block(index, kind, width, threshold), "vec_id long, links long, root long")
+    visits = goes.join(F.broadcast(cells), "list").select("list", every("blocks").alias("block"), at("parts").alias("part"), F.lit(True).alias("visits"), "vec_id", "n", "size", "home", none.cast("binary").alias("codes"), none.cast("double").alias("error"), F.array().cast("array<int>").alias("probes"), "v")
+    found = member.unionAll(visits).groupBy("list", "block", "part").applyInArrow(_search_block(index, kind, width, threshold), "vec_id long, links long, root long")
     found = written(found, "found")
     links = written(found.groupBy("vec_id").agg(F.sum("links").alias("links")), "links")
     parts = written(connected_components(found, "vec_id", "root"), "vector-components")

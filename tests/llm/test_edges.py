@@ -262,6 +262,35 @@ def test_vector_recall_and_counts(spark):
         assert {i: c for i, (_, c) in got.items()} == roots(range(len(x)), zip(a.tolist(), b.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("rank", [2, 3])
+def test_vector_probes_miss_no_pair_along_a_border(rank):
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(4000, rank)) @ rng.normal(size=(rank, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embeddings.ProductIndex.fitted(x, 12_000, 0.9)
+    home = index.coded(x)[0]
+    goes = np.zeros((len(x), len(index.centres)), bool)
+    for i, lists in enumerate(index.probes(x, home)):
+        goes[i, [home[i], *lists]] = True
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert len(index.centres) == 46 and (goes[a, home[b]] | goes[b, home[a]]).all()
+
+
+def test_vector_links_in_blocks_and_parts(spark, monkeypatch):
+    from brute import roots
+
+    monkeypatch.setattr(embeddings, "BLOCK", 100)
+    monkeypatch.setattr(embeddings, "VISITORS", 150)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 4)) @ rng.normal(size=(4, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df, threshold=0.97).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.97, 1))
+    n, part = np.bincount(np.concatenate([a, b]), minlength=len(x)), roots(range(len(x)), zip(a.tolist(), b.tolist(), strict=True))
+    assert got == {i: (n[i], part[i]) for i in range(len(x))}
+
+
 def test_stages(spark, docs, empty, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for frame in (docs, empty):
