@@ -12,8 +12,8 @@ Equal word sequences are one node. Within a bucket each member is first paired
 with one hub, not with all others; what those pairs link is joined. Buckets that
 still hold several components are then searched whole, but only between
 components: all members outside the bucket's largest component against all
-others. The search compares signatures in arrays of at most BLOCK members of the
-largest component and their rivals, settles survivors by the hashes of their
+others. Both sides are split into parts of about BLOCK, and the search compares
+the signatures of one part with those of another, settles survivors by the hashes of their
 whole sets, and only pairs that join two components leave it as rows, to be
 confirmed on the words. Pairs inside a component are never looked at, so no
 component is lost and no group is expanded into its pairs.
@@ -43,7 +43,7 @@ WORDS, THRESHOLD = 2, 0.8
 BANDS, BAND_ROWS = 40, 5
 PERMUTATIONS = BANDS * BAND_ROWS
 BATCH, MISS, SEED = 25, 1e-6, 5
-#: Members of a bucket's largest component that are searched in one array.
+#: Members of a bucket's largest component, and rivals of it, that are searched in one array.
 BLOCK = 1024
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -300,12 +300,22 @@ class NearDuplicates:
         buckets = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
         buckets = written(buckets.select("key", F.col("largest.component").alias("main")), "open-buckets")
         rows = written(rows.join(buckets, "key").select("main", "doc_id", "n", "component").distinct(), "open")
-        blocks = rows.groupBy("main").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("component") == F.col("main")) / BLOCK)).cast("int").alias("blocks"))
-        rows = rows.join(written(blocks, "open-blocks"), "main").withColumn("rival", F.col("component") != F.col("main")).withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("block", F.explode(F.when(F.col("rival"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))))
+        rows = rows.withColumn("rival", F.col("component") != F.col("main"))
+        parts_of = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(side) / BLOCK)).cast("int")
+        parts = rows.groupBy("main").agg(parts_of(~F.col("rival")).alias("blocks"), parts_of(F.col("rival")).alias("rivals"))
+        rows = rows.join(written(parts, "open-blocks"), "main")
+        rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rival"), F.col("rivals")).otherwise(F.col("blocks"))).cast("int"))
+        # cell (p, q): part p of the rivals against block q of the others, or for q >= blocks against part q - blocks of the rivals, p at most that
+        own, last = F.col("blocks") + F.col("at"), F.col("blocks") + F.col("rivals") - 1
+        cell = lambda p, q, seeks: F.struct((F.shiftleft(p.cast("long"), 32) + q.cast("long")).alias("block"), seeks.alias("seeks"), (seeks & (q == own)).alias("home"))
+        seeker = F.transform(F.concat(F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(own, last)), lambda q: cell(F.col("at"), q, F.lit(True)))
+        sought = F.transform(F.filter(F.sequence(F.lit(0), F.col("at")), lambda p: p < F.col("at")), lambda p: cell(p, own, F.lit(False)))
+        plain = F.transform(F.sequence(F.lit(0), F.col("rivals") - 1), lambda p: cell(p, F.col("at"), F.lit(False)))
+        rows = rows.withColumn("cell", F.explode(F.when(F.col("rival"), F.concat(seeker, sought)).otherwise(plain)))
+        rows = rows.select("main", "cell.block", F.col("cell.seeks").alias("rival"), "cell.home", "doc_id", "n", "component")
         texts = semi(self.texts, written(rows.select("doc_id").distinct(), "open-ids"), ["doc_id"])
         sets = written(texts.mapInArrow(_sign_batches(self.n_words, whole=True), "doc_id long, signature binary, hashes binary"), "open-sets")
-        rows = rows.join(sets, "doc_id").select("main", "block", "rival", (F.col("block") == F.col("at")).alias("home"), "doc_id", "n", "component", "signature", "hashes")
+        rows = rows.join(sets, "doc_id").select("main", "block", "rival", "home", "doc_id", "n", "component", "signature", "hashes")
         rows = rows.repartition("main", "block").sortWithinPartitions("main", "block")
         return rows.mapInArrow(_search_batches(least_matches(self.percent / 100), self.percent), "a long, b long")
 

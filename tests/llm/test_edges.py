@@ -175,6 +175,40 @@ def test_near_groups_larger_than_a_block(spark, monkeypatch):
     assert got == near(texts)
 
 
+def test_rivals_without_links_are_searched_in_bounded_groups(spark, monkeypatch):
+    """One template, similarity of about 0.76: every document is a component of its own and a rival of all others."""
+    from brute import near
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(150):
+        words = [f"w{i}" for i in range(60)]
+        for at in rng.choice(30, 2, replace=False):
+            words[2 * at] = f"v{k}x{at}"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame([*texts, (150, texts[0][1] + " more")], "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+
+    def sizes(bounds, percent):
+        def run(batches):
+            from collections import Counter
+
+            import pyarrow as pa
+
+            seen = Counter(x for b in batches for x in zip(b.column("main").to_pylist(), b.column("block").to_pylist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int64()), pa.array([0] * len(seen), pa.int64())], names=["a", "b"])
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(minhash, "_search_batches", sizes)
+        run = minhash.NearDuplicates(docs, "doc_id", "text", 2, 80)
+        none = spark.createDataFrame([], "id long, component long")
+        assert max(r.a for r in run.between_components(run.members().drop("hub"), none).collect()) <= 4 * minhash.BLOCK
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, n_words=2).collect()}
+    assert got == near([*texts, (150, texts[0][1] + " more")]) and got[150][1] == 0
+
+
 def test_bounds_lose_no_more_than_promised():
     from math import comb
 
