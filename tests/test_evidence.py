@@ -123,6 +123,17 @@ def test_assignment_is_the_greedy_one(spark):
     assert got == want and len(set(got.values())) == len(got)
 
 
+def test_tied_logs_and_repeated_rows_are_all_assigned(spark):
+    """1,100 logs that score alike with 1,100 rows of one target, more than a thousand rounds of single pairs; and a chain past the kept rounds."""
+    n, steps = 1100, 40
+    tied = spark.range(n).select(F.format_string("Log%05d", "id").alias("path")).crossJoin(spark.range(n).select(F.format_string("S:%05d", "id").alias("row_id"))).selectExpr("path", "row_id", "'X' as system", "20 as score", "'t' as target")
+    got = {r.path: r.row_id for r in matching.assigned(tied).collect()}
+    assert got == {f"Log{i:05d}": f"S:{i:05d}" for i in range(n)}
+    edges = [(f"c{i:03d}", f"R:{j:03d}", 2000 - 2 * i - (j != i)) for i in range(steps) for j in (i, i - 1) if j >= 0]
+    chain = spark.createDataFrame([(p, r, "X", s, "t") for p, r, s in edges], "path string, row_id string, system string, score int, target string")
+    assert {r.path: r.row_id for r in matching.assigned(chain).collect()} == greedy(edges, set())
+
+
 def test_ties_are_ambiguous(spark):
     df = spark.createDataFrame([("a", "S:2", "X", 20, "t1"), ("a", "S:10", "X", 20, "t2"), ("b", "S:2", "X", 10, "t1"), ("b", "S:10", "X", 10, "t1"), ("c", "S:10", "X", 9, "t1")], "path string, row_id string, system string, score int, target string")
     out = matching.assigned(df)
