@@ -296,18 +296,48 @@ def test_vector_recall_and_counts(spark):
         assert {i: c for i, (_, c) in got.items()} == roots(range(len(x)), zip(a.tolist(), b.tolist(), strict=True))
 
 
-@pytest.mark.parametrize("rank", [2, 3])
-def test_vector_probes_miss_no_pair_along_a_border(rank):
+@pytest.mark.parametrize("rank,coarse", [(2, 4096), (3, 4096), (6, 4096), (64, 4096), (3, 8), (64, 8)])
+def test_vector_probes_meet_linked_pairs(rank, coarse):
+    """Data of low and of full rank in 64 dimensions with pairs at the threshold, one level of centres and two."""
     rng = np.random.default_rng(rank)
-    x = rng.normal(size=(4000, rank)) @ rng.normal(size=(rank, 64))
+    x = rng.normal(size=(4000, rank)) @ (rng.normal(size=(rank, 64)) if rank < 64 else np.eye(64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = embeddings.ProductIndex.fitted(x, 12_000, 0.9)
-    home = index.coded(x)[0]
-    goes = np.zeros((len(x), len(index.centres)), bool)
-    for i, lists in enumerate(index.probes(x, home)):
+    away = rng.normal(size=(500, rank)) @ (np.linalg.pinv(x[:500]) @ x[:500] if rank < 64 else np.eye(64))[:rank]
+    away -= (away * x[:500]).sum(1, keepdims=True) * x[:500]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x[500:1000] = 0.901 * x[:500] + np.sqrt(1 - 0.901**2) * away
+    index = embeddings.ProductIndex.fitted(x, 12_000, 0.9, coarse)
+    home, _, _, probes = index.coded(x)
+    goes = np.zeros((len(x), index.norms.size), bool)
+    for i, lists in enumerate(probes):
         goes[i, [home[i], *lists]] = True
-    a, b = np.nonzero(x @ x.T >= 0.9)
-    assert len(index.centres) == 46 and (goes[a, home[b]] | goes[b, home[a]]).all()
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert index.norms.size >= 40 and len(index.coarse) == min(coarse, 46) and len(a) >= 500
+    assert np.mean(goes[a, home[b]] | goes[b, home[a]]) >= 0.995
+    if rank == 64:
+        assert np.mean(goes) < 0.3
+
+
+def test_vector_recall_at_the_threshold(spark):
+    """64 dimensions, 25 lists, every link planted at a cosine of 0.9 to 0.92: the whole operator against brute force."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.normal(size=(1500, 64))
+    other -= (other * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9005, 0.92, size=(1500, 1))
+    x[2000:3500] = cosine * x[:1500] + np.sqrt(1 - cosine**2) * other
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = np.array([r.n_links for r in embeddings.near_vectors(df).orderBy("vec_id").collect()])
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert want.sum() >= 3000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_vectors_of_any_scale(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 1e198]), (3, [5e-324, 0.0]), (4, [1e-300, 1e-302]), (5, [0.0, 1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
 
 
 def test_vector_links_in_blocks_and_parts(spark, monkeypatch):
