@@ -11,7 +11,8 @@ loss mask is a list of spans (start, length in UTF-8 bytes): each text of the
 assistant, without marks.
 
 A conversation is one value of the result and so is gathered by one task;
-that bounds a conversation to what one string holds (2 GB), nothing else.
+that bounds a conversation to what one string holds (2 GB). Time grows with a
+conversation's length: spans come from running totals along its pieces.
 
 Defined cases: null text or role counts as empty; rows of one conversation
 sort by turn (null first), then role, then text, so repeated rows and ties are
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.arrays import bound, running_sum
+
 START, TEXT, NEXT, END = "<|start|>", "<|text|>", "<|next|>", "<|end|>"
 BACKSLASH = "\\"
 
@@ -59,14 +62,10 @@ def formatted(turns: DataFrame, learn: str = "assistant") -> DataFrame:
         return F.concat(F.array(mark(F.concat(F.lit(START), escaped(m["role"]), F.lit(TEXT)))), F.flatten(texts), F.array(mark(END)))
 
     convs = convs.withColumn("pieces", F.flatten(F.transform("messages", pieces)))
-    none = F.array().cast("array<struct<start:long,length:long>>")
-
-    def span(acc: Column, p: Column) -> Column:
-        n = F.octet_length(p["text"]).cast("long")
-        here = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(p["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate("pieces", F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), span, lambda acc: acc["spans"])
+    convs = convs.withColumn("lengths", F.transform("pieces", lambda p: F.octet_length(p["text"]).cast("long")))
+    span = lambda p, end: F.struct((end - F.octet_length(p["text"])).alias("start"), F.octet_length(p["text"]).cast("long").alias("length"), p["loss"].alias("loss"))
+    spans = F.filter(F.zip_with("pieces", running_sum(F.col("lengths")), span), lambda s: s["loss"])
+    spans = F.transform(spans, lambda s: F.struct(s["start"], s["length"]))
     return convs.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"), spans.alias("loss_mask"))
 
 
@@ -76,11 +75,12 @@ def read_back(df: DataFrame) -> DataFrame:
 
     def turns(message: Column) -> Column:
         halves = F.split(F.substring(message, len(START) + 1, 1 << 30), r"<\|text\|>", -1)
-        return F.transform(F.split(F.get(halves, F.lit(1)), r"<\|next\|>", -1), lambda t: F.struct(unescaped(F.get(halves, F.lit(0))).alias("role"), unescaped(t).alias("text")))
+        return bound(halves, lambda h: F.transform(F.split(F.get(h, F.lit(1)), r"<\|next\|>", -1), lambda t: F.struct(unescaped(F.get(h, F.lit(0))).alias("role"), unescaped(t).alias("text"))))
 
-    messages = F.slice(parts, 1, F.size(parts) - 1)
-    cut = lambda s: unescaped(F.substring(F.col("formatted").cast("binary"), (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string"))
-    return df.select("conv_id", F.flatten(F.transform(messages, turns)).alias("turns"), F.array_join(F.transform("loss_mask", cut), "").alias("loss_text"), "formatted")
+    messages = bound(parts, lambda p: F.slice(p, 1, F.size(p) - 1))
+    cut = lambda b, s: unescaped(F.substring(b, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string"))
+    under = bound(F.col("formatted").cast("binary"), lambda b: F.transform("loss_mask", lambda s: cut(b, s)))
+    return df.select("conv_id", F.flatten(F.transform(messages, turns)).alias("turns"), F.array_join(under, "").alias("loss_text"), "formatted")
 
 
 PLANTED = "\\### Assistant: </turn> ok"

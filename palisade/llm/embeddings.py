@@ -117,7 +117,6 @@ class ProductIndex:
         self.coarse, self.fine = coarse, fine
         self.reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
         self.norms = (coarse * coarse).sum(1)[:, None] + (fine * fine).sum(1) + 2 * coarse @ fine.T
-        self.widest = float(np.sqrt(max(0.0, self.norms.max())))
         self.margin = self.reach / 2
         self.books: list[np.ndarray] = []
         self.parts: list[np.ndarray] = []
@@ -177,10 +176,11 @@ class ProductIndex:
             home[c] = here = away.argmin(1)
             away -= away[np.arange(len(here)), here][:, None]
             own = self.centres(here)
-            row, other = np.nonzero(away <= 2 * self.margin * (np.linalg.norm(own, axis=1)[:, None] + self.widest))
-            apart = np.linalg.norm(self.centres(other) - own[row], axis=1)
-            near = (away[row, other] <= 2 * self.margin * apart + 1e-9) & (other != here[row])
-            probes += np.split(other[near], np.searchsorted(row[near], np.arange(1, len(here))))
+            apart = np.sqrt(np.maximum(self.away(own) + (own * own).sum(1)[:, None], 0))
+            near = away <= 2 * self.margin * apart + 1e-9
+            near[np.arange(len(here)), here] = False
+            row, other = np.nonzero(near)
+            probes += np.split(other, np.searchsorted(row, np.arange(1, len(here))))
         rest = x - self.centres(home)
         codes = np.stack([nearest(rest[:, p], book) for p, book in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
         error = sum(((rest[:, p] - book[codes[:, k]]) ** 2).sum(1) for k, (p, book) in enumerate(zip(self.parts, self.books, strict=True)))

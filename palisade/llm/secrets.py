@@ -12,7 +12,8 @@ identifiers joined from ordinary words on the other. The sample is bounded
 class). Documents also hold secrets that nobody labelled: a first pair of models,
 whose ordinary side is seeded alone, keeps their words that look random out of
 the ordinary class. The threshold is the score that a share FALSE_ALARMS of the
-ordinary strings held back exceeds, of those that could be reported at all.
+ordinary strings held back exceeds, or, where higher, that a share MISSED of
+the shortest random strings held back falls below.
 The models are of one size and go out with the scanning function; whole texts
 are scanned, in one pass and without a shuffle.
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_VALUES, SEED, LEAST, MARGIN, PSEUDO, FALSE_ALARMS = 1000, 4000, 11, 20, 0.15, 0.2, 0.001
+SAMPLE_DOCS, SAMPLE_VALUES, SEED, LEAST, MARGIN, PSEUDO, FALSE_ALARMS, MISSED = 1000, 4000, 11, 20, 0.15, 0.2, 0.001, 0.01
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
@@ -101,45 +102,56 @@ class RandomStrings:
         c = codes(s)
         return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean()) if len(c) > 2 else -math.inf
 
-    @staticmethod
-    def mixed(s: str) -> bool:
-        return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-
     def accepts(self, s: str) -> bool:
-        return self.mixed(s) and self.mean(s) > self.threshold
+        return self.mean(s) > self.threshold
 
     @classmethod
-    def between(cls, secret: list[str], ordinary: list[str], held_back: list[str]) -> RandomStrings:
-        """Models of both classes; of the strings held back only those that could be reported count for the threshold."""
+    def between(cls, secret: list[str], ordinary: list[str], held_back: list[str], random_back: list[str]) -> RandomStrings:
+        """Models of both classes; of the strings held back only those long enough to be reported count for the threshold."""
         made = cls(CharMarkov(secret).logp - CharMarkov(ordinary).logp, 0.0)
-        seen = [made.mean(s) for s in held_back if len(s) >= LEAST and cls.mixed(s)]
+        seen = [made.mean(s) for s in held_back if len(s) >= LEAST]
         if seen:
-            made.threshold = max(0.0, float(np.quantile(seen, 1 - FALSE_ALARMS)) + MARGIN)
+            made.threshold = max(0.0, float(np.quantile(seen, 1 - FALSE_ALARMS)) + MARGIN, float(np.quantile([made.mean(s) for s in random_back], MISSED)))
         return made
 
     @classmethod
     def trained(cls, secret: list[str], ordinary: list[str], seed: int = SEED) -> RandomStrings:
         rng = random.Random(seed)
         secret, words = sorted(set(secret))[:SAMPLE_VALUES], sorted(set(ordinary))[:SAMPLE_VALUES]
-        letters = ALPHABET[:62]
-        for alphabet in (letters, ALPHABET[:64], letters + "-_", "0123456789abcdef", ALPHABET[26:62]):
+        letters, random_back = ALPHABET[:62], []
+        for alphabet in (letters, ALPHABET[:64], letters + "-_", "0123456789abcdef", ALPHABET[26:62], ALPHABET[:52], ALPHABET[:26]):
             secret += ["".join(rng.choices(alphabet, k=rng.randint(LEAST, 48))) for _ in range(SAMPLE_VALUES // 5)]
+            random_back += ["".join(rng.choices(alphabet, k=LEAST)) for _ in range(200)]
 
         def identifier(numbered: float) -> str:
             parts = rng.choices(ORDINARY, k=rng.randint(2, 5))
             if rng.random() < numbered:
                 parts.append(str(rng.randint(0, 3000)))
             kind = rng.random()
-            return "".join(p.title() for p in parts) if kind < 0.3 else rng.choice("_-/.").join(parts) if kind < 0.9 else "_".join(parts).upper()
+            if kind < 0.1:  # numbers, times and rules are no secrets
+                return rng.choice(("", "-", "_", "/")).join(str(rng.randint(0, 99999)) for _ in range(rng.randint(4, 8))) if kind < 0.08 else rng.choice("-=_+/") * rng.randint(LEAST, 60)
+            return "".join(p.title() for p in parts) if kind < 0.35 else rng.choice("_-/.").join(parts) if kind < 0.9 else "_".join(parts).upper()
 
         seeded = [identifier(0.4) for _ in range(SAMPLE_VALUES)]
-        seeded_back = [identifier(1.0) for _ in range(SAMPLE_VALUES)]
+        seeded_back = [identifier(0.7) for _ in range(SAMPLE_VALUES)]
         rng.shuffle(secret)
-        first = cls.between(secret, seeded, seeded_back)
+        first = cls.between(secret, seeded, seeded_back, random_back)
         words = [w for w in words if not first.accepts(w)]  # secrets without a label, or what can't be told from them
         rng.shuffle(words)
         back = len(words) // 5
-        return cls.between(secret, seeded + words[back:], seeded_back + words[:back])
+        return cls.between(secret, seeded + words[back:], seeded_back + words[:back], random_back)
+
+
+def outside(spans: list[tuple[str, int, int]], matches: Iterator[re.Match]) -> Iterator[re.Match]:
+    """Of matches in order, those that no span overlaps: one sweep over both."""
+    left = sorted((a, b) for _, a, b in spans)
+    at, upto = 0, -1
+    for m in matches:
+        while at < len(left) and left[at][0] < m.end():
+            upto = max(upto, left[at][1])
+            at += 1
+        if upto <= m.start():
+            yield m
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +164,7 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for kind, a, b in spans:
                 value = ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b]
                 out.append((1, value[:64]))
-            for m in re.finditer(r"[A-Za-z0-9+/_=.-]{8,64}", text):
-                if not any(m.start() < b and a < m.end() for _, a, b in spans):
-                    out.append((0, m[0]))
+            out += [(0, m[0]) for m in outside(spans, re.finditer(r"[A-Za-z0-9+/_=.-]{8,64}", text))]
         kept = sorted(set(out))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int32()), pa.array([x[1] for x in kept], pa.string())], names=["y", "value"])
 
@@ -172,8 +182,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Rand
 def scan(text: str, model: RandomStrings) -> list[tuple[str, int, int]]:
     spans = base_spans(text)
     if any(len(w) >= LEAST for w in text.split()):
-        taken = [(a, b) for _, a, b in spans]
-        spans += [("random", *m.span()) for m in CANDIDATE.finditer(text) if not any(m.start() < b and a < m.end() for a, b in taken) and model.accepts(m[0])]
+        spans += [("random", *m.span()) for m in outside(spans, CANDIDATE.finditer(text)) if model.accepts(m[0])]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

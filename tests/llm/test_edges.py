@@ -91,6 +91,32 @@ def test_chat(spark):
     assert chat.formatted(spark.createDataFrame([], kind)).collect() == []
 
 
+def test_chat_in_linear_time(spark):
+    import time
+
+    def took(n, role):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("text <| "), F.col("id")).alias("text"))
+        began = time.perf_counter()
+        r = chat.read_back(chat.formatted(rows)).first()
+        took = time.perf_counter() - began
+        texts = [f"text <| {i}" for i in range(n)]
+        assert [t.text for t in r.turns] == texts and r.loss_text == "".join(t for t, turn in zip(texts, r.turns, strict=True) if turn.role == "assistant")
+        return took
+
+    for role in (F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"), F.lit("assistant")):
+        took(1000, role)
+        assert took(40_000, role) < 3 * max(1.0, took(20_000, role))
+
+
+def test_running_totals(spark):
+    from palisade.llm.arrays import running_max, running_sum
+
+    for n in (0, 1, 31, 32, 33, 1024, 1025, 40_000):
+        rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i * 7919) % 1000).cast("array<long>").alias("v") if n else F.array().cast("array<long>").alias("v"))
+        v, sums, most = rows.select("v", running_sum(F.col("v")), running_max(F.col("v"))).first()
+        assert sums == np.cumsum(v).tolist() and most == np.maximum.accumulate(np.array(v, int)).tolist()
+
+
 def test_bpe(docs, empty):
     import public_tokenizers as P
     import tiktoken
@@ -150,6 +176,37 @@ def test_secrets(docs, empty, spark):
     assert got == [("random", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"), ("assign", "Password = 'abcdefgh")]
 
 
+def test_secrets_told_from_identifiers(spark, sf):
+    """Held-out strings of both classes against models of the small table: recall by alphabet, precision on words without a seed."""
+    import random
+    import string
+
+    rng = random.Random(5)
+    model = secrets.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (lower + upper + digits, lower + upper, lower, upper + digits, digits + "abcdef"):
+        keys = ["".join(rng.choices(alphabet, k=k)) for k in (20, 24, 32, 40) for _ in range(250)]
+        assert np.mean([model.accepts(k) for k in keys]) >= 0.97
+    unseen = "anchor bundle carrier deposit economy forest garden harbor island jungle kitchen lantern mirror needle orchard planet quarter rocket shelter tunnel umbrella valley winter yellow".split()
+    assert not set(unseen) & set(secrets.ORDINARY)
+    names = [join(rng.choices(unseen, k=4)) for join in ("_".join, "-".join, "/".join, lambda p: "".join(w.title() for w in p)) for _ in range(500)]
+    names += ["2024-01-31-12-30-59", "0" * 24, "=" * 40, "20240131123059999999", "-_" * 12]
+    assert np.mean([model.accepts(n) for n in names]) <= 0.02
+
+
+def test_secrets_in_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert len(secrets.scan("token=abcdefgh1234 plain_words_in_between_them " * n, secrets_model)) == n
+        return time.perf_counter() - began
+
+    secrets_model = secrets.RandomStrings.trained([], [])
+    took(2000)
+    assert took(40_000) < 4 * max(0.05, min(took(20_000), took(20_000)))
+
+
 def test_near(docs, empty):
     rows = by_id(minhash.near_duplicates(docs, n_words=2))
     assert rows[1].n_shingles == 0 and rows[1].component_id == 1 and rows[2].component_id == 2
