@@ -3,14 +3,15 @@ r"""Personal data: fixed shapes, and identifiers bootstrapped from their context
 Built-in functions only. Four kinds have fixed shapes (email, ip, card, phone).
 Their instances are the seeds of a graph between instances and lexical patterns,
 a pattern being the word, or the two words, in front of an instance. The graph is
-scored ROUNDS times: a pattern's confidence is the share of all its occurrences
+scored until a round accepts no new pattern: a pattern's confidence is the share of all its occurrences
 in the corpus that precede an instance, each weighed by its score, and a new
 instance's score is the noisy-or of its confident patterns. A pattern counts only
 with SUPPORT different instances of score 1 or discovered before. Identifier-like
 words that confident patterns reach are reported as kind context.
 
-Positions come from the texts between matches, split off by the same pattern, so
-a text is scanned in linear time. The graph has one row for each pattern and
+Positions are running totals of the texts between matches, split off by the same
+pattern, and the words in front of a match are read from these texts, so the time
+grows with a text's length. The graph has one row for each pattern and
 instance, counted before the shuffle; texts are never shuffled. Patterns are
 joined to the corpus's words by broadcast while they are measured to be few.
 
@@ -18,8 +19,8 @@ Spans are (kind, start, end) in code points, end exclusive.
 
 Defined cases: null text counts as empty and has no spans; rows that repeat a
 doc_id are searched each for itself; an empty table gives no rows; columns other
-than id and text are not read; identifiers of over LONGEST code points and
-contexts of over WINDOW are no features of the graph (fixed shapes have no limit).
+than id and text are not read; an instance that no blank precedes has no pattern,
+nor has one whose preceding words run into the third match of its kind before it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm.arrays import bound, running_max, running_sum
 from palisade.llm.store import small_enough, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,7 +44,10 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 WORD = r"[^\x20\x09-\x0D]"
 #: Words with a digit or @, whole.
 IDENTIFIER = rf"(?<!{WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+"
-ROUNDS, SUPPORT, CONFIDENT, LEAST_DIGITS, SHORTEST, LONGEST, WINDOW = 3, 5, 0.8, 4, 6, 64, 64
+BLANK = r"[\x20\x09-\x0D]"
+SUPPORT, CONFIDENT, LEAST_DIGITS, SHORTEST = 5, 0.8, 4, 6
+#: Code points in which the words before a match are sought first, and a mark for where known text begins inside a word.
+NEAR, TORN, FAR = 128, "\x01", 1 << 40
 
 
 def only_digits(s: Column) -> Column:
@@ -68,60 +73,80 @@ def holds(kind: str, m: Column) -> Column:
 
 
 SPAN = "array<struct<kind:string,start:long,end:long>>"
+MARK = "array<struct<kind:string,start:long,end:long,instance:string,patterns:array<string>>>"
+
+
+def patterns_before(m: Column, between: Column, i: Column) -> Column:
+    """The word and the two words in front of match i, '' where there are none, from the texts around the matches before."""
+    close = F.substring(F.get(between, i), -NEAR, NEAR)
+    fast = F.regexp_extract(close, rf"{BLANK}({WORD}+{BLANK}+{WORD}+){BLANK}+$", 1)
+
+    def slow() -> Column:
+        piece = lambda a, k: F.coalesce(F.get(a, i - k), F.lit(""))
+        whole = F.concat(F.when(i > 2, TORN).otherwise(""), piece(between, 2), piece(m, 2), piece(between, 1), piece(m, 1), piece(between, 0))
+        found = lambda w: bound(F.regexp_extract(w, rf"(?<!{WORD})({WORD}+{BLANK}+{WORD}+){BLANK}+$", 1), lambda two: F.when(two != "", two).otherwise(F.regexp_extract(w, rf"(?<!{WORD})({WORD}+){BLANK}+$", 1)))
+        return bound(whole, found)
+
+    words = bound(fast, lambda two: F.split(F.lower(F.when(two != "", two).otherwise(slow())), rf"{BLANK}+"))
+    sound = lambda p: F.when(F.contains(p, F.lit(TORN)), "").otherwise(p)
+    return bound(words, lambda w: F.array(sound(F.element_at(w, -1)), F.when(F.size(w) > 1, sound(F.array_join(w, " "))).otherwise("")))
 
 
 def places(kind: str, text: Column, shape: str, valid) -> Column:
-    """Spans of the matches of shape in text that are valid; failing matches are used up."""
-    found, between = F.regexp_extract_all(text, F.lit(shape), F.lit(0)), F.split(text, shape, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), valid(m).alias("ok")))
+    """Marks of the matches of shape in text that are valid; failing matches are used up."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(shape), F.lit(0)).alias("m"), F.split(text, shape, -1).alias("b"))
 
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + p["gap"]
-        here = F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), (a + p["n"]).alias("end")))
-        return F.struct((a + p["n"]).alias("at"), F.when(p["ok"], F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+    def marks(p: Column) -> Column:
+        ends = running_sum(F.zip_with(F.slice(p["b"], 1, F.size(p["m"])), p["m"], lambda gap, m: (F.length(gap) + F.length(m)).cast("long")))
+        rows = F.filter(F.transform(ends, lambda end, i: F.struct(end.alias("end"), i.alias("i"))), lambda r: valid(F.get(p["m"], r["i"])))
+        made = lambda r, m: F.struct(F.lit(kind).alias("kind"), (r["end"] - F.length(m)).alias("start"), r["end"].alias("end"), F.sha2(m, 256).alias("instance"), patterns_before(p["m"], p["b"], r["i"]).alias("patterns"))
+        return F.transform(rows, lambda r: made(r, F.get(p["m"], r["i"])))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    return bound(parts, marks)
 
 
-def base_spans(text: Column) -> Column:
-    none = F.array().cast(SPAN)
+def base_marks(text: Column) -> Column:
+    none = F.array().cast(MARK)
     seen = lambda kind: F.contains(text, F.lit("@")) if kind == "email" else F.rlike(text, F.lit(HINTS[kind]))
     return F.concat(*[F.when(seen(k), places(k, text, SHAPES[k], lambda m, k=k: holds(k, m))).otherwise(none) for k in KINDS])
 
 
-def with_context(text: Column, spans: Column) -> Column:
-    """Spans with the instance and the one and two words in front of it."""
+def apart(base: Column, other: Column) -> Column:
+    """The marks of other that none of base overlaps: one sweep over both in order of start."""
+    both = F.sort_array(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(-1).alias("at"))), F.transform(other, lambda o, i: F.struct(o["start"].alias("start"), o["end"].alias("end"), i.alias("at")))))
+    upto = lambda a: running_max(F.transform(a, lambda x: F.when(x["at"] < 0, x["end"]).otherwise(F.lit(-1).cast("long"))))
+    beyond = lambda a: F.reverse(running_max(F.reverse(F.transform(a, lambda x: F.when(x["at"] < 0, FAR - x["start"]).otherwise(F.lit(-1).cast("long"))))))
 
-    def full(s: Column) -> Column:
-        front = F.lower(F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(WINDOW)).cast("int")))
-        two = F.regexp_extract(front, rf"(?<!{WORD})({WORD}+[\x20\x09-\x0D]+{WORD}+)[\x20\x09-\x0D]+$", 1)
-        one = F.regexp_extract(front, rf"(?<!{WORD})({WORD}+)[\x20\x09-\x0D]+$", 1)
-        value = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(value, 256).alias("instance"), F.array(one, F.regexp_replace(two, r"[\x20\x09-\x0D]+", " ")).alias("patterns"))
+    def swept(a: Column, before: Column, after: Column) -> Column:
+        hit = lambda x, i: (F.get(before, i) > x["start"]) | (FAR - F.get(after, i) < x["end"])
+        free = F.filter(F.transform(a, lambda x, i: F.struct(x["at"].alias("at"), hit(x, i).alias("hit"))), lambda x: (x["at"] >= 0) & ~x["hit"])
+        return F.transform(free, lambda x: F.get(other, x["at"]))
 
-    return F.transform(spans, full)
+    return bound(both, lambda a: bound(upto(a), lambda before: bound(beyond(a), lambda after: swept(a, before, after))))
 
 
 def searched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, doc_id, base spans, seeds and candidates with contexts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
-    like = lambda m: F.length(m).between(SHORTEST, LONGEST) & ((F.length(only_digits(m)) >= LEAST_DIGITS) | F.contains(m, F.lit("@")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    like = lambda m: (F.length(m) >= SHORTEST) & ((F.length(only_digits(m)) >= LEAST_DIGITS) | F.contains(m, F.lit("@")))
     text = F.col("text")
-    other = F.when(F.rlike(text, F.lit("[0-9@]")), places("context", text, IDENTIFIER, like)).otherwise(F.array().cast(SPAN))
-    free = F.filter(other, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = rows.withColumn("other", free)
-    return written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", with_context(text, F.concat("base", "other")).alias("marks")), "searched")
+    other = F.when(F.rlike(text, F.lit("[0-9@]")), places("context", text, IDENTIFIER, like)).otherwise(F.array().cast(MARK))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", base_marks(text).alias("found"), other.alias("other"))
+    free = F.when((F.size("found") == 0) | (F.size("other") == 0), F.col("other")).otherwise(apart(F.col("found"), F.col("other")))
+    span = lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"))
+    return written(rows.select("row", "doc_id", F.transform("found", span).alias("base"), F.concat("found", free).alias("marks")), "searched")
 
 
 def pattern_totals(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     """pattern, total: how often each of the patterns occurs in all texts."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     both = docs.select(words.alias("w")).select(F.explode(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("pattern"))
-    few = small_enough(patterns, 120)
-    return both.join(F.broadcast(patterns) if few else patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    if small_enough(patterns, 120):
+        return both.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    return both.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")  # counted in each task before the shuffle
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
     """doc_id, spans array<struct<kind, start, end>> by kind, then start; context last."""
     rows = searched(docs, id_col, text_col)
     marks = rows.select("row", F.explode("marks").alias("m")).select("row", "m.*")
@@ -131,12 +156,16 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     totals = written(pattern_totals(docs, text_col, wide), "pattern-totals")
     graph = written(graph.join(totals, "pattern"), "wide-graph")
     scores = graph.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
-    for _ in range(rounds):
+    accepted = 0
+    while True:
         weighed = graph.join(scores, "instance")
         good = weighed.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"), F.count_if(F.col("score") >= confident).alias("known"))
         good = written(good.where((F.col("known") >= support) & (F.col("confidence") >= confident)).select("pattern", F.least("confidence", F.lit(0.999)).alias("confidence")), "good-patterns")
         doubt = F.exp(F.sum(F.log1p(-F.coalesce("confidence", F.lit(0.0)))))
         scores = written(graph.join(good, "pattern", "left").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - doubt).alias("score")), "scores")
+        before, accepted = accepted, good.count()  # scores only rise, so patterns once accepted stay
+        if accepted == before:
+            break
     reached = written(scores.where(F.col("score") >= confident).select("instance").join(graph.where("not seed").select("instance"), "instance", "left_semi"), "reached")
     new = marks.where("kind = 'context'").join(reached, "instance", "left_semi").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("new"))
     spans = F.concat("base", F.sort_array(F.coalesce("new", F.array().cast(SPAN))))

@@ -326,6 +326,38 @@ def test_pii_is_linear_in_long_texts(spark):
     assert len(pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()) == 1
 
 
+def test_pii_is_linear_in_spans(spark):
+    import time
+
+    def took(n):
+        text = " ".join(f"user{i}@mail{i}.example.com" for i in range(n))
+        rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        spans = pii.personal_data(rows).first().spans
+        took = time.perf_counter() - began
+        assert len(spans) == n and text[spans[-1].start : spans[-1].end] == f"user{n - 1}@mail{n - 1}.example.com"
+        return took
+
+    took(100)
+    assert took(40_000) < 3 * took(20_000)
+
+
+def test_pii_contexts(spark):
+    """Words in front of instances, near and far, next to other instances and torn; identifiers over base spans are no candidates."""
+    far = "x" * 300
+    texts = ["mail to a@b.c", f"{far} {far} a@b.c", "a@b.c d@e.f g@h.i", "one\t a@b.c", "a@b.c", "email:a@b.c", "see 1.2.3.4 5.6.7.8"]
+    rows = pii.searched(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    got = {r.doc_id: [[p for p in m.patterns if p] for m in r.marks if m.kind != "context"] for r in rows.collect()}
+    assert got[0] == [["to", "mail to"]] and got[1] == [[far, f"{far} {far}"]] and got[3] == [["one"]]
+    assert got[2] == [[], ["a@b.c"], ["d@e.f", "a@b.c d@e.f"]] and got[4] == [[]] and got[5] == [[]]
+    assert got[6] == [["see"], ["1.2.3.4", "see 1.2.3.4"]]
+    words = " ".join(f"id{10000 + i} 10.0.0.{i % 250}" for i in range(600))
+    marks = pii.searched(spark.createDataFrame([(1, words)], "doc_id long, text string"), "doc_id", "text").first().marks
+    taken = [(m.start, m.end) for m in marks if m.kind != "context"]
+    free = [words[m.start : m.end] for m in marks if m.kind == "context"]
+    assert len(taken) == 600 and free == [f"id{10000 + i}" for i in range(600)]
+
+
 def test_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0]), (10, [0.0, 1.0])]
