@@ -1,39 +1,44 @@
-"""Byte-level BPE encoding and decoding by merge replay.
-
-The words of a block of documents (the matches of the tokenizer's pattern) are
-laid out in one array of tokens. An inverted index leads from the rank of a
-token pair to the positions where the pair stands; ranks are taken lowest
-first, all positions of a rank are merged from left to right, and only the two
-neighbours of each merge enter the index anew. Words don't influence each
-other, so replaying block by block gives what replaying the corpus would, and
-nothing is shuffled. Words seen before are remembered up to KEPT_WORDS in each
-Python worker. The vocabulary (under 1 MB) goes out with the function.
+"""Byte-level BPE encoding and decoding by a merge replay over the corpus's words.
+
+Three steps. Documents are cut into words (the matches of the tokenizer's pattern)
+and written as numbers into the vocabulary of their block, a stretch of
+documents with at most about BLOCK_WORDS different words or BLOCK_CHARS characters.
+The words of all vocabularies, each once in the corpus, are laid out in arrays of
+tokens with an inverted index from the rank of a token pair to the positions where the
+pair stands: ranks are taken lowest first, all positions of a rank are merged from
+left to right, and only the two neighbours of each merge enter the index anew. Last,
+the ids of a block's words return to it by a join on the word, and its documents'
+numbers are looked up in them.
+
+A word that every document holds is replayed once and costs one row a block. Words
+don't influence each other, so the index is cut in parts of REPLAYED words, dealt by
+hash. What a task holds is one block or one part. The vocabulary of tokens (under 1 MB)
+goes out with the functions.
 
 Defined cases: null text counts as empty; empty texts have no ids and decode to
-nothing; texts of any length are cut in blocks of documents, never themselves;
-repeated rows repeat their result; an empty table gives no rows; columns other
-than the id and the text are not read.
+nothing; a text of any length is in one block whole; repeated rows repeat their
+result; an empty table gives no rows; columns other than the id and the text are
+not read.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import sys
-import types
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.store import small_batches, trim_memory
+from palisade.llm.store import small_batches, trim_memory, written
 
-#: Words remembered by a worker, and characters of the documents replayed together.
-KEPT_WORDS, BLOCK_CHARS = 160_000, 1 << 21
+#: Different words and characters of a block's documents, and words replayed over one index.
+BLOCK_WORDS, BLOCK_CHARS, REPLAYED = 150_000, 12 << 20, 100_000
 
 #: Unicode's White_Space, which \s means to the tokenizer; Python's \s has U+001C to U+001F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,15 +69,6 @@ def exact_space(pattern: str) -> str:
     return "".join(out)
 
 
-def worker_memo(key: str) -> dict:
-    """A dict that outlives the task, as workers unpickle functions anew for each; another operator's takes its place."""
-    home = sys.modules.setdefault("_palisade_memo", types.ModuleType("_palisade_memo")).__dict__.setdefault("held", {})
-    if key not in home:
-        home.clear()
-        home[key] = {}
-    return home[key]
-
-
 class MergeReplay:
     """Encodes words by replaying merges over all of them at once."""
 
@@ -246,59 +242,94 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full.findall(text) if high(text) else fast.findall(text)
 
 
-class KnownWords:
-    """Ids of words, remembered in two generations of half the bound each: what is used again survives."""
-
-    def __init__(self, replay: MergeReplay, most: int):
-        self.replay, self.half = replay, most // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of all words of a block."""
-        if len(self.young) >= self.half:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        fresh = [w for w in words if w not in young]
-        unknown = []
-        for w in fresh:
-            if w in old:
-                young[w] = old[w]
-            else:
-                unknown.append(w)
-        young.update(zip(unknown, self.replay.encode([w.encode() for w in unknown]), strict=True))
-        return young
+def cut_batches(pattern: str, block_words: int, block_chars: int):
+    """Rows (block, doc_id, words as numbers, null), and after a block's documents one (block, null, null, vocabulary)."""
 
-
-def encode_batches(ranks: dict[bytes, int], pattern: str, kept_words: int = KEPT_WORDS, block_chars: int = BLOCK_CHARS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(f"bpe-{hash(pattern)}-{len(ranks)}-{hash(frozenset(ranks.items()))}")
-        if not memo:
-            memo |= {"split": splitter(pattern), "known": KnownWords(MergeReplay(ranks), kept_words)}
-        split, known = memo["split"], memo["known"]
+        split, kind = splitter(pattern), None
+        first = TaskContext.get().partitionId() << 33
+        block, chars, vocabulary = 0, 0, {}
 
-        def encoded_block(ids: pa.Array, block: list[list[str]]) -> pa.RecordBatch:
-            found = known.learn(set().union(*block)).__getitem__
-            return pa.RecordBatch.from_arrays([ids, pa.array([b"".join(map(found, words)) for words in block], pa.binary())], names=["doc_id", "ids"])
+        def closed() -> pa.RecordBatch:
+            words = pa.array([list(vocabulary)], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([first + block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), words], names=["block", "doc_id", "words", "vocabulary"])
 
         for batch in batches:
-            block: list[list[str]] = []
-            chars = start = 0
+            kind, numbers, start = batch.schema.types[0], [], 0
+
+            def cut(upto: int) -> pa.RecordBatch:
+                n = len(numbers)
+                return pa.RecordBatch.from_arrays([pa.array([first + block] * n, pa.int64()), batch.column(0).slice(upto - n, n), pa.array(numbers, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["block", "doc_id", "words", "vocabulary"])
+
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                block.append(split(text))
+                words = split(text)
+                for w in set(words).difference(vocabulary):
+                    vocabulary[w] = len(vocabulary)
+                numbers.append(np.fromiter(map(vocabulary.__getitem__, words), "<u4", len(words)).tobytes())
                 chars += len(text)
-                if chars >= block_chars or i + 1 == batch.num_rows:
-                    yield encoded_block(batch.column(0).slice(start, len(block)), block)
-                    start, chars, block = i + 1, 0, []
+                if len(vocabulary) >= block_words or chars >= block_chars:
+                    yield cut(i + 1)
+                    yield closed()
+                    block, chars, numbers, vocabulary = block + 1, 0, [], {}
+            yield cut(batch.num_rows)
+        if vocabulary:
+            yield closed()
+        vocabulary = {}
+        trim_memory()
 
     return run
 
 
+def replay_batches(ranks: dict[bytes, int], replayed: int):
+    """word, ids of rows (word): parts of `replayed` words, each over one index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay, part = MergeReplay(ranks), []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids = replay.encode([w.encode() for w in part])
+            for at in range(0, len(part), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(part[at : at + 10_000], pa.string()), pa.array(ids[at : at + 10_000], pa.binary())], names=["word", "ids"])
+
+        for batch in batches:
+            part += batch.column(0).to_pylist()
+            if len(part) >= replayed:
+                yield from done()
+                part = []
+        if part:
+            yield from done()
+        replay = part = None
+        trim_memory()
+
+    return run
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> bytes:
+    """The stretches at[0], at[1] ... of flat, one after another."""
+    n = sizes[at]
+    upto = np.cumsum(n)
+    return flat[np.repeat(starts[at] - (upto - n), n) + np.arange(upto[-1] if len(at) else 0)].tobytes()
+
+
+def _laid(parts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), np.cumsum(sizes) - sizes, sizes
+
+
+def _looked_up(key, docs: pa.Table, words: pa.Table) -> pa.Table:
+    """doc_id, ids of a block's documents from its vocabulary's rows (at, ids)."""
+    order = np.argsort(words.column("at").to_numpy(), kind="stable")
+    flat, starts, sizes = _laid(words.column("ids").take(pa.array(order)).to_pylist(), "<u4")
+    ids = [_gathered(flat, starts, sizes, np.frombuffer(x.as_buffer(), "<u4")) for x in docs.column("words")]
+    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(ids, pa.binary())})
+
+
 def decode_batches(tokens: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, starts, sizes = _laid(tokens, "u1")
         for batch in batches:
-            decoded = [b"".join(map(tokens.__getitem__, np.frombuffer(x.as_buffer() or b"", "<u4").tolist())) for x in batch.column(1)]
+            decoded = [_gathered(flat, starts, sizes, np.frombuffer(x.as_buffer() or b"", "<u4")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
             decoded = batch = None
             trim_memory()
@@ -306,10 +337,17 @@ def decode_batches(tokens: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, block_chars: int = BLOCK_CHARS, replayed: int = REPLAYED) -> DataFrame:
     """doc_id, ids (token ids as little-endian unsigned 32-bit integers)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return small_batches(rows).mapInArrow(encode_batches(ranks, pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    cut = written(small_batches(rows).mapInArrow(cut_batches(pattern, block_words, block_chars), f"block long, doc_id {kind}, words binary, vocabulary array<string>"), "words")
+    pairs = cut.where("vocabulary is not null").select(F.col("block").alias("of"), F.posexplode("vocabulary").alias("at", "word"))
+    ids = written(pairs.select("word").distinct().mapInArrow(replay_batches(ranks, replayed), "word string, ids binary"), "word-ids")
+    back = pairs.join(ids, "word").select("of", "at", "ids")
+    numbers = cut.where("words is not null").select("block", "doc_id", "words")
+    looked_up = numbers.where("octet_length(words) > 0").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_looked_up, f"doc_id {kind}, ids binary")
+    return looked_up.unionAll(numbers.where("octet_length(words) = 0").select("doc_id", F.col("words").alias("ids")))
 
 
 def decoded(ids: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -318,18 +356,11 @@ def decoded(ids: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return ids.mapInArrow(decode_batches(tokens), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
-    """doc_id, ids, decoded: decoded() of encoded() in one pass, so the ids meet one Python worker only; sizes as of encode_batches()."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    encode, decode = encode_batches(ranks, pattern, **sizes), decode_batches(MergeReplay(ranks).tokens)
-    return small_batches(rows).mapInArrow(lambda batches: decode(encode(batches)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
-
-
 def digests(docs: DataFrame, **sizes: int) -> DataFrame:
     import public_tokenizers
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    both = round_trip(docs, ranks, public_tokenizers.PATTERN, **sizes)
+    both = decoded(encoded(docs, ranks, public_tokenizers.PATTERN, **sizes), ranks)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -35,7 +35,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.bpe import worker_memo
 from palisade.llm.components import connected_components
 from palisade.llm.store import semi, small_batches, trim_memory, written
 
@@ -82,7 +81,6 @@ def _sign_batches(n_words: int, whole: bool = False):
     mix, step = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memo("minhash")  # drops what other operators remember
         hashed = xxhash.xxh3_64_intdigest
         for batch in batches:
             digests, sizes, signatures, bands, sets = [], [], [], [], []

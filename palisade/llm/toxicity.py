@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.bpe import worker_memo
 from palisade.llm.store import small_batches, trim_memory
 
 SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 40_000
@@ -151,8 +150,7 @@ def _score_batches(model: FactorizationMachine):
     index = {int(t): i for i, t in enumerate(model.terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = worker_memo(f"fm-{hash((model.terms.tobytes(), model.weights.tobytes(), model.bias))}")
-        known = memo.setdefault("known", {})
+        known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             margins = []
             for text in batch.column(1):
