@@ -5,14 +5,17 @@ lower-cased; its reference count is the number of documents that hold it. The
 counts are a table (key digest, count) that insertions add to and deletions
 subtract from. The keys with enough documents stand in cuckoo filters, one a
 shard of the digest space, built and changed next to the counts: a key that
-rises to the threshold is inserted, one that falls below is deleted. Lines are
-first asked of the filters; what these let through is held against the exact
+rises to the threshold is inserted, one that falls below is deleted; when the
+keys outgrow the shards, these are dealt anew. Lines are asked of the filters alone,
+about three bytes a key; only keys that these let through are held against the exact
 table, so a false positive never drops a line.
 
 Counting pre-aggregates in each task, so a line that every document holds costs
-one row a batch. While the dropped keys are measured to fit BROADCAST_BYTES, the
-filters and the exact keys go to the tasks; beyond that, lines meet the table by
-a shuffled join. Keys are known by 128 bits of a hash of the whole key.
+one row a batch. Filters that are measured to fit BROADCAST_BYTES go to the tasks, with
+the few keys they are wrong about. Larger ones stay where they are: lines are dealt to
+the shards, SALTS ways each so that a common line is spread, and stream past their
+filter; what it lets through meets the exact table by a join. Keys are known by
+128 bits of a hash of the whole key.
 
 Defined cases: null or empty text is one empty line; an empty key is never
 dropped; a document that repeats a line counts once for it; rows that repeat a
@@ -32,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.store import BROADCAST_BYTES, written
+from palisade.llm.store import BROADCAST_BYTES, small_enough, written
 
 MIN_DOCS, MIN_CHARS = 10, 1
-#: Keys that one shard's filter is laid out for; the first insertion sets the number of shards by it.
-SHARD_KEYS, LEAST_SHARDS = 200_000, 16
+#: Keys that one shard's filter is laid out for; shards with over twice as many on average are dealt anew.
+SHARD_KEYS, LEAST_SHARDS, SALTS = 200_000, 16, 16
 BLANKS = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -136,7 +139,11 @@ class CuckooFilter:
 
 
 def shard_of(digest: bytes, shards: int) -> int:
-    return (digest[14] << 8 | digest[15]) % shards
+    return int.from_bytes(digest[12:], "big") % shards
+
+
+def shard_column(shards: int):
+    return (F.conv(F.hex(F.substring("digest", 13, 4)), 16, 10).cast("long") % shards).cast("int")
 
 
 def _count_batches(min_chars: int):
@@ -171,20 +178,38 @@ def _filter_shards(min_docs: int):
     return run
 
 
-def _rewrite(filters: dict[int, CuckooFilter], drop: set[bytes], shards: int, min_chars: int):
+def _let_through(filters: dict[int, CuckooFilter], shards: int, digests: set[bytes]) -> set[bytes]:
+    """Those of digests that their shard's filter holds."""
+    by_shard: dict[int, list[bytes]] = {}
+    for d in digests:
+        by_shard.setdefault(shard_of(d, shards), []).append(d)
+    asked = ((order, filters[shard].holds_many(order)) for shard, order in by_shard.items() if shard in filters)
+    return {d for order, held in asked for d, h in zip(order, held, strict=True) if h}
+
+
+def _digests(text: bytes, min_chars: int) -> list[bytes | None]:
+    return [digest_of(k) if k is not None else None for k in keys_of(text, min_chars)]
+
+
+def _held_batches(filters: dict[int, CuckooFilter], shards: int, min_chars: int):
+    """The digests of rows (text) that the filters let through, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = {d for t in batch.column(0) for d in _digests(t.as_py() or b"", min_chars) if d is not None}
+            yield pa.RecordBatch.from_arrays([pa.array(list(_let_through(filters, shards, seen)), pa.binary())], names=["digest"])
+
+    return run
+
+
+def _rewrite(filters: dict[int, CuckooFilter], wrong: set[bytes], shards: int, min_chars: int):
+    """Documents without the lines that the filters hold, but for the digests they are wrong about."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1)]
-            digests = [[digest_of(k) if k is not None else None for k in keys_of(t, min_chars)] for t in texts]
-            by_shard: dict[int, set[bytes]] = {}
-            for d in set().union(*digests) - {None}:
-                by_shard.setdefault(shard_of(d, shards), set()).add(d)
-            gone: set[bytes] = set()
-            for shard, asked in by_shard.items():
-                if shard in filters:
-                    order = list(asked)
-                    let_through = filters[shard].holds_many(order)
-                    gone.update(d for d, maybe in zip(order, let_through, strict=True) if maybe and d in drop)
+            digests = [_digests(t, min_chars) for t in texts]
+            gone = _let_through(filters, shards, set().union(*digests) - {None}) - wrong
             out: list[tuple[int, int, bytes]] = []
             for text, mine in zip(texts, digests, strict=True):
                 dropped = sum(d in gone for d in mine) if gone else 0
@@ -197,6 +222,45 @@ def _rewrite(filters: dict[int, CuckooFilter], drop: set[bytes], shards: int, mi
     return run
 
 
+def _line_batches(min_chars: int):
+    """row, digest, at of rows (row, text): each line's digest once a document, with its positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, digests, places = [], [], []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found: dict[bytes, list[int]] = {}
+                for i, d in enumerate(_digests(text.as_py() or b"", min_chars)):
+                    if d is not None:
+                        found.setdefault(d, []).append(i)
+                rows += [row] * len(found)
+                digests += found
+                places += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(digests, pa.binary()), pa.array(places, pa.list_(pa.int32()))], names=["row", "digest", "at"])
+
+    return run
+
+
+def _stream_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, digest, at that the filter of their shard holds, from rows in order of shard, the filter ahead of its lines."""
+    shard, held = None, None
+    for batch in batches:
+        shards, keep = batch.column(0).to_numpy(), []
+        cuts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1], [True]))) if len(shards) else np.zeros(0, int)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if shards[i] != shard:
+                shard, held = shards[i], None
+            for at in range(i, j):  # a shard may come in several salts, each with the filter ahead
+                if batch.column(4)[at].is_valid:
+                    held = CuckooFilter.from_bytes(batch.column(4)[at].as_py())
+                else:
+                    break
+            lines = [at for at in range(i, j) if batch.column(2)[at].is_valid] if held is not None else []
+            if lines:
+                keep += np.array(lines)[held.holds_many(batch.column(2).take(pa.array(lines)).to_pylist())].tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (1, 2, 3)], names=["row", "digest", "at"])
+
+
 class LineIndex:
     """Reference counts of line keys and the cuckoo filters over those at the threshold.
 
@@ -206,8 +270,8 @@ class LineIndex:
 
     COUNTS, FILTERS = "digest binary, n long", "shard int, filter binary"
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, counts: DataFrame | None = None, filters: DataFrame | None = None):
-        self.spark, self.min_docs, self.min_chars, self.shards = spark, min_docs, max(1, min_chars), shards
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None, fixed: bool = False, counts: DataFrame | None = None, filters: DataFrame | None = None):
+        self.spark, self.min_docs, self.min_chars, self.shards, self.fixed = spark, min_docs, max(1, min_chars), shards, fixed
         self.counts, self.filters = counts, filters
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
@@ -223,13 +287,16 @@ class LineIndex:
             rows = rows.unionByName(self.counts.select("digest", F.col("n").alias("d"), F.col("n").alias("was")))
         counts = written(rows.groupBy("digest").agg(F.sum("d").alias("now"), F.sum("was").alias("was")).where("now <> 0 or was <> 0"), "line-counts")
         crossing = counts.where((F.col("now") >= self.min_docs) | (F.col("was") >= self.min_docs))
-        shards = self.shards or max(LEAST_SHARDS, -(-crossing.count() // SHARD_KEYS))
-        shard = (F.conv(F.hex(F.substring("digest", 15, 2)), 16, 10).cast("int") % shards).cast("int")
-        moved = crossing.select(shard.alias("shard"), "digest", "was", "now", F.lit(None).cast("binary").alias("filter"))
-        if self.filters is not None:
-            moved = moved.unionByName(self.filters.select("shard", F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("was"), F.lit(0).cast("long").alias("now"), "filter"))
+        wanted = max(LEAST_SHARDS, -(-counts.where(F.col("now") >= self.min_docs).count() // SHARD_KEYS))
+        old, shards = self.filters, self.shards or wanted
+        if wanted > 2 * shards and not self.fixed:  # dealt anew, from the counts alone
+            old, shards = None, wanted
+            crossing = counts.where(F.col("now") >= self.min_docs).withColumn("was", F.lit(0).cast("long"))
+        moved = crossing.select(shard_column(shards).alias("shard"), "digest", "was", "now", F.lit(None).cast("binary").alias("filter"))
+        if old is not None:
+            moved = moved.unionByName(old.select("shard", F.lit(None).cast("binary").alias("digest"), F.lit(0).cast("long").alias("was"), F.lit(0).cast("long").alias("now"), "filter"))
         filters = written(moved.groupBy("shard").applyInArrow(_filter_shards(self.min_docs), self.FILTERS), "line-filters")
-        return LineIndex(self.spark, self.min_docs, self.min_chars, shards, counts.where("now > 0").select("digest", F.col("now").alias("n")), filters)
+        return LineIndex(self.spark, self.min_docs, self.min_chars, shards, self.fixed, counts.where("now > 0").select("digest", F.col("now").alias("n")), filters)
 
     def dropped_keys(self) -> DataFrame:
         return self.counts.where(F.col("n") >= self.min_docs).select("digest")
@@ -237,29 +304,32 @@ class LineIndex:
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_text of each document."""
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-        drop = self.dropped_keys()
-        if drop.count() * 80 <= BROADCAST_BYTES:
-            keys = {bytes(r.digest) for r in drop.collect()}
-            filters = {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in self.filters.collect()}
-            kind = rows.schema["doc_id"].dataType.simpleString()
-            return rows.mapInArrow(_rewrite(filters, keys, self.shards, self.min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")
-        return self._apply_shuffled(rows, drop)
-
-    def _apply_shuffled(self, rows: DataFrame, drop: DataFrame) -> DataFrame:
-        """The same by joins alone: the lines that the table drops come back to their document as a list of positions."""
+        size = self.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
+        if size > BROADCAST_BYTES:
+            return self._apply_shuffled(rows)
+        filters = {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in self.filters.collect()}  # as large as measured
+        held = rows.select("text").mapInArrow(_held_batches(filters, self.shards, self.min_chars), "digest binary").distinct()
+        wrong = written(held.join(self.dropped_keys(), "digest", "left_anti"), "wrong-lines")
+        if not small_enough(wrong, 80):
+            return self._apply_shuffled(rows)
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.mapInArrow(_rewrite(filters, {bytes(r.digest) for r in wrong.collect()}, self.shards, self.min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")
+
+    def _apply_shuffled(self, rows: DataFrame) -> DataFrame:
+        """The same with the filters left in place: lines stream past their shard's, and come back to their document as positions."""
         at = written(rows.withColumn("row", F.monotonically_increasing_id()), "line-rows")
-        min_chars = self.min_chars
-
-        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(r.as_py(), i, digest_of(k)) for r, text in zip(batch.column(0), batch.column(1), strict=True) for i, k in enumerate(keys_of(text.as_py() or b"", min_chars)) if k is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.binary())], names=["row", "at", "digest"])
-
-        gone = at.select("row", "text").mapInArrow(lines, "row long, at int, digest binary").join(drop, "digest", "left_semi").groupBy("row").agg(F.collect_list("at").alias("gone"))
+        lines = at.select("row", "text").mapInArrow(_line_batches(self.min_chars), "row long, digest binary, at array<int>")
+        none = F.lit(None)
+        lines = lines.select(shard_column(self.shards).alias("shard"), "row", "digest", "at", none.cast("binary").alias("filter"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+        filters = self.filters.select("shard", none.cast("long").alias("row"), none.cast("binary").alias("digest"), none.cast("array<int>").alias("at"), "filter", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        dealt = lines.unionByName(filters).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("row").asc_nulls_first())
+        held = dealt.drop("salt").mapInArrow(_stream_batches, "row long, digest binary, at array<int>")
+        gone = held.join(self.dropped_keys(), "digest", "left_semi").groupBy("row").agg(F.flatten(F.collect_list("at")).alias("gone"))
         all_lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
-        none = F.coalesce("gone", F.array().cast("array<int>"))
-        kept = F.filter(all_lines, lambda x, i: ~F.array_contains(none, i))
-        return at.join(gone, "row", "left").select("doc_id", F.size(all_lines).cast("long").alias("n_lines"), F.size(none).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+        out = at.join(gone, "row", "left").select("doc_id", all_lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+        kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+        return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -280,11 +280,36 @@ def test_lines(docs, empty, spark):
     got = by_id(index.apply(docs))
     assert got[1].n_lines == 1 and got[1].n_dropped == 0 and got[1].kept_text == ""
     assert got[5].n_dropped == 1 and got[5].kept_text == "" and got[7].n_dropped == 0
-    shuffled = index._apply_shuffled(docs.select("doc_id", F.col("text").cast("binary").alias("text")), index.dropped_keys())
+    shuffled = index._apply_shuffled(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     assert sorted(map(repr, shuffled.select("doc_id", "n_lines", "n_dropped", "kept_text").collect())) == sorted(map(repr, index.apply(docs).collect()))
     assert lines.LineIndex(spark).insert(empty).apply(empty).collect() == []
 
 
+@pytest.mark.parametrize("size", [None, 0])
+def test_lines_of_one_long_document(spark, monkeypatch, size):
+    """Whatever the filters' size, and though they let wrong lines through: those of the exact table go."""
+    if size is not None:
+        monkeypatch.setattr(lines, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(lines.CuckooFilter, "holds_many", lambda self, digests: np.ones(len(digests), bool))
+    monkeypatch.setattr(lines, "SALTS", 3)
+    texts = [(i, f"often {i % 7}\nonly {i}\n\n OFTEN {i % 7}") for i in range(100)] + [(100, "\n".join(f"l{i}\noften 3" for i in range(20_000)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = by_id(lines.LineIndex(spark, shards=5).insert(docs).apply(docs))
+    assert all((got[i].n_lines, got[i].n_dropped, got[i].kept_text) == (4, 2, f"only {i}\n") for i in range(100))
+    assert (got[100].n_lines, got[100].n_dropped) == (40_000, 20_000) and got[100].kept_text == "\n".join(f"l{i}" for i in range(20_000))
+
+
+def test_line_shards_follow_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 50)
+    monkeypatch.setattr(lines, "LEAST_SHARDS", 2)
+    part = lambda a, b: spark.createDataFrame([(d, "\n".join(f"line {k}" for k in range(a, b))) for d in range(10)], "doc_id long, text string")
+    first = lines.LineIndex(spark).insert(part(0, 100))
+    both = first.insert(part(100, 1000))
+    assert (first.shards, both.shards) == (2, 20) and {r.kept_text for r in both.apply(part(0, 1000)).collect()} == {""}
+    held = [lines.CuckooFilter.from_bytes(bytes(r.filter)) for r in both.filters.collect()]
+    assert sum(int((f.table > 0).sum()) for f in held) == 1000
+
+
 def test_lines_can_be_taken_back(spark):
     kind = "doc_id long, text string"
     a = spark.createDataFrame([(i, f"common\nonly {i}\nlate" if i < 6 else "common\n  COMMON ") for i in range(12)], kind)
