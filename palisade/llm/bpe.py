@@ -3,17 +3,19 @@
 Three steps. Documents are cut into words (the matches of the tokenizer's pattern)
 and written as numbers into the vocabulary of their block, a stretch of
 documents with at most about BLOCK_WORDS different words or BLOCK_CHARS characters.
-The words of all vocabularies, each once in the corpus, are laid out in arrays of
+The words of all vocabularies are dealt to buckets by hash; a bucket's different words,
+each once in the corpus, are laid out in an array of
 tokens with an inverted index from the rank of a token pair to the positions where the
 pair stands: ranks are taken lowest first, all positions of a rank are merged from
 left to right, and only the two neighbours of each merge enter the index anew. Last,
-the ids of a block's words return to it by a join on the word, and its documents'
-numbers are looked up in them.
+the ids of a block's words return to the block, and its documents' numbers are looked
+up in them.
 
-A word that every document holds is replayed once and costs one row a block. Words
-don't influence each other, so the index is cut in parts of REPLAYED words, dealt by
-hash. What a task holds is one block or one part. The vocabulary of tokens (under 1 MB)
-goes out with the functions.
+A word that every document holds is replayed once and returns once a block. Words
+don't influence each other, so buckets can be replayed apart; their number follows the
+vocabularies, at about REPLAYED words each. What a task holds is one block or one bucket;
+words travel in arrays, one row for a block and a bucket. The vocabulary of tokens (under
+1 MB) goes out with the functions.
 
 Defined cases: null text counts as empty; empty texts have no ids and decode to
 nothing; a text of any length is in one block whole; repeated rows repeat their
@@ -30,15 +32,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.store import small_batches, trim_memory, written
 
-#: Different words and characters of a block's documents, and words replayed over one index.
-BLOCK_WORDS, BLOCK_CHARS, REPLAYED = 150_000, 12 << 20, 100_000
+#: Different words and characters of a block's documents, words dealt to a bucket, and the most tasks that buckets and blocks go to.
+BLOCK_WORDS, BLOCK_CHARS, REPLAYED, MOST_TASKS = 400_000, 12 << 20, 50_000, 10_000
 
 #: Unicode's White_Space, which \s means to the tokenizer; Python's \s has U+001C to U+001F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -242,6 +246,15 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full.findall(text) if high(text) else fast.findall(text)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits as their lowest bytes, then the next ones and so on: mostly zeros at the end, which compress."""
+    return np.ascontiguousarray(numbers.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def numbers_of(blob: pa.Buffer | None) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob or b"", "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
 def cut_batches(pattern: str, block_words: int, block_chars: int):
     """Rows (block, doc_id, words as numbers, null), and after a block's documents one (block, null, null, vocabulary)."""
 
@@ -266,7 +279,7 @@ def cut_batches(pattern: str, block_words: int, block_chars: int):
                 words = split(text)
                 for w in set(words).difference(vocabulary):
                     vocabulary[w] = len(vocabulary)
-                numbers.append(np.fromiter(map(vocabulary.__getitem__, words), "<u4", len(words)).tobytes())
+                numbers.append(planes(np.fromiter(map(vocabulary.__getitem__, words), "<u4", len(words))))
                 chars += len(text)
                 if len(vocabulary) >= block_words or chars >= block_chars:
                     yield cut(i + 1)
@@ -281,26 +294,37 @@ def cut_batches(pattern: str, block_words: int, block_chars: int):
     return run
 
 
-def replay_batches(ranks: dict[bytes, int], replayed: int):
-    """word, ids of rows (word): parts of `replayed` words, each over one index."""
+def deal_batches(buckets: int):
+    """Rows (bucket, of, at, words): the vocabulary of block `of` by bucket, at being the steps between the words' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replay, part = MergeReplay(ranks), []
+        for batch in batches:
+            for of, words in zip(batch.column(0), batch.column(1), strict=True):
+                words = words.values
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words.to_pylist()), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                there, cuts = np.unique(bucket[order], return_index=True)
+                parts = np.split(order, cuts[1:])
+                at = [planes(np.diff(p, prepend=0)) for p in parts]
+                offsets = pa.array([*cuts, len(words)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([of.as_py()] * len(there), pa.int64()), pa.array(at, pa.binary()), pa.ListArray.from_arrays(offsets, words.take(pa.array(order)))], names=["bucket", "of", "at", "words"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            ids = replay.encode([w.encode() for w in part])
-            for at in range(0, len(part), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(part[at : at + 10_000], pa.string()), pa.array(ids[at : at + 10_000], pa.binary())], names=["word", "ids"])
+    return run
 
-        for batch in batches:
-            part += batch.column(0).to_pylist()
-            if len(part) >= replayed:
-                yield from done()
-                part = []
-        if part:
-            yield from done()
-        replay = part = None
+
+def _replayed(ranks: dict[bytes, int]):
+    """A bucket's rows (of, at, words) as (of, at, ids, sizes): the ids of the words, end to end, and how many each has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words = table.column("words").combine_chunks()
+        coded = pc.dictionary_encode(words.flatten())
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        flat, starts, sizes = _laid(MergeReplay(ranks).encode([w.encode() for w in coded.dictionary.to_pylist()]), "<u4")
+        which, n = coded.indices.to_numpy(), pc.list_value_length(words).to_numpy()
+        mine = np.split(which, np.cumsum(n)[:-1])
+        ids, size = [_gathered(flat, starts, sizes, m) for m in mine], [planes(sizes[m]) for m in mine]
         trim_memory()
+        return pa.table({"of": table.column("of"), "at": table.column("at"), "ids": pa.array(ids, pa.binary()), "sizes": pa.array(size, pa.binary())})
 
     return run
 
@@ -317,11 +341,14 @@ def _laid(parts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.frombuffer(b"".join(parts), kind), np.cumsum(sizes) - sizes, sizes
 
 
-def _looked_up(key, docs: pa.Table, words: pa.Table) -> pa.Table:
-    """doc_id, ids of a block's documents from its vocabulary's rows (at, ids)."""
-    order = np.argsort(words.column("at").to_numpy(), kind="stable")
-    flat, starts, sizes = _laid(words.column("ids").take(pa.array(order)).to_pylist(), "<u4")
-    ids = [_gathered(flat, starts, sizes, np.frombuffer(x.as_buffer(), "<u4")) for x in docs.column("words")]
+def _looked_up(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """doc_id, ids of a block's documents, from the rows (at, ids, sizes) of all buckets that its vocabulary went to."""
+    at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(numbers_of(x.as_buffer()), dtype=np.int64) for x in words.column("at"))])
+    size = np.concatenate([np.zeros(0, np.int64), *(numbers_of(x.as_buffer()).astype(np.int64) for x in words.column("sizes"))])
+    flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4")
+    starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    starts[at], sizes[at] = np.cumsum(size) - size, size
+    ids = [_gathered(flat, starts, sizes, numbers_of(x.as_buffer())) for x in docs.column("words")]
     return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
 
@@ -342,11 +369,14 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     cut = written(small_batches(rows).mapInArrow(cut_batches(pattern, block_words, block_chars), f"block long, doc_id {kind}, words binary, vocabulary array<string>"), "words")
-    pairs = cut.where("vocabulary is not null").select(F.col("block").alias("of"), F.posexplode("vocabulary").alias("at", "word"))
-    ids = written(pairs.select("word").distinct().mapInArrow(replay_batches(ranks, replayed), "word string, ids binary"), "word-ids")
-    back = pairs.join(ids, "word").select("of", "at", "ids")
+    words = cut.where("vocabulary is not null").select(F.col("block").alias("of"), "vocabulary")
+    total, blocks = words.agg(F.coalesce(F.sum(F.size("vocabulary")), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-total // replayed))
+    tasks = max(1, min(blocks, MOST_TASKS))
+    dealt = words.mapInArrow(deal_batches(buckets), "bucket int, of long, at binary, words array<string>")
+    back = dealt.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_replayed(ranks), "of long, at binary, ids binary, sizes binary")
     numbers = cut.where("words is not null").select("block", "doc_id", "words")
-    looked_up = numbers.where("octet_length(words) > 0").groupBy("block").cogroup(back.groupBy("of")).applyInArrow(_looked_up, f"doc_id {kind}, ids binary")
+    looked_up = numbers.where("octet_length(words) > 0").repartition(tasks, "block").groupBy("block").cogroup(back.repartition(tasks, "of").groupBy("of")).applyInArrow(_looked_up, f"doc_id {kind}, ids binary")
     return looked_up.unionAll(numbers.where("octet_length(words) = 0").select("doc_id", F.col("words").alias("ids")))
 
 
