@@ -3,13 +3,18 @@
 The terms of a document are its lower-cased words and their first four and
 five letters, each known by a hash of 32 bits. Terms whose rate differs between
 the classes of the training sample (LIFT times or more, and by a likelihood ratio
-beyond what the largest of so many terms reaches by chance) enter the model:
+beyond what the largest of so many terms reaches by chance) enter the model, and so do
+terms whose rate differs in that way among the rows that hold one of the STRONG
+strongest, however common they are elsewhere:
 
     score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)   over present terms i, j
 
 so a pair such as an insult with the mention of a group weighs other than its
 parts. Training reads at most SAMPLE labelled rows of each class, those with
-the smallest hash of the id, and never a row kept for the test; the model is as
+the smallest hash of the id, one for an id, and of a row at most LEARNT_TERMS terms, those with the
+smallest hash; never a row kept for the test. Of rows of a class whose terms are near copies (an
+estimate of their similarity by HASHES minimum hashes is ALIKE or more) one is learnt
+from, or the words of a text copied often would pass for signs of its class. The model is as
 large as its terms (at most MOST_TERMS) and goes out with the scoring function.
 Whole texts are scored, in one pass and without a shuffle.
 
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from palisade.llm.store import small_batches, trim_memory
 
 SAMPLE, MOST_TERMS, GAIN, LIFT, LEAST_ROWS, THRESHOLD, KEPT_WORDS = 3000, 4096, 2.0, 2.0, 3, 0.7, 40_000
+LEARNT_TERMS, STRONG, HASHES, BANDS, ALIKE = 4000, 64, 64, 16, 0.8
 FACTORS, EPOCHS, BATCH, RATE, SHRINK, SEED = 4, 60, 100, 0.2, 2e-5, 7
 WORD = re.compile(r"\w+")
 
@@ -52,8 +58,37 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for text in batch.column(1):
             words = set(WORD.findall((text.as_py() or "").lower()))
-            rows.append(sorted({t for w in words for t in terms_of(w)}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["y", "terms"])
+            rows.append(np.array(sorted({t for w in words for t in terms_of(w)})[:LEARNT_TERMS], "<u4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["y", "terms"])
+
+
+def _contrast(has1: np.ndarray, has0: np.ndarray, n1: float, n0: float) -> tuple[np.ndarray, np.ndarray]:
+    """Twice the log-likelihood ratio of two rates against one, and the log of the rates' ratio, of each term."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(h > 0, h * np.log(h * (n1 + n0) / ((has1 + has0) * n)), 0) for h, n in ((has1, n1), (has0, n0))]
+    return 2 * (parts[0] + parts[1]), np.abs(np.log(((has1 + 0.5) / n1) / ((has0 + 0.5) / n0)))
+
+
+def without_copies(docs: list[np.ndarray], y: np.ndarray, seed: int) -> list[int]:
+    """The rows to learn from: of near copies in a class the first."""
+    rng = np.random.default_rng(seed)
+    odd, plus = rng.integers(0, 1 << 62, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, HASHES, np.uint64)
+    kept: list[int] = []
+    signatures, buckets = [], {}
+    for i, d in enumerate(docs):
+        if not len(d):
+            sign = np.zeros(HASHES, np.uint32)
+        else:
+            sign = np.min([((d[at : at + 512, None].astype(np.uint64) * odd + plus) >> np.uint64(32)).min(0) for at in range(0, len(d), 512)], 0)
+        keys = [(int(y[i]), k, part.tobytes()) for k, part in enumerate(np.split(sign, BANDS))]
+        near = {j for key in keys for j in buckets.get(key, ())}
+        if any((signatures[j] == sign).mean() >= ALIKE for j in near):
+            continue
+        for key in keys:
+            buckets.setdefault(key, []).append(len(kept))
+        kept.append(i)
+        signatures.append(sign)
+    return kept
 
 
 class FactorizationMachine:
@@ -71,26 +106,33 @@ class FactorizationMachine:
 
     @classmethod
     def fitted(cls, docs: list[np.ndarray], y: np.ndarray, seed: int = SEED) -> FactorizationMachine:
-        """docs: the hashed terms of each row, sorted and distinct; y: 0 or 1.
-
-        Near copies mostly share their two smallest hashes; one of them is learnt
-        from, or the words of a text copied often would pass for signs of its class.
-        """
-        alone = sorted({(int(c), *d[:2].tolist()): i for i, (d, c) in reversed(list(enumerate(zip(docs, y, strict=True))))}.values())
+        """docs: the hashed terms of each row, sorted and distinct; y: 0 or 1."""
+        alone = without_copies(docs, y, seed)
         docs, y = [docs[i] for i in alone], y[alone]
         n1, n0 = float((y == 1).sum()), float((y == 0).sum())
         if not n1 or not n0:
             return cls(np.zeros(0, np.int64), 0.0 if n1 else float("-inf"), np.zeros(0), np.zeros((0, FACTORS)))
         lengths = np.array([len(d) for d in docs])
         terms, where = np.unique(np.concatenate(docs) if lengths.sum() else np.zeros(0, np.int64), return_inverse=True)
-        label = np.repeat(y, lengths)
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        label = y[doc]
         has1, has0 = np.bincount(where[label == 1], minlength=len(terms)), np.bincount(where[label == 0], minlength=len(terms))
         common = has1 + has0 >= LEAST_ROWS
-        with np.errstate(divide="ignore", invalid="ignore"):  # log-likelihood ratio of the class's rate against one rate for all
-            parts = [np.where(h > 0, h * np.log(h * (n1 + n0) / ((has1 + has0) * n)), 0) for h, n in ((has1, n1), (has0, n0))]
-        gain = 2 * (parts[0] + parts[1])
-        lift = np.abs(np.log(((has1 + 0.5) / n1) / ((has0 + 0.5) / n0)))
+        gain, lift = _contrast(has1, has0, n1, n0)
         gain[~common | (lift < np.log(LIFT)) | (gain < 2 * np.log(max(2, common.sum())) + GAIN)] = 0
+        for s in np.argsort(-gain, kind="stable")[:STRONG]:
+            if gain[s] <= 0:
+                break
+            beside = np.zeros(len(docs), bool)  # rows that hold the strong term
+            beside[doc[where == s]] = True
+            m1, m0 = float(beside[y == 1].sum()), float(beside[y == 0].sum())
+            if not m1 or not m0:
+                continue
+            here = beside[doc]
+            with1, with0 = np.bincount(where[here & (label == 1)], minlength=len(terms)), np.bincount(where[here & (label == 0)], minlength=len(terms))
+            more, apart = _contrast(with1, with0, m1, m0)
+            more[(with1 + with0 < LEAST_ROWS) | (apart < np.log(LIFT)) | (more < 2 * np.log(max(2, common.sum() * STRONG)) + GAIN)] = 0
+            gain = np.maximum(gain, more)
         chosen = np.sort(np.argsort(-gain, kind="stable")[:MOST_TERMS])
         chosen = chosen[gain[chosen] > 0]
         local = np.full(len(terms), -1)
@@ -138,12 +180,15 @@ class FactorizationMachine:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> FactorizationMachine:
     """Trained on at most `sample` labelled rows of each class that are not held out."""
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("y")).where(F.col("label_id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out("label_id"))
+    known = known.groupBy("label_id").agg(F.max("y").alias("y"))  # a label that contradicts itself counts as 1
     order = F.md5(F.col("label_id").cast("string"))
     taken = known.where("y = 1").orderBy(order).limit(sample).unionAll(known.where("y = 0").orderBy(order).limit(sample))  # at most 2 * sample rows
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(taken), "label_id")
-    rows = texts.select("y", "text").mapInArrow(_term_batches, "y int, terms array<bigint>").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["y"][i].as_py(), len(rows["terms"][i]), rows["terms"][i].as_py()[:8]))
-    return FactorizationMachine.fitted([np.asarray(rows["terms"][i].values, np.int64) for i in order], np.array([rows["y"][i].as_py() for i in order]))
+    texts = texts.groupBy("label_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))  # one row an id, combined before the shuffle
+    rows = texts.select("y", "text").mapInArrow(_term_batches, "y int, terms binary").toArrow()  # at most 2 * sample rows of LEARNT_TERMS terms
+    y, docs = rows["y"].to_numpy(), [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in rows["terms"]]
+    order = sorted(range(len(docs)), key=lambda i: (y[i], len(docs[i]), docs[i][:8].tolist()))
+    return FactorizationMachine.fitted([docs[i] for i in order], y[order])
 
 
 def _score_batches(model: FactorizationMachine):

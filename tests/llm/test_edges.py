@@ -155,6 +155,41 @@ def test_pairs_count_beyond_single_terms():
     assert v[at[901]] @ v[at[902]] > 0 and model.margin([at[901], at[902]]) > max(model.margin([at[901]]), model.margin([at[902]]))
 
 
+def test_pairs_with_a_term_neutral_alone():
+    """30 % of texts hold an insult, 70 % a group, toxic are those with both: the group's own ratio is far below LIFT."""
+    rng = np.random.default_rng(2)
+    docs, y = [], []
+    for _ in range(3000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.7
+        docs.append(np.unique(np.concatenate([[901] * int(insult), [902] * int(group), rng.integers(1000, 9000, 25)]).astype(np.int64)))
+        y.append(int(insult and group))
+    y = np.array(y)
+    model = toxicity.FactorizationMachine.fitted(docs[:2000], y[:2000])
+    assert {901, 902} <= set(model.terms.tolist())
+    at = {int(t): i for i, t in enumerate(model.terms)}
+    said = np.array([model.margin([at[t] for t in d.tolist() if t in at]) > 0 for d in docs[2000:]])
+    assert np.mean(said == y[2000:]) >= 0.97
+
+
+def test_toxicity_margin_is_the_sum_over_pairs():
+    """The model's closed form against a loop over all pairs."""
+    rng = np.random.default_rng(4)
+    model = toxicity.FactorizationMachine(np.arange(20), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    for _ in range(20):
+        rows = sorted(rng.choice(20, rng.integers(0, 12), replace=False).tolist())
+        want = 0.3 + sum(model.weights[i] for i in rows) + sum(model.factors[i] @ model.factors[j] for i in rows for j in rows if i < j)
+        assert abs(model.margin(rows) - want) < 1e-9
+
+
+def test_near_copies_are_learnt_once():
+    rng = np.random.default_rng(3)
+    docs = [np.unique(rng.integers(0, 1 << 32, 200)) for _ in range(50)]
+    copies = [np.sort(np.concatenate([d[5:], rng.integers(0, 1 << 32, 5)])) for d in docs]  # similarity of about 0.95
+    half = [np.sort(np.concatenate([d[100:], rng.integers(0, 1 << 32, 100)])) for d in docs]  # of about 0.33
+    kept = toxicity.without_copies(docs + copies + half, np.zeros(150, int), 1)
+    assert kept[:50] == list(range(50)) and len(kept) == 100 and set(range(100, 150)) <= set(kept)
+
+
 @pytest.mark.parametrize("planted", [0, 5, 40, 400])
 def test_unlabelled_secrets_in_the_sample_do_not_hide_others(planted):
     import random
