@@ -14,7 +14,8 @@ up in them.
 A word that every document holds is replayed once and returns once a block. Words
 don't influence each other, so buckets can be replayed apart; their number follows the
 vocabularies, at about REPLAYED words each. What a task holds is one block or one bucket;
-words travel in arrays, one row for a block and a bucket. The vocabulary of tokens (under
+words travel in arrays, one row for a block and a bucket. Documents don't travel: their
+numbers are written in files bucketed by block, to which the words return. The vocabulary of tokens (under
 1 MB) goes out with the functions.
 
 Defined cases: null text counts as empty; empty texts have no ids and decode to
@@ -32,16 +33,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.store import small_batches, trim_memory, written
+from palisade.llm.store import bucketed, small_batches, trim_memory
 
-#: Different words and characters of a block's documents, words dealt to a bucket, and the most tasks that buckets and blocks go to.
+#: Different words and characters of a block's documents, words dealt to a bucket, and the most tasks that buckets go to.
 BLOCK_WORDS, BLOCK_CHARS, REPLAYED, MOST_TASKS = 400_000, 12 << 20, 50_000, 10_000
 
 #: Unicode's White_Space, which \s means to the tokenizer; Python's \s has U+001C to U+001F besides.
@@ -255,8 +255,22 @@ def numbers_of(blob: pa.Buffer | None) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob or b"", "u1").reshape(4, -1).T).view("<u4").ravel()
 
 
+def packed(words: list[bytes]) -> bytes:
+    """Words end to end behind their number and lengths."""
+    return b"".join([len(words).to_bytes(8, "little"), planes(np.fromiter(map(len, words), "<u4", len(words))), *words])
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    n = int.from_bytes(blob[:8], "little")
+    ends = (8 + 4 * n + np.cumsum(numbers_of(blob[8 : 8 + 4 * n]), dtype=np.int64)).tolist()
+    return [blob[a:b] for a, b in zip([8 + 4 * n, *ends], ends, strict=False)]
+
+
+CUT = ["block", "doc_id", "words", "n", "vocabulary"]
+
+
 def cut_batches(pattern: str, block_words: int, block_chars: int):
-    """Rows (block, doc_id, words as numbers, null), and after a block's documents one (block, null, null, vocabulary)."""
+    """Rows (block, doc_id, words as numbers), and after a block's documents one (block, n, vocabulary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, kind = splitter(pattern), None
@@ -264,15 +278,16 @@ def cut_batches(pattern: str, block_words: int, block_chars: int):
         block, chars, vocabulary = 0, 0, {}
 
         def closed() -> pa.RecordBatch:
-            words = pa.array([list(vocabulary)], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([first + block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), words], names=["block", "doc_id", "words", "vocabulary"])
+            words = [w.encode() for w in vocabulary]
+            columns = [pa.array([first + block], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([len(words)], pa.int64()), pa.array([packed(words)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=CUT)
 
         for batch in batches:
             kind, numbers, start = batch.schema.types[0], [], 0
 
             def cut(upto: int) -> pa.RecordBatch:
                 n = len(numbers)
-                return pa.RecordBatch.from_arrays([pa.array([first + block] * n, pa.int64()), batch.column(0).slice(upto - n, n), pa.array(numbers, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=["block", "doc_id", "words", "vocabulary"])
+                return pa.RecordBatch.from_arrays([pa.array([first + block] * n, pa.int64()), batch.column(0).slice(upto - n, n), pa.array(numbers, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=CUT)
 
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
@@ -299,15 +314,14 @@ def deal_batches(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for of, words in zip(batch.column(0), batch.column(1), strict=True):
-                words = words.values
-                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words.to_pylist()), np.int64, len(words))
+            for of, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = unpacked(words.as_py())
+                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
                 order = np.argsort(bucket, kind="stable")
                 there, cuts = np.unique(bucket[order], return_index=True)
                 parts = np.split(order, cuts[1:])
                 at = [planes(np.diff(p, prepend=0)) for p in parts]
-                offsets = pa.array([*cuts, len(words)], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([of.as_py()] * len(there), pa.int64()), pa.array(at, pa.binary()), pa.ListArray.from_arrays(offsets, words.take(pa.array(order)))], names=["bucket", "of", "at", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([of] * len(there), pa.int64()), pa.array(at, pa.binary()), pa.array([packed([words[i] for i in p.tolist()]) for p in parts], pa.binary())], names=["bucket", "of", "at", "words"])
 
     return run
 
@@ -316,13 +330,12 @@ def _replayed(ranks: dict[bytes, int]):
     """A bucket's rows (of, at, words) as (of, at, ids, sizes): the ids of the words, end to end, and how many each has."""
 
     def run(table: pa.Table) -> pa.Table:
-        words = table.column("words").combine_chunks()
-        coded = pc.dictionary_encode(words.flatten())
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        flat, starts, sizes = _laid(MergeReplay(ranks).encode([w.encode() for w in coded.dictionary.to_pylist()]), "<u4")
-        which, n = coded.indices.to_numpy(), pc.list_value_length(words).to_numpy()
-        mine = np.split(which, np.cumsum(n)[:-1])
-        ids, size = [_gathered(flat, starts, sizes, m) for m in mine], [planes(sizes[m]) for m in mine]
+        known: dict[bytes, int] = {}
+        mine = [np.array([known.setdefault(w, len(known)) for w in unpacked(x.as_py())], np.int64) for x in table.column("words")]
+        flat, starts, sizes = _laid(MergeReplay(ranks).encode(list(known)), "<u4")
+        ids = [planes(np.frombuffer(_gathered(flat, starts, sizes, m), "<u4")) for m in mine]
+        size = [planes(sizes[m]) for m in mine]
+        known = {}
         trim_memory()
         return pa.table({"of": table.column("of"), "at": table.column("at"), "ids": pa.array(ids, pa.binary()), "sizes": pa.array(size, pa.binary())})
 
@@ -345,7 +358,7 @@ def _looked_up(docs: pa.Table, words: pa.Table) -> pa.Table:
     """doc_id, ids of a block's documents, from the rows (at, ids, sizes) of all buckets that its vocabulary went to."""
     at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(numbers_of(x.as_buffer()), dtype=np.int64) for x in words.column("at"))])
     size = np.concatenate([np.zeros(0, np.int64), *(numbers_of(x.as_buffer()).astype(np.int64) for x in words.column("sizes"))])
-    flat = np.frombuffer(b"".join(words.column("ids").to_pylist()), "<u4")
+    flat = np.concatenate([np.zeros(0, np.uint32), *(numbers_of(x.as_buffer()) for x in words.column("ids"))])
     starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     starts[at], sizes[at] = np.cumsum(size) - size, size
     ids = [_gathered(flat, starts, sizes, numbers_of(x.as_buffer())) for x in docs.column("words")]
@@ -368,15 +381,15 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     """doc_id, ids (token ids as little-endian unsigned 32-bit integers)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    cut = written(small_batches(rows).mapInArrow(cut_batches(pattern, block_words, block_chars), f"block long, doc_id {kind}, words binary, vocabulary array<string>"), "words")
-    words = cut.where("vocabulary is not null").select(F.col("block").alias("of"), "vocabulary")
-    total, blocks = words.agg(F.coalesce(F.sum(F.size("vocabulary")), F.lit(0)), F.count("*")).first()
-    buckets = max(1, -(-total // replayed))
-    tasks = max(1, min(blocks, MOST_TASKS))
-    dealt = words.mapInArrow(deal_batches(buckets), "bucket int, of long, at binary, words array<string>")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = small_batches(rows).mapInArrow(cut_batches(pattern, block_words, block_chars), f"block long, doc_id {kind}, words binary, n long, vocabulary binary")
+    cut = bucketed(cut, "words", "block", n)
+    words = cut.where("n is not null").select(F.col("block").alias("of"), "n", "vocabulary")
+    buckets = max(1, -(-words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // replayed))
+    dealt = words.select("of", "vocabulary").mapInArrow(deal_batches(buckets), "bucket int, of long, at binary, words binary")
     back = dealt.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").applyInArrow(_replayed(ranks), "of long, at binary, ids binary, sizes binary")
     numbers = cut.where("words is not null").select("block", "doc_id", "words")
-    looked_up = numbers.where("octet_length(words) > 0").repartition(tasks, "block").groupBy("block").cogroup(back.repartition(tasks, "of").groupBy("of")).applyInArrow(_looked_up, f"doc_id {kind}, ids binary")
+    looked_up = numbers.where("octet_length(words) > 0").groupBy("block").cogroup(back.repartition(n, "of").groupBy("of")).applyInArrow(_looked_up, f"doc_id {kind}, ids binary")
     return looked_up.unionAll(numbers.where("octet_length(words) = 0").select("doc_id", F.col("words").alias("ids")))
 
 

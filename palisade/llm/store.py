@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder whose files are bucketed by key: rows of a key are read together without a shuffle."""
+    spark = df.sparkSession
+    table = f"palisade_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{table}"
+    df.write.bucketBy(buckets, key).format("parquet").option("compression", "snappy").option("path", path).saveAsTable(table)
+    _written.append((spark, path))
+    _tables.append((spark, table))
+    return spark.table(table)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables this session has written; results that still read them become unreadable."""
+    for entry in [e for e in _tables if e[0] is spark]:
+        spark.sql(f"DROP TABLE IF EXISTS {entry[1]}")
+        _tables.remove(entry)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for entry in [e for e in _written if e[0] is spark]:
         path = jvm.org.apache.hadoop.fs.Path(entry[1])
