@@ -43,7 +43,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"palisade_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/tables/{table}"
-    df.write.bucketBy(buckets, key).format("parquet").option("compression", "snappy").option("path", path).saveAsTable(table)
+    df.write.bucketBy(buckets, key).format("parquet").option("compression", "gzip").option("path", path).saveAsTable(table)  # codes by frequency, in little memory
     _written.append((spark, path))
     _tables.append((spark, table))
     return spark.table(table)
