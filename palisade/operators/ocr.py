@@ -2,24 +2,36 @@
 
 Tokens (image, seq, bbox, text, confidence) come from a recogniser outside. The
 clustering of tokens into rows depends on the order they are met in and on the
-medians so far, so it runs as one Python group an image; an image's tokens are
-few, and images are spread by hash.
+medians so far, so places are settled in one Python group an image: rows, the counts
+beside threat labels and the texts beside version labels. An image's tokens are few,
+and images are spread by hash. What the texts say, and the verdict, are columns.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.functions.scan_dates import find_datetime
+from palisade.functions.text import lines_of, strings
+from palisade.functions.versions import log_number
+from palisade.lineage import cut
 from palisade.operators import scan_text as T
 
+LABEL, IGNORED = re.compile(T.LABEL, re.I), re.compile(T.IGNORED, re.I)
+# Wording in screenshots.
+NOT_A_COUNT = re.compile(r"\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b|\b\d{3,}\.\d+\b")
+DAT_LABEL = re.compile(r"(?:\b(?:amcore|a[i1l]?core)|~core)\s+content\s+versi[oc]n\b|\b(?:anti[- ]?virus\s+dat\s+version|dat\s+version)\b", re.I)
+OTHER_LABEL = re.compile(r"\b(?:scan\s+engine|amcore\s+engine|engine|systemcore|mcafee\s+agent|endpoint\s+security)\s+version\b", re.I)
+CONTEXT = r"last\s+(?:full\s+|quick\s+)?scan|scan\s+(?:started|stopped|comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)|scan\s+date|date\s+scanned"
+DECISION = r"last\s+(?:full\s+)?scan\b|scan\s+(?:comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)"
+NOTHING = r"\bnothing\s+found\b|\bno\s+(?:threats?|malware|infections?)\s+found\b|\b(?:detections?|threats?)\s*[:=]\s*[0o]\b"
+UNPLACED = "A threat-count label was readable, but its value could not be associated safely."
+UNSURE = "[LOW CONFIDENCE OCR]"
+
 
 @dataclass
 class Box:
@@ -100,233 +112,227 @@ def offset(value: Box, label: Box) -> tuple[float, float]:
     return abs(value.middle - label.middle) / max(value.height, label.height), max(0.0, value.left - label.right)
 
 
-def in_band(value: Box, label: Box) -> bool:
-    return abs(value.middle - label.middle) <= 0.65 * max(value.height, label.height)
+def beside(value: Box, owner: Box) -> bool:
+    """Whether a value stands in an owner's band, to its right and within its reach."""
+    level = abs(value.middle - owner.middle) <= 0.65 * max(value.height, owner.height)
+    return level and value.left >= owner.right - 2 and value.left - owner.right <= max(240.0, owner.height * 20.0)
 
 
-def isolated(text: str) -> str | None:
+def isolated(text: str) -> int | None:
     clean = re.sub(r"^\s*[:=]?\s*|\s*$", "", text)
-    return "0" if clean in ("o", "O") else clean if re.fullmatch(r"\d{1,7}", clean) else None
-
-
-def owned_by_other(rows: list[Row], value: Box, label: Box) -> bool:
-    """Whether another text label stands closer to the value."""
-    for owner in (b for row in rows for b in row.items):
-        named = owner.confidence >= 0.25 and re.search("[A-Za-z]{3}", owner.text) and not T.LABEL.search(owner.text)
-        if owner.index in (value.index, label.index) or not named or owner.right > value.left + 2 or not in_band(value, owner):
-            continue
-        place = offset(value, owner)
-        if place[1] <= max(240.0, owner.height * 20.0) and place < offset(value, label):
-            return True
-    return False
-
-
-def _inline(label: Box, least: float) -> str | None:
-    m = T.LABEL.search(label.text) if label.confidence >= least else None
-    if not m:
-        return None
-    tail = label.text[m.end() :]
-    n = None if T.NOT_A_COUNT.search(tail) else re.search(r"(?<![:\d])(\d{1,7})(?![:\d])", tail)
-    if n and not re.search(r"ignatures?|\$ignatures?|extra\s*dat", tail, re.I):
-        return n[1]
-    return "0" if re.fullmatch(r"\s*[:=]?\s*[oO]\s*", tail) else None
+    return 0 if clean in ("o", "O") else int(clean) if re.fullmatch(r"\d{1,7}", clean) else None
 
 
-def _beside(rows: list[Row], label: Box, least: float) -> str | None:
-    near = []
-    for value in (b for row in rows for b in row.items):
-        count = isolated(value.text)
-        gap = max(0.0, value.left - label.right)
-        ok = count is not None and in_band(value, label) and value.confidence >= least and value.left >= label.right - 2 and gap <= max(240.0, label.height * 20.0)
-        if ok and not owned_by_other(rows, value, label):
-            near.append((abs(value.middle - label.middle), gap, -value.confidence, count))
-    return min(near)[3] if near else None
+def owner_of(value: Box, label: Box, boxes: list[Box]) -> Box:
+    """The nearest of the label and all other named texts that the value stands beside."""
+    named = [b for b in boxes if b.index not in (value.index, label.index) and b.confidence >= 0.25 and re.search("[A-Za-z]{3}", b.text) and not LABEL.search(b.text) and beside(value, b)]
+    return min([label, *named], key=lambda b: offset(value, b))
 
 
-UNPLACED = "A threat-count label was readable, but its value could not be associated safely."
+def count_at(label: Box, boxes: list[Box], least: float) -> int | None:
+    """The count inside a label's own box, else the nearest number alone that belongs to the label."""
+    said = LABEL.search(label.text) if label.confidence >= least else None
+    tail = label.text[said.end() :] if said else ""
+    n = None if NOT_A_COUNT.search(tail) else re.search(r"(?<![:\d])(\d{1,7})(?![:\d])", tail)
+    if n and not re.search(r"ignatures?|\$ignatures?|extra\s*dat", tail, re.I):
+        return int(n[1])
+    if re.fullmatch(r"\s*[:=]?\s*[oO]\s*", tail):
+        return 0
+    values = [b for b in boxes if b.confidence >= least and isolated(b.text) is not None and beside(b, label) and owner_of(b, label, boxes) is label]
+    return isolated(min(values, key=lambda b: (abs(b.middle - label.middle), max(0.0, b.left - label.right), -b.confidence)).text) if values else None
 
 
-def spatial_findings(rows: list[Row], least: float) -> T.Findings:
-    """Counts after threat labels, in the label's box or alone beside it, from text of at least this confidence."""
+def spatial_counts(rows: list[Row], least: float) -> tuple[float, list[tuple[str, int]], bool]:
+    """(least, (label, count) of threat labels, whether some label's count is open), from text of at least this confidence."""
+    boxes = [b for row in rows for b in row.items]
     seen = "\n".join(r.trusted(least) for r in rows).lower()
-    out = T.Findings(known=bool(re.search(r"\bnothing\s+found\b|\bno\s+(?:threats?|malware|infections?)\s+found\b|\b(?:detections?|threats?)\s*[:=]\s*[0o]\b", seen)))
     empty_table = all(w in seen for w in ("clean delete", "detection name", "action taken"))
-    floor = min(least, 0.25)
-    unresolved = False
+    floor, found, unresolved = min(least, 0.25), [], False
     for row in rows:
-        match = T.LABEL.search(row.trusted(floor))
-        if not match:
+        said = LABEL.search(row.trusted(floor))
+        label = next((b for b in row.items if b.confidence >= floor and (LABEL.search(b.text) or re.search("d[e3]t[e3]c|infect", b.text, re.I))), row.items[-1])
+        if not said or IGNORED.search(label.text):
             continue
-        label = next((b for b in row.items if b.confidence >= floor and (T.LABEL.search(b.text) or re.search("d[e3]t[e3]c|infect", b.text, re.I))), row.items[-1])
-        if T.IGNORED.search(label.text):
-            continue
-        count = _inline(label, least) or _beside(rows, label, least) or ("0" if empty_table else None)
-        if count is None:
+        n = count_at(label, boxes, least)
+        if n is None and not empty_table:
             unresolved = True
         else:
-            out.count(match[1], int(count))
-    out.open = unresolved
-    if unresolved and not out.known:
-        out.flags.append(UNPLACED)
-    return out.done()
-
-
-# Wording of version labels in screenshots.
-DAT_LABEL = re.compile(r"(?:\b(?:amcore|a[i1l]?core)|~core)\s+content\s+versi[oc]n\b|\b(?:anti[- ]?virus\s+dat\s+version|dat\s+version)\b", re.I)
-OTHER_LABEL = re.compile(r"\b(?:scan\s+engine|amcore\s+engine|engine|systemcore|mcafee\s+agent|endpoint\s+security)\s+version\b", re.I)
-CONTEXT = re.compile(r"last\s+(?:full\s+|quick\s+)?scan|scan\s+(?:started|stopped|comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)|scan\s+date|date\s+scanned", re.I)
-DECISION = re.compile(r"last\s+(?:full\s+)?scan\b|scan\s+(?:comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)", re.I)
+            found.append((said[1], n or 0))
+    return least, found, unresolved
 
 
-def spatial_version(boxes: list[Box], rows: list[Row], least: float) -> str:
-    """The version in a label's box, else of the value whose nearest label asks for it, else in a row behind the label."""
-    labels = [(b, bool(DAT_LABEL.search(b.text))) for b in boxes if DAT_LABEL.search(b.text) or OTHER_LABEL.search(b.text)]
-    strong = [(b, wanted) for b, wanted in labels if b.confidence >= least]
-    for b, wanted in strong:
-        if wanted and (v := T.version(DAT_LABEL.sub("", b.text))):
-            return v
+def version_spots(boxes: list[Box], rows: list[Row], least: float) -> tuple:
+    """(least, texts in version labels, (text, heights away, pixels away) of texts whose nearest label asks for a version, texts behind labels in rows, whether there is a label)."""
+    labels = [(b, bool(DAT_LABEL.search(b.text))) for b in boxes if b.confidence >= least and (DAT_LABEL.search(b.text) or OTHER_LABEL.search(b.text))]
     placed = []
     for b in boxes:
-        v = "" if b.confidence < least or re.search(r"\b(?:engine|date|time)\b", b.text, re.I) else T.version(b.text)
-        near = [(*offset(b, label), k) for k, (label, _) in enumerate(strong) if b.left >= label.right - 20 and abs(b.middle - label.middle) <= max(120.0, 3.0 * max(b.height, label.height))] if v else []
-        if near:
-            label, wanted = strong[min(near)[2]]
-            if wanted:
-                n = float(v.split()[0])
-                placed.append((not 4000 <= n <= 40000, "." not in v, min(near)[0], b.left - label.right, v))
-    if placed:
-        return min(placed)[4]
-    return next((v for row in rows if (m := DAT_LABEL.search(row.text)) and (v := T.version(row.text[m.end() :]))), "")
+        if b.confidence >= least and re.search(r"\d{4}", b.text) and not re.search(r"\b(?:engine|date|time)\b", b.text, re.I):
+            near = [(*offset(b, label), k) for k, (label, _) in enumerate(labels) if b.left >= label.right - 20 and abs(b.middle - label.middle) <= max(120.0, 3.0 * max(b.height, label.height))]
+            if near and labels[min(near)[2]][1]:
+                placed.append((b.text, min(near)[0], b.left - labels[min(near)[2]][0].right))
+    tails = [row.text[m.end() :] for row in rows if (m := DAT_LABEL.search(row.text))]
+    return least, [DAT_LABEL.sub("", b.text) for b, wanted in labels if wanted], placed, tails, bool(tails) or any(wanted for _, wanted in labels)
 
 
-def has_version_label(boxes: list[Box], rows: list[Row], least: float = 0.0) -> bool:
-    return any(b.confidence >= least and DAT_LABEL.search(b.text) for b in boxes) or any(DAT_LABEL.search(r.text) for r in rows)
+PLACED = """image string, system string, folder string, located boolean, spoken array<struct<text:string,confidence:double>>,
+rows array<struct<text:string,confidence:double,items:array<struct<text:string,confidence:double>>>>,
+counts array<struct<least:double,labels:array<struct<label:string,n:int>>,unresolved:boolean>>,
+spots array<struct<least:double,inline:array<string>,placed:array<struct<text:string,away:double,gap:double>>,tails:array<string>,label:boolean>>"""
 
 
-@dataclass
-class Audit:
-    status: str
-    dat_version: str
-    last_scan: str
-    outdated: bool
-    dat_candidate: str = ""
-    date_candidate: str = ""
-    date_count: int = 0
-    threat_result: str = T.UNKNOWN
-    candidate_result: str = T.UNKNOWN
-    reasons: list[str] = field(default_factory=list)
-
-
-def _implausible(v: str) -> bool:
-    n = T.number_of(v)
-    return n is not None and (1900 <= n <= 2100 or n > 50000)
-
-
-def _trusted_lines(rows: list[Row], spoken: list[tuple[str, float]], profile: T.Profile) -> list[str]:
-    """Text that may speak for metadata; without places, the neighbourhood of a marker with gaps kept."""
-    if rows:
-        least = [profile.context if CONTEXT.search(r.text) and r.confidence >= profile.context else profile.metadata for r in rows]
-        return [t for r, c in zip(rows, least, strict=True) if (t := r.trusted(c))]
-    sure = {i for i, (_, c) in enumerate(spoken) if c >= profile.metadata}
-    bridge = set()
-    for i, (text, c) in enumerate(spoken):
-        if c >= profile.context and CONTEXT.search(text):
-            for j in range(max(0, i - 6), min(len(spoken), i + 7)):
-                (sure if spoken[j][1] >= profile.context else bridge).add(j)
-    out, last = [], None
-    for i in sorted(sure | bridge):
-        if last is not None and i != last + 1:
-            out.append(T.GAP)
-        out.append(spoken[i][0] if i in sure else "[LOW CONFIDENCE OCR]")
-        last = i
-    return out
-
-
-def audit(tokens: list[tuple], system: str = "", folder: str = "", thresholds: dict[str, float] | None = None, profile: T.Profile | None = None) -> Audit:
-    """The verdict on one screenshot's tokens (bbox, text, confidence).
+def _tuples(pdf: pd.DataFrame) -> list[tuple]:
+    pdf = pdf.sort_values("seq", kind="stable")
+    return [(None if b is None else [list(x) for x in b], t or "", 0.0 if c is None else c) for b, t, c in zip(pdf["bbox"], pdf["text"], pdf["confidence"], strict=True)]
+
+
+def placed_texts(tokens: DataFrame, profile: T.Profile) -> DataFrame:
+    """One row an image of tokens (OCR_TOKENS, system, folder): visual rows, and what stands where beside labels at the profile's confidences."""
+
+    def places(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _tuples(pdf)
+        boxes = [b for i, t in enumerate(found) if (b := Box.of(i, *t))]
+        rows = rows_of(boxes)
+        said = [(r.text, float(r.confidence), [(b.text, float(b.confidence)) for b in r.items]) for r in rows]
+        counts = [spatial_counts(rows, c) for c in (0.0, profile.positive, profile.zero)]
+        spots = [version_spots(boxes, rows, c) for c in (0.0, profile.context)]
+        first = pdf.iloc[0]
+        row = [first["image"], first["system"] or "", first["folder"] or "", len(boxes) == len(found), [(str(t), float(c or 0.0)) for _, t, c in found], said, counts, spots]
+        return pd.DataFrame([row], columns=["image", "system", "folder", "located", "spoken", "rows", "counts", "spots"])
+
+    return tokens.groupBy("image").applyInPandas(places, PLACED)
+
+
+def trusted_text(items: Column, least: Column) -> Column:
+    return F.array_join(F.transform(F.filter(items, lambda b: b["confidence"] >= least), lambda b: b["text"]), " ")
+
+
+def spoken_lines(placed: DataFrame, profile: T.Profile) -> DataFrame:
+    """image, pass, n, line, system, folder: the lines of raw, trusted and, where nothing has a place, strong and zero texts."""
+    keep = ["image", "system", "folder"]
+    flat = placed.where(F.size("rows") == 0)
+    texts = lambda tokens: F.array_join(F.transform(tokens, lambda t: t["text"]), "\n")
+    least = lambda r: F.when(T.likes(r["text"], CONTEXT) & (r["confidence"] >= profile.context), profile.context).otherwise(profile.metadata)
+    raw = placed.select(*keep, F.lit("raw").alias("pass"), texts(F.when(F.size("rows") > 0, F.transform("rows", lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence")))).otherwise(F.col("spoken"))).alias("text"))
+    sure = placed.where(F.size("rows") > 0).select(*keep, F.lit("trusted").alias("pass"), F.array_join(F.transform("rows", lambda r: trusted_text(r["items"], least(r))), "\n").alias("text"))
+    at = lambda name, c: flat.select(*keep, F.lit(name).alias("pass"), texts(F.filter("spoken", lambda t: t["confidence"] >= c)).alias("text"))
+    whole = raw.unionByName(sure).unionByName(at("strong", profile.positive)).unionByName(at("zero", profile.zero))
+    whole = whole.select(*keep, "pass", F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
+    # without places: strong texts, and those around a marker, with the gaps between them kept
+    said = flat.select(*keep, F.posexplode("spoken").alias("i", "t")).select(*keep, "i", F.col("t.text").alias("text"), F.col("t.confidence").alias("c"))
+    inside = Window.partitionBy("image").orderBy("i")
+    marked = F.max((F.col("c") >= profile.context) & T.likes(F.col("text"), CONTEXT)).over(inside.rowsBetween(-T.NEAR, T.NEAR))
+    said = said.withColumn("near", marked).withColumn("sure", (F.col("c") >= profile.metadata) | F.col("near") & (F.col("c") >= profile.context)).where("sure or near")
+    line = F.when(F.col("sure"), F.col("text")).otherwise(UNSURE)
+    gap = F.lag("i").over(inside) < F.col("i") - 1
+    around = said.withColumn("lines", F.when(gap, F.array(F.lit(T.GAP), line)).otherwise(F.array(line))).select(*keep, F.lit("trusted").alias("pass"), "i", F.posexplode("lines").alias("k", "line"))
+    around = around.select(*keep, "pass", (2 * F.col("i") + F.col("k")).alias("n"), F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line")).where("line <> ''")
+    return whole.unionByName(around)
+
+
+def placed_version(spot: Column) -> Column:
+    """The version in a label's box, else of the best placed text, else behind a label in its row; '' without."""
+    versions = lambda texts: F.filter(F.transform(texts, lambda t: T.clean_version(t)), lambda v: v != "")
+    n = lambda v: v.try_cast("double")
+    ranked = F.transform(spot["placed"], lambda p: F.struct(T.clean_version(p["text"]).alias("v"), p["away"].alias("away"), p["gap"].alias("gap")))
+    ranked = F.transform(F.filter(ranked, lambda p: p["v"] != ""), lambda p: F.struct((~n(p["v"]).between(4000, 40000)).alias("odd"), (~F.contains(p["v"], F.lit("."))).alias("whole"), p["away"], p["gap"], p["v"].alias("v")))
+    return F.coalesce(F.get(versions(spot["inline"]), F.lit(0)), F.array_min(ranked)["v"], F.get(versions(spot["tails"]), F.lit(0)), F.lit(""))
+
+
+def plausible(dat: Column) -> Column:
+    n = log_number(dat)
+    return F.when(n.between(1900, 2100) | (n > 50000), "Unknown").otherwise(dat)
+
+
+def audits(tokens: DataFrame, strictness: str = "high", thresholds: dict[str, float] | None = None, zero: float = 0.0) -> DataFrame:
+    """One row an image of tokens (OCR_TOKENS, system, folder): verdict, metadata, candidates, reasons.
 
     Three passes read threats: everything for candidates, strong text for positives,
     text of the zero confidence for zeros. Only a placed, strong count is a threat;
     weaker signs are reasons for a person to look.
     """
-    thresholds, p = thresholds or {}, profile or T.Profile.of("high")
-    boxes = [b for i, t in enumerate(tokens) if (b := Box.of(i, *t))]
-    rows = rows_of(boxes)
-    spoken = [(str(t[1]), float(t[2] or 0.0)) for t in tokens]
-    raw = [r.text for r in rows] if rows else [t for t, _ in spoken]
-    plain = T.findings(T.lines_of("\n".join(raw)))
-    if rows:
-        weak, strong, zero = (spatial_findings(rows, c) for c in (0.0, p.positive, p.zero))
-        candidates = weak.threats + [t for t in plain.threats if t.startswith("Keyword Flagged:")]
-    else:
-        of = lambda c: T.findings(T.lines_of("\n".join(t for t, k in spoken if k >= c)))
-        weak, strong, zero, candidates = plain, of(p.positive), of(p.zero), plain.threats
-    result = T.ZERO if strong.result != T.POSITIVE and zero.result == T.ZERO else strong.result
-    sure = [t for t in strong.threats if not t.startswith("Keyword Flagged:")]
-    flags = weak.flags + [f for f in strong.flags if not (result == T.ZERO and f == UNPLACED)]
-    flags += [f"Keyword-only possible threat requires review: {t}" for t in candidates if t.startswith("Keyword Flagged:")]
-    flags += [f"Low-confidence possible threat requires review: {t}" for t in candidates if not t.startswith("Keyword Flagged:") and t not in sure]
-    flags = list(dict.fromkeys(flags))
-    if not sure and result != T.ZERO:
-        flags.append("No explicit, resolved zero-threat outcome was extracted.")
-    clean = p.lenient or result == T.ZERO and not flags
-    a = Audit("Threats Found" if sure else "Clean" if clean else "Manual Verification Needed", "Unknown", "Unknown", False, threat_result=result, candidate_result=weak.result, reasons=list(flags))
-    review = "Threats Found" if sure else "Manual Verification Needed"
-
-    trusted = "\n".join(_trusted_lines(rows, spoken, p))
-    a.dat_version, a.last_scan, a.outdated = T.metadata(trusted, system, folder, thresholds, need_context=True)
-    raw_dat = T.metadata("\n".join(raw), system, folder, thresholds, need_context=True)[0]
-    if rows and system != "RADIO":
-        value, confirmed = spatial_version(boxes, rows, p.context), has_version_label(boxes, rows, p.context)
-        if confirmed or has_version_label(boxes, rows):
-            a.dat_version, a.outdated = (value if confirmed else "") or "Unknown", False
-        if value:
-            low = trusted.lower()
-            name = "mcafee" if system in ("CCTV", "EPM", "INFO") else "symantec" if "symantec" in low else "trellix" if "trellix" in low else "mcafee"
-            n = T.number_of(value)
-            a.dat_version, a.outdated = value, n is not None and n < T.threshold_of(name, thresholds)
-        if _implausible(a.dat_version):
-            a.dat_version, a.outdated = "Unknown", False
-        if has_version_label(boxes, rows):
-            raw_dat = spatial_version(boxes, rows, 0.0) or "Unknown"
-        raw_dat = "Unknown" if _implausible(raw_dat) else raw_dat
-    if a.dat_version.startswith("Updated:") and T.number_of(a.dat_version) is None:
-        a.reasons.append("A ClamWin update date was found, but the numeric daily signature version was unreadable.")
-        a.status = review
-    if a.dat_version == "Unknown":
-        known = raw_dat != "Unknown"
-        a.dat_candidate = raw_dat if known else ""
-        a.reasons.append("DAT version was found in lower-confidence OCR and needs confirmation." if known else "No confirmed DAT/signature version was extracted.")
-    _settle_date(a, rows, spoken, raw, system, folder, p, review)
-    a.status = T.with_evidence(a.status, a.last_scan, a.dat_version, p)
-    return a
-
-
-def _settle_date(a: Audit, rows: list[Row], spoken: list[tuple[str, float]], raw: list[str], system: str, folder: str, p: T.Profile, review: str) -> None:
-    """A time repeated three times beside a trusted marker is the scan's; a weak last marker makes it unknown."""
-    times = Counter(t for text in raw if (t := find_datetime(text, folder)))
-    marker = re.compile(r"scan\s+started", re.I) if system == "RADIO" else DECISION
-    marks = [c for text, c in ([(r.text, r.confidence) for r in rows] if rows else spoken) if marker.search(text)]
-    agreed = max((t for t, n in times.items() if n >= 3), default="")
-    if agreed and marks and max(marks) >= p.context:
-        a.last_scan, a.date_count = agreed, times[agreed]
-    elif marks and marks[-1] < p.context:
-        a.last_scan, a.status = "Unknown", review
-        a.reasons.append("The latest scan event label has low OCR confidence.")
-    if a.last_scan == "Unknown" and times:
-        a.date_candidate = max(times)
-        a.date_count = times[a.date_candidate]
-        a.reasons.append("A valid date was found, but it could not be confirmed as the completed scan time.")
-    elif a.last_scan == "Unknown":
-        a.reasons.append("No calendar-valid completed-scan timestamp was extracted.")
-
-
-def complete(tokens: list[tuple], system: str, folder: str, thresholds: dict[str, float], profile: T.Profile) -> bool:
-    """Whether every token is strong and placed and every field settled without a reason left."""
-    if not tokens or any(float(t[2] or 0) < profile.metadata or Box.of(0, *t) is None for t in tokens):
-        return False
-    a = audit(tokens, system, folder, thresholds, profile)
-    return a.threat_result != T.UNKNOWN and "Unknown" not in (a.dat_version, a.last_scan) and not (a.dat_candidate or a.date_candidate or a.reasons)
+    p, limits = T.Profile.of(strictness, zero), dict(thresholds or {})
+    placed = cut(placed_texts(tokens, p))  # read by every pass
+    said = T.readings(spoken_lines(placed, p), ["image", "pass"])
+    fields = ["whole", "product", "times", "threats", "flags", "known", "open", "dat_version", "last_scan"]
+    passes = ("raw", "trusted", "strong", "zero")
+    said = said.groupBy("image").agg(*[F.first(F.when(F.col("pass") == k, F.struct(*fields)), ignorenulls=True).alias(k) for k in passes])
+    said = cut(said)
+    df = placed.join(said, "image", "left").withColumn("spatial", F.size("rows") > 0)
+    none = strings().cast("array<string>")
+
+    def read(k: str, i: int) -> Column:
+        """struct(threats, flags, result) of a pass, placed (counts[i]) or, where nothing has a place, plain (column k)."""
+        c = F.get("counts", F.lit(i))
+        seen = F.array_join(F.transform("rows", lambda r: trusted_text(r["items"], c["least"])), "\n")
+        known = T.likes(seen, NOTHING) | (F.size(c["labels"]) > 0)
+        threats = F.array_distinct(F.transform(F.filter(c["labels"], lambda x: x["n"] > 0), lambda x: F.concat(x["label"], F.lit(": "), x["n"].cast("string"))))
+        flags = F.when(c["unresolved"] & ~known, strings(UNPLACED)).otherwise(none)
+        here = F.struct(threats.alias("threats"), flags.alias("flags"), T.result_of(threats, flags, known, c["unresolved"]).alias("result"))
+        plain = [F.coalesce(F.col(f"{k}.threats"), none), F.coalesce(F.col(f"{k}.flags"), none), F.coalesce(F.col(f"{k}.known"), F.lit(False)), F.coalesce(F.col(f"{k}.open"), F.lit(False))]
+        there = F.struct(plain[0].alias("threats"), plain[1].alias("flags"), T.result_of(*plain).alias("result"))
+        return F.when(F.col("spatial"), here).otherwise(there)
+
+    keyword = lambda x: F.startswith(x, F.lit(T.KEYWORD))
+    df = df.withColumns({"weak": read("raw", 0), "sure": read("strong", 1), "least": read("zero", 2)})
+    result = F.when((F.col("sure.result") != T.POSITIVE) & (F.col("least.result") == T.ZERO), T.ZERO).otherwise(F.col("sure.result"))
+    plain_keywords = F.when(F.col("spatial"), F.filter(F.coalesce("raw.threats", none), keyword)).otherwise(none)
+    df = df.withColumns({"result": result, "candidates": F.concat("weak.threats", plain_keywords), "found": F.filter("sure.threats", lambda x: ~keyword(x))})
+    told = lambda text, xs: F.transform(xs, lambda x: F.concat(F.lit(text), x))
+    flags = F.array_distinct(F.concat(
+        "weak.flags", F.filter("sure.flags", lambda f: (F.col("result") != T.ZERO) | (f != UNPLACED)),
+        told("Keyword-only possible threat requires review: ", F.filter("candidates", keyword)),
+        told("Low-confidence possible threat requires review: ", F.array_except(F.filter("candidates", lambda x: ~keyword(x)), "found")),
+    ))
+    unread = F.when((F.size("found") == 0) & (F.col("result") != T.ZERO), strings("No explicit, resolved zero-threat outcome was extracted.")).otherwise(none)
+    df = df.withColumn("flags", F.concat(flags, unread))
+    # the version: what stands beside a label goes before what the lines say
+    system, value = F.col("system"), placed_version(F.get("spots", F.lit(1)))
+    by_place = F.col("spatial") & (system != "RADIO")
+    labelled = F.get("spots", F.lit(0))["label"] | F.get("spots", F.lit(1))["label"]
+    unknown = lambda c: F.coalesce(c, F.lit("Unknown"))
+    df = df.withColumn("value", F.when(by_place, value).otherwise(""))
+    dat = F.when(F.col("value") != "", F.col("value")).when(by_place & labelled, "Unknown").otherwise(unknown(F.col("trusted.dat_version")))
+    raw_dat = F.when(by_place & F.get("spots", F.lit(0))["label"], F.coalesce(F.nullif(placed_version(F.get("spots", F.lit(0))), F.lit("")), F.lit("Unknown"))).otherwise(unknown(F.col("raw.dat_version")))
+    product = F.coalesce("trusted.product", T.product_of(system, F.lit("")))
+    df = df.withColumns({"dat": F.when(by_place, plausible(dat)).otherwise(dat), "raw_dat": F.when(by_place, plausible(raw_dat)).otherwise(raw_dat), "product": F.when(by_place & (product == "clamwin"), "mcafee").otherwise(product)})
+    # the time: repeated three times beside a trusted marker it is the scan's; a weak last marker makes it unknown
+    times = F.coalesce("raw.times", none)
+    marker = lambda text: F.when(system == "RADIO", T.likes(text, r"scan\s+started")).otherwise(T.likes(text, DECISION))
+    spoken = F.when(F.col("spatial"), F.transform("rows", lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence")))).otherwise(F.col("spoken"))
+    df = df.withColumns({"seen": times, "marks": F.transform(F.filter(spoken, lambda t: marker(t["text"])), lambda t: t["confidence"])})
+    repeated = F.array_max(F.filter(F.array_distinct("seen"), lambda t: F.size(F.filter("seen", lambda x: x == t)) >= 3))
+    agreed = F.when(F.array_max("marks") >= p.context, repeated)
+    weak_mark = agreed.isNull() & (F.element_at(F.concat("marks", F.array(F.lit(1.0))), F.greatest(F.size("marks"), F.lit(1))) < p.context) & (F.size("marks") > 0)
+    last = F.coalesce(agreed, F.when(weak_mark, "Unknown"), unknown(F.col("trusted.last_scan")))
+    df = df.withColumns({"agreed": agreed, "weak_mark": F.coalesce(weak_mark, F.lit(False)), "last": last})
+    date_candidate = F.when((F.col("last") == "Unknown") & (F.size("seen") > 0), F.array_max("seen"))
+    counted = F.coalesce(date_candidate, "agreed")
+    updated = F.startswith("dat", F.lit("Updated:")) & log_number(F.col("dat")).isNull()
+    reason = lambda when, text: F.when(when, strings(text)).otherwise(none)
+    reasons = F.concat(
+        "flags",
+        reason(updated, "A ClamWin update date was found, but the numeric daily signature version was unreadable."),
+        reason((F.col("dat") == "Unknown") & (F.col("raw_dat") != "Unknown"), "DAT version was found in lower-confidence OCR and needs confirmation."),
+        reason((F.col("dat") == "Unknown") & (F.col("raw_dat") == "Unknown"), "No confirmed DAT/signature version was extracted."),
+        reason(F.col("weak_mark"), "The latest scan event label has low OCR confidence."),
+        reason(date_candidate.isNotNull(), "A valid date was found, but it could not be confirmed as the completed scan time."),
+        reason((F.col("last") == "Unknown") & (F.size("seen") == 0), "No calendar-valid completed-scan timestamp was extracted."),
+    )
+    clean = F.lit(p.lenient) | (F.col("result") == T.ZERO) & (F.size("flags") == 0)
+    status = F.when(F.size("found") > 0, "Threats Found").when(clean & ~updated & ~F.col("weak_mark"), "Clean").otherwise("Manual Verification Needed")
+    return df.select(
+        "image", T.with_evidence(status, F.col("last"), F.col("dat"), p).alias("status"), F.col("dat").alias("dat_version"), F.col("last").alias("last_scan"),
+        T.is_outdated(F.col("dat"), F.col("product"), limits).alias("outdated"),
+        F.when((F.col("dat") == "Unknown") & (F.col("raw_dat") != "Unknown"), F.col("raw_dat")).otherwise("").alias("dat_candidate"), F.coalesce(date_candidate, F.lit("")).alias("date_candidate"),
+        F.when(counted.isNotNull(), F.size(F.filter("seen", lambda x: x == counted))).otherwise(0).alias("date_count"), F.col("result").alias("threat_result"), F.col("weak.result").alias("candidate_result"), reasons.alias("reasons"),
+        (F.col("located") & (F.size("spoken") > 0) & F.forall("spoken", lambda t: t["confidence"] >= p.metadata)).alias("strong"),
+    )
+
+
+def complete() -> Column:
+    """Of audits(): whether every token is strong and placed and every field settled without a reason left."""
+    settled = (F.col("threat_result") != T.UNKNOWN) & (F.col("dat_version") != "Unknown") & (F.col("last_scan") != "Unknown")
+    return F.col("strong") & settled & (F.col("dat_candidate") == "") & (F.col("date_candidate") == "") & (F.size("reasons") == 0)
 
 
 def usable(tokens: Column) -> Column:
@@ -334,11 +340,6 @@ def usable(tokens: Column) -> Column:
     return F.forall(tokens, lambda t: t["bbox"].isNotNull())
 
 
-def _tuples(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf.sort_values("seq", kind="stable")
-    return [(None if b is None else [list(x) for x in b], t or "", 0.0 if c is None else c) for b, t, c in zip(pdf["bbox"], pdf["text"], pdf["confidence"], strict=True)]
-
-
 def visual_rows(tokens: DataFrame) -> DataFrame:
     """image, row_no, text, n_items, middle, height."""
 
@@ -349,33 +350,6 @@ def visual_rows(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("image").applyInPandas(rows, "image string, row_no int, text string, n_items int, middle double, height double")
 
 
-def audits(tokens: DataFrame, strictness: str = "high", thresholds: dict[str, float] | None = None, zero: float = 0.0) -> DataFrame:
-    """One row an image of tokens (OCR_TOKENS, system, folder): verdict, metadata, candidates, reasons."""
-    profile, limits = T.Profile.of(strictness, zero), dict(thresholds or {})
-    names = ["status", "dat_version", "last_scan", "outdated", "dat_candidate", "date_candidate", "date_count", "threat_result", "candidate_result", "reasons"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = audit(_tuples(pdf), pdf["system"].iloc[0] or "", pdf["folder"].iloc[0] or "", limits, profile)
-        return pd.DataFrame([[pdf["image"].iloc[0], *[getattr(a, n) for n in names]]], columns=["image", *names])
-
-    return tokens.groupBy("image").applyInPandas(run, "image string, status string, dat_version string, last_scan string, outdated boolean, dat_candidate string, date_candidate string, date_count int, threat_result string, candidate_result string, reasons array<string>")
-
-
-def text_verdicts(files: DataFrame, strictness: str = "high", thresholds: dict[str, float] | None = None) -> DataFrame:
-    """source_id, status, dat_version, last_scan, is_outdated, threat_result, n_findings, n_flags of files (source_id, text, system, folder)."""
-    profile, limits = T.Profile.of(strictness), dict(thresholds or {})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                f = T.findings(T.lines_of(r.text or ""), wrapped=True)
-                out.append((r.source_id, *T.text_verdict(r.text or "", r.system or "", r.folder or "", limits, profile), f.result, len(f.threats), len(f.flags)))
-            yield pd.DataFrame(out, columns=["source_id", "status", "dat_version", "last_scan", "is_outdated", "threat_result", "n_findings", "n_flags"])
-
-    return files.select("source_id", "text", "system", "folder").mapInPandas(run, "source_id string, status string, dat_version string, last_scan string, is_outdated boolean, threat_result string, n_findings int, n_flags int")
-
-
 def timestamp_consensus(rows: DataFrame) -> DataFrame:
     """image, agreed: the latest time that three or more rows (image, time) show."""
     counts = rows.where("time is not null and time <> ''").groupBy("image", "time").agg(F.count("*").alias("n"))

@@ -2,68 +2,43 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.functions.scan_dates import find_datetime
-from palisade.operators.scan_text import number_of
+from palisade.functions.scan_dates import found_datetime
+from palisade.functions.versions import log_number
 from palisade.operators.verdicts import CLEAN, MANUAL, THREATS
 
 # Fixed values.
-DAT_WORDS = re.compile(r"\b(?:amcore|dat|signature|virus\s+db|definitions?)\b", re.I)
-THREAT_WORDS = re.compile(r"\b(?:infected\s+files?|detections?|threats?|files?\s+with\s+detections?)\b", re.I)
-REPLY = "dat_version string, scan_date string, threat_count int, dat_evidence string, scan_date_evidence string, threat_evidence string, error string"
-
-
-def reply_object(reply: str) -> dict:
-    """The first JSON object of a reply, fences and trailing prose aside; ValueError without."""
-    at = (reply or "").find("{")
-    if at < 0:
-        raise ValueError("Local AI response did not contain JSON.")
-    found, _ = json.JSONDecoder().raw_decode(reply[at:])
-    return found
-
+DAT_WORDS = r"\b(?:amcore|dat|signature|virus\s+db|definitions?)\b"
+THREAT_WORDS = r"\b(?:infected\s+files?|detections?|threats?|files?\s+with\s+detections?)\b"
+FIELDS = ("dat_version", "scan_date", "threat_count", "dat_evidence", "scan_date_evidence", "threat_evidence")
 
-def short(value, most: int = 500) -> str:
-    return " ".join(str(value or "").split())[:most]
 
-
-def checked(raw: dict, folder: str) -> dict:
-    """A field counts only when its value also stands in its labelled evidence."""
-    evidence = {k: short(raw.get(k)) for k in ("dat_evidence", "scan_date_evidence", "threat_evidence")}
-    digits = lambda s: re.sub("[^0-9]", "", s)
-    dat = short(raw.get("dat_version"), 80)
-    dat_ok = dat and number_of(dat) is not None and DAT_WORDS.search(evidence["dat_evidence"]) and digits(dat) in digits(evidence["dat_evidence"])
-    date = find_datetime(short(raw.get("scan_date"), 100), folder)
-    n = raw.get("threat_count")
-    n = int(n) if isinstance(n, str) and re.fullmatch(r"\d{1,7}", n.strip()) else n
-    label = THREAT_WORDS.search(evidence["threat_evidence"])
-    seen = re.search(r"(?<!\d)(\d{1,7})(?!\d)", evidence["threat_evidence"][label.end() :]) if label else None
-    count_ok = isinstance(n, int) and not isinstance(n, bool) and 0 <= n <= 1_000_000 and seen and int(seen[1]) == n
-    return {"dat_version": dat if dat_ok else "", "scan_date": date if date and date == find_datetime(evidence["scan_date_evidence"], folder) else "", "threat_count": n if count_ok else None, **evidence}
+def short(value: Column, most: int = 500) -> Column:
+    return F.left(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " ")), F.lit(most))
 
 
 def validated(replies: DataFrame) -> DataFrame:
-    """id and REPLY columns of replies (id, reply, folder); a reply that holds no object has an error instead."""
-    names = [c.strip().split(" ")[0] for c in REPLY.split(",")]
-    kind = replies.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                try:
-                    got = checked(reply_object(r.reply), r.folder or "") | {"error": None}
-                except (ValueError, AttributeError) as e:
-                    got = dict.fromkeys(names) | {"error": str(e)[:100]}
-                out.append([r.id, *[got[n] for n in names]])
-            yield pd.DataFrame(out, columns=["id", *names]).astype({"threat_count": "Int32"})
+    """id, the FIELDS and error of replies (id, reply, folder): the first JSON object of a reply, fences and trailing prose aside.
 
-    return replies.select("id", "reply", "folder").mapInPandas(run, f"id {kind}, {REPLY}")
+    A field counts only when its value also stands in its labelled evidence; a reply that holds no object has an error instead.
+    """
+    schema = ", ".join(f"{f} string" for f in (*FIELDS, "broken"))
+    body = F.nullif(F.regexp_extract("reply", r"(?s)(\{.*)$", 1), F.lit(""))
+    r = replies.select("id", F.coalesce("folder", F.lit("")).alias("folder"), body.alias("body"), F.from_json(body, schema, {"columnNameOfCorruptRecord": "broken"}).alias("r"))
+    error = F.when(F.col("body").isNull(), "Local AI response did not contain JSON.").when(F.col("r").isNull() | F.col("r.broken").isNotNull(), "Local AI response held no whole JSON object.")
+    r = r.select("id", "folder", error.alias("error"), *[short(F.col(f"r.{f}"), {"dat_version": 80, "scan_date": 100}.get(f, 500)).alias(f) for f in FIELDS])
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    words = lambda c, pattern: F.rlike(c, F.lit(f"(?i){pattern}"))
+    dat_ok = log_number(F.col("dat_version")).isNotNull() & words(F.col("dat_evidence"), DAT_WORDS) & F.contains(digits(F.col("dat_evidence")), digits(F.col("dat_version")))
+    date = found_datetime(F.col("scan_date"), F.col("folder"))
+    date_ok = date == found_datetime(F.col("scan_date_evidence"), F.col("folder"))
+    n = F.when(F.rlike("threat_count", F.lit("^[0-9]{1,7}$")), F.col("threat_count").try_cast("int"))
+    behind = F.regexp_extract("threat_evidence", rf"(?i)^.*?{THREAT_WORDS}(.*)$", 1)
+    count_ok = (n <= 1_000_000) & (F.regexp_extract(behind, r"(?<![0-9])([0-9]{1,7})(?![0-9])", 1).try_cast("int") == n)
+    told = lambda c: F.when(F.col("error").isNull(), c)
+    return r.select("id", told(F.when(dat_ok, F.col("dat_version")).otherwise("")).alias("dat_version"), told(F.when(date_ok, date).otherwise("")).alias("scan_date"), told(F.when(count_ok, n)).alias("threat_count"), *[told(F.col(f)).alias(f) for f in FIELDS[3:]], "error")
 
 
 def reconciled(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import evidence_month, file_name
 from palisade.lineage import cut
-from palisade.operators import checklist, classify, coverage, matching, ocr, parsers, paths, reconcile, verdicts
+from palisade.operators import checklist, classify, coverage, matching, ocr, parsers, paths, reconcile, scan_text, verdicts
 from palisade.sources.evidence import content_error, csv_rows, decoded_text, pdf_text
 
 NO_RUN = "No supported completed scan run could be parsed from this file."
@@ -68,7 +68,7 @@ def entries(files: DataFrame, thresholds: dict[str, float] | None = None, strict
     texts = left.where("kind = 'text' and error is null").select(F.col("path").alias("source_id"), "content", "system", "month")
     plain = decoded_text(texts.select("source_id", "content")).join(texts.select("source_id", "system", F.col("month").alias("folder")), "source_id")
     none = F.array().cast("array<string>")
-    read = ocr.text_verdicts(plain, strictness, thresholds).select(F.col("source_id").alias("path"), "status", "dat_version", "last_scan", none.alias("reasons"), F.lit("unknown").alias("role"), "is_outdated")
+    read = scan_text.text_verdicts(plain, strictness, thresholds).select(F.col("source_id").alias("path"), "status", "dat_version", "last_scan", none.alias("reasons"), F.lit("unknown").alias("role"), "is_outdated")
     seen = told.unionByName(read)
     if tokens is not None:
         named = files.select(F.col("path").alias("image"), "system", F.col("month").alias("folder"))

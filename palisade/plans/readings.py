@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import scan_dates
 from palisade.functions.text import is_no_count, isolated_count
-from palisade.operators import explore, ocr, second_reader, verdicts
+from palisade.operators import explore, ocr, scan_text, second_reader, verdicts
 from palisade.plans.evidence import EVIDENCE_CTE, entries
 from palisade.plans.logs import table, text
 from palisade.streaming.ingest import sessions
@@ -26,7 +26,7 @@ def text_files(spark, sf: str) -> DataFrame:
 
 
 def text_verdict(spark, sf):
-    out = ocr.text_verdicts(text_files(spark, sf), thresholds={"mcafee": 6100.0})
+    out = scan_text.text_verdicts(text_files(spark, sf), thresholds={"mcafee": 6100.0})
     return out.select(F.col("source_id").cast("bigint").alias("user_id"), "status", "threat_result", "dat_version", "last_scan", "is_outdated", F.col("n_findings").cast("bigint").alias("n_findings"), F.col("n_flags").cast("bigint").alias("n_flags"))
 
 

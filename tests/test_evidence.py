@@ -181,30 +181,58 @@ def box(x, y, w=60, h=10):
     return [[x, y], [x + w, y], [x + w, y + h], [x, y + h]]
 
 
-def test_ocr_rows_and_findings():
-    found = lambda tokens, least=0.9: ocr.spatial_findings(ocr.rows_of([ocr.Box.of(i, *t) for i, t in enumerate(tokens)]), least)
-    assert found([(box(0, 0), "Detections:", 0.95), (box(80, 1), "3", 0.95)]).threats == ["Detections:: 3"]
-    assert found([(box(0, 0), "Detections", 0.95), (box(80, 5), "O", 0.95)]).result == T.ZERO
-    assert found([(box(0, 0), "Detections", 0.95), (box(300, 0), "Memory used", 0.95), (box(380, 0), "7", 0.95)]).result == T.UNKNOWN
-    assert found([(box(0, 0), "Detections", 0.95), (box(80, 0), "10:30", 0.95)]).result == T.UNKNOWN
-    assert found([(box(0, 0), "Detections", 0.95), (box(80, 0), "3", 0.5)]).result == T.UNKNOWN
+def images(spark, **shots):
+    rows = [(name, i, b, t, c, "NET", "May 2026") for name, tokens in shots.items() for i, (b, t, c) in enumerate(tokens)]
+    return spark.createDataFrame([(n, i, None if b is None else [[float(v) for v in q] for q in b], t, c, s, f) for n, i, b, t, c, s, f in rows], "image string, seq int, bbox array<array<double>>, text string, confidence double, system string, folder string")
+
+
+def audited(spark, strictness="high", thresholds=None, **shots):
+    return {r.image: r for r in ocr.audits(images(spark, **shots), strictness, thresholds).withColumn("complete", ocr.complete()).collect()}
+
+
+def test_ocr_rows_and_findings(spark):
+    found = lambda tokens, least=0.9: ocr.spatial_counts(ocr.rows_of([ocr.Box.of(i, *t) for i, t in enumerate(tokens)]), least)[1:]
+    assert found([(box(0, 0), "Detections:", 0.95), (box(80, 1), "3", 0.95)]) == ([("Detections:", 3)], False)
+    assert found([(box(0, 0), "Detections", 0.95), (box(80, 5), "O", 0.95)]) == ([("Detections ", 0)], False)
+    assert found([(box(0, 0), "Detections", 0.95), (box(300, 0), "Memory used", 0.95), (box(380, 0), "7", 0.95)]) == ([], True)
+    assert found([(box(0, 0), "Detections", 0.95), (box(80, 0), "10:30", 0.95)]) == ([], True)
+    assert found([(box(0, 0), "Detections", 0.95), (box(80, 0), "3", 0.5)]) == ([], True)
     assert ocr.upper_median([1, 2, 3, 4]) == 3
+    got = audited(spark, a=[(box(0, 0), "Detections:", 0.95), (box(80, 1), "3", 0.95)], b=[(box(0, 0), "Detections", 0.95), (box(80, 5), "O", 0.95)], c=[(box(0, 0), "Detections", 0.95), (box(80, 0), "10:30", 0.95)])
+    assert [got[k].threat_result for k in "abc"] == ["positive", "explicit_zero", "unknown"] and got["a"].status == "Threats Found"
+    assert ocr.UNPLACED in got["c"].reasons
 
 
-def test_ocr_audit():
+def test_ocr_audit(spark):
     good = [(box(0, 0, 100), "Scan completed", 0.95), (box(120, 0, 100), "2026-05-04 10:00:00", 0.95), (box(0, 20, 100), "DAT version", 0.95), (box(120, 20), "6127.0", 0.95), (box(0, 40), "Detections", 0.95), (box(80, 40), "0", 0.95)]
-    a = ocr.audit(good, "NET", "May 2026", {"mcafee": 6200.0})
-    assert (a.status, a.dat_version, a.last_scan, a.outdated, a.reasons) == ("Clean", "6127.0", "2026-05-04 10:00:00", True, [])
-    assert ocr.complete(good, "NET", "May 2026", {}, T.Profile.of("high"))
     weak = [(b, t, 0.3) for b, t, _ in good]
-    a = ocr.audit(weak, "NET", "May 2026")
-    assert a.status == "Manual Verification Needed" and a.dat_version == "6127.0" and a.date_candidate == "2026-05-04 10:00:00" and a.last_scan == "Unknown"
-    assert ocr.audit(weak, "NET", "May 2026", profile=T.Profile.of("low")).status == "Clean"
     thrice = [(box(0, 20 * k, 100), "Scan completed", 0.5) for k in range(3)] + [(box(120, 20 * k, 100), "2026-05-04 10:00:00", 0.2) for k in range(3)]
-    a = ocr.audit(thrice, "NET", "May 2026")
-    assert (a.last_scan, a.date_count) == ("2026-05-04 10:00:00", 3)
     flat = [(None, t, c) for _, t, c in good]
-    assert ocr.audit(flat, "NET", "May 2026").last_scan == "2026-05-04 10:00:00" and ocr.audit([], "NET").status == "Manual Verification Needed"
+    silent = [(box(0, 0), "word", 0.9)]
+    got = audited(spark, thresholds={"mcafee": 6200.0}, good=good, weak=weak, thrice=thrice, flat=flat, silent=silent)
+    a = got["good"]
+    assert (a.status, a.dat_version, a.last_scan, a.outdated, a.reasons, a.complete) == ("Clean", "6127.0", "2026-05-04 10:00:00", True, [], True)
+    a = got["weak"]
+    assert a.status == "Manual Verification Needed" and a.dat_version == "6127.0" and a.date_candidate == "2026-05-04 10:00:00" and a.last_scan == "Unknown" and not a.complete
+    assert (got["thrice"].last_scan, got["thrice"].date_count) == ("2026-05-04 10:00:00", 3)
+    assert got["flat"].last_scan == "2026-05-04 10:00:00" and got["silent"].status == "Manual Verification Needed"
+    assert audited(spark, "low", weak=weak)["weak"].status == "Clean"
+
+
+def test_ocr_reasons_and_gaps(spark):
+    """Weak counts are candidates, keywords are no findings, and without places a marker's time does not reach across a gap."""
+    shots = {
+        "weak": [(box(0, 0), "Detections", 0.95), (box(80, 0), "4", 0.5)],
+        "keyword": [(box(0, 0), "malware found in x", 0.95)],
+        "gap": [(None, "Scan completed", 0.9)] + [(None, f"filler {k}", 0.2) for k in range(9)] + [(None, "2026-05-04 10:00:00", 0.9)],
+        "near": [(None, "Scan completed", 0.9), (None, "2026-05-04 10:00:00", 0.9), (None, "pm", 0.1)],
+    }
+    got = audited(spark, **shots)
+    assert got["weak"].candidate_result == "positive" and got["weak"].status == "Manual Verification Needed"
+    assert "Low-confidence possible threat requires review: Detections : 4" in got["weak"].reasons
+    assert [r for r in got["keyword"].reasons if r.startswith("Keyword-only")] and got["keyword"].status == "Manual Verification Needed"
+    assert got["near"].last_scan == "2026-05-04 10:00:00"
+    assert got["gap"].last_scan == "2026-05-04 10:00:00"  # no time is near the marker, so the first in the text stands
 
 
 @pytest.mark.parametrize(
@@ -218,8 +246,45 @@ def test_ocr_audit():
         ("", "Manual Verification Needed"),
     ],
 )
-def test_text_verdict(text, status):
-    assert T.text_verdict(text, "NET", "May 2026")[0] == status
+def test_text_verdict(spark, text, status):
+    files = spark.createDataFrame([("a", text, "NET", "May 2026")], "source_id string, text string, system string, folder string")
+    assert T.text_verdicts(files).first().status == status
+
+
+def test_last_scan_by_priority(spark):
+    """Explicit wording, then the last marker of the strongest class, near times of its block, then any time of the text."""
+    texts = {
+        "explicit": "Scan completed 2026-05-09 10:00\nLast full scan of all (4/5/2026 9:00 AM)",
+        "class": "Scan summary 2026-05-09 10:00\n1\n2\n3\n4\n5\n6\n7\nlast scan\n2026-05-02 10:00",
+        "last marker": "scan completed 2026-05-01 10:00\na\nb\nc\nd\ne\nf\ng\nscan completed 2026-05-03 10:00",
+        "near": "a\n2026-05-05 10:00\nscan completed\nb\n2026-05-06 11:00",
+        "meridiem": "scan completed\n5/7/2026 1:07\nPM",
+        "far": "2026-05-08 10:00\n1\n2\n3\n4\n5\n6\n7\nscan completed",
+        "none": "2026-05-08 10:00\nwords",
+        "clean words": "2026-05-08 10:00\nnothing found",
+        "other month": "scan completed 2026-06-08 10:00",
+    }
+    files = spark.createDataFrame([(k, t, "NET", "May 2026") for k, t in texts.items()], "source_id string, text string, system string, folder string")
+    got = {r.source_id: r.last_scan for r in T.text_verdicts(files).collect()}
+    assert got == {"explicit": "2026-05-04 09:00", "class": "2026-05-02 10:00", "last marker": "2026-05-03 10:00", "near": "2026-05-06 11:00", "meridiem": "2026-05-07 13:07", "far": "2026-05-08 10:00", "none": "Unknown", "clean words": "2026-05-08 10:00", "other month": "Unknown"}
+
+
+def test_text_findings_and_products(spark):
+    texts = [
+        ("a", "Files with detections: 3\nInfected files\n0\nDetections: see below", "NET"),
+        ("b", "number of threat events\nTotal 4", "EPM"),
+        ("c", "ClamWin\nScan Started: Mon May 0410.00.00 2026\nVirus DB Version: main 5, daily: 27001\nUpdated: 10.30 4 May 2026", "RADIO"),
+        ("d", "Symantec\nDefinitions: 2024.5\nNo threats found", "NET"),
+        ("e", "AMCore content version\n\n 4954.1234\nDAT version 6000.0\nDAT created on 4 May 2026", "NET"),
+    ]
+    files = spark.createDataFrame([(k, t, s, "May 2026") for k, t, s in texts], "source_id string, text string, system string, folder string")
+    lines = files.select("source_id", "system", "folder", F.posexplode(T.lines_of(F.col("text"))).alias("n", "line"))
+    got = {r.source_id: r for r in T.readings(lines, ["source_id"], wrapped=True).collect()}
+    assert got["a"].threats == ["Files with detections: 3"] and got["a"].flags == [T.OPEN_LABEL.format("detections:")] and got["a"].open
+    assert got["b"].threats == ["Number of Threat Events: 4"] and got["b"].last_scan == "Unknown"
+    assert (got["c"].product, got["c"].dat_version, got["c"].last_scan) == ("clamwin", "27001 (Updated: 10:30 4 May 2026)", "2026-05-04 10:00:00")
+    assert (got["d"].product, got["d"].dat_version, got["d"].known) == ("symantec", "2024.5", True)
+    assert got["e"].dat_version == "4954.1234 (4 May 2026)"
 
 
 def test_month_end_to_end(spark, tmp_path):

@@ -60,7 +60,7 @@ def test_counts_and_percent(spark):
 def test_versions(spark):
     assert values(spark, versions.log_number, "6127.0000 (May 5)", "Updated: 3", "1.2.3") == [6127.0, None, None]
     assert values(spark, versions.checklist_number, "6,127", "", "v 12") == [6.127, None, 12.0]
-    assert [T.version(v) for v in ("04954.0", "1.2.3", "4954 12", "123450", "99", "4954-7")] == ["4954.0", "", "4954.12", "12345.0", "", "4954.7"]
+    assert values(spark, T.clean_version, "04954.0", "1.2.3", "4954 12", "123450", "99", "4954-7") == ["4954.0", "", "4954.12", "12345.0", "", "4954.7"]
 
 
 @pytest.mark.parametrize(
@@ -79,13 +79,19 @@ def test_versions(spark):
         ("", "May 2026", ""),
     ],
 )
-def test_scan_datetime(value, month, expected):
-    assert scan_dates.scan_datetime(value, month, datetime.date(2026, 12, 31)) == expected
+def test_scan_datetime(spark, value, month, expected):
+    assert values(spark, lambda c: scan_dates.found_datetime(c, F.lit(month)), value) == [expected]
 
 
-def test_find_datetime_takes_the_first_valid():
-    assert scan_dates.find_datetime("bad 31/2/2026 10:00 then 4 May 2026 and 5 May 2026", "May 2026") == "2026-05-04"
-    assert scan_dates.find_datetime(scan_dates.tidy_block_date("May 1303.15.17 2026"), "May 2026") == "2026-05-13 03:15:17"
+def test_find_datetime_takes_the_first_valid(spark):
+    assert values(spark, lambda c: scan_dates.found_datetime(c, F.lit("May 2026")), "bad 31/2/2026 10:00 then 4 May 2026 and 5 May 2026") == ["2026-05-04"]
+    assert values(spark, lambda c: scan_dates.found_datetime(c, F.lit("May 2026"), fused=True), "May 1303.15.17 2026") == ["2026-05-13 03:15:17"]
+
+
+def test_dates_from_parts_run_together(spark):
+    got = values(spark, lambda c: scan_dates.found_datetime(c, F.lit("May 2026")), "12May2026 10:11", "5/122026 9:05 PM", "4 May 10:00", "13/13/2026 10:00", "29/2/2026 10:00 30 May 2026", "4 May, 2026", "4 May 2026 25:00")
+    assert got == ["2026-05-12 10:11", "2026-05-12 21:05", "2026-05-04 10:00", "", "2026-05-30", "", ""]
+    assert values(spark, lambda c: scan_dates.found_datetime(c, F.lit("")), "4 May 10:00", "10:00 4/4/26 11:30 P.M.", "12345-05-04 10:00", "29/2/2024 12:00 AM") == ["", "2026-04-04 23:30", "", "2024-02-29 00:00"]
 
 
 def test_found_datetime_column(spark):
