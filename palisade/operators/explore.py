@@ -95,6 +95,11 @@ def overlay(entries: DataFrame, tree: DataFrame) -> DataFrame:
 
 def progress(outcomes: DataFrame, total: int) -> DataFrame:
     """Completed, succeeded, failed, the first twenty failures, percent (half to even), outcome of outcomes (seq, name, failed)."""
-    df = outcomes.agg(F.count("*").alias("seen"), F.count_if(~F.col("failed")).alias("succeeded"), F.count_if("failed").alias("failed"), F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("failed"), F.struct("seq", "name")))), lambda x: x["name"]), 1, 20).alias("failed_files"))
+    counts = outcomes.agg(F.count("*").alias("seen"), F.count_if(~F.col("failed")).alias("succeeded"), F.count_if("failed").alias("failed"), F.lit(None).cast("array<string>").alias("files"))
+    few = outcomes.where("failed").orderBy("seq", "name").limit(20)  # the bound is the feature
+    few = few.agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]).alias("files"))
+    none = F.lit(None).cast("long")
+    both = counts.unionByName(few.select(none.alias("seen"), none.alias("succeeded"), none.alias("failed"), "files"))
+    df = both.agg(F.max("seen").alias("seen"), F.max("succeeded").alias("succeeded"), F.max("failed").alias("failed"), F.first("files", ignorenulls=True).alias("failed_files"))
     done = F.least("seen", F.lit(total))
     return df.select(F.lit(total).alias("total"), done.alias("completed"), "succeeded", "failed", "failed_files", percent(done, F.lit(total), half_even=True).alias("percent"), F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed").alias("outcome"))

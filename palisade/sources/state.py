@@ -65,14 +65,15 @@ def replaced(df: DataFrame, folder: str, name: str = "CURRENT") -> str:
     version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-    system = pointer.getFileSystem(conf)
-    draft = jvm.org.apache.hadoop.fs.Path(f"{pointer.toString()}.{uuid.uuid4().hex}")
-    out = system.create(draft, True)
+    fs = jvm.org.apache.hadoop.fs
+    pointer = fs.Path(f"{folder.rstrip('/')}/{name}")
+    draft = fs.Path(f"{pointer.toString()}.{uuid.uuid4().hex}")
+    out = pointer.getFileSystem(conf).create(draft, True)
     out.write(bytearray(version.encode()))
     out.close()
-    system.delete(pointer, False)
-    system.rename(draft, pointer)
+    over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    over[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, over)  # takes the pointer's place in one step
     return version
 
 
