@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from brute import joined, near, personal, roots, secrets, sha
+from pyspark.sql import functions as F
 
 from palisade.llm import queries
 
@@ -68,11 +69,37 @@ def test_personal_data_base(spark, sf, docs):
 
 
 def test_pipeline_stages(spark, sf, docs):
+    """Every stage's decisions against brute force over what its predecessor kept."""
+    import re
+
     import corpus_pipeline
+    from palisade.llm import mixing, store, toxicity
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "mixing", "byte_bpe"]
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    kept, frame = [set(docs)], table
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = store.written(stage(spark, frame, sf), name)
+        assert frame.columns == table.columns
+        ids = [r.doc_id for r in frame.select("doc_id").collect()]
+        kept.append(set(ids))
+    start, clean, exact, near_kept, mixed = kept
+    model = toxicity.fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    at = {int(t): i for i, t in enumerate(model.terms)}
+
+    def toxic(text):
+        words = set(toxicity.WORD.findall((text or "").lower()))
+        rows = sorted({at[t] for w in words for t in toxicity.terms_of(w) if t in at})
+        margin = model.bias + sum(model.weights[i] for i in rows) + sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(rows) for j in rows[k + 1 :])
+        return 1 / (1 + np.exp(-margin)) >= toxicity.THRESHOLD
+
+    assert clean == {i for i in start if not toxic(docs[i])}
+    first = {}
+    for i in sorted(clean):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", docs[i] or ""), i)
+    assert exact == set(first.values())
+    assert near_kept == {i for i, (_, c) in near([(i, docs[i]) for i in exact], 5).items() if c == i}
+    taken = {r.doc_id: r.copies for r in mixing.mixed(table.where(F.col("doc_id").isin(sorted(near_kept)))).collect()}
+    assert mixed == {i for i, n in taken.items() if n} and {i: ids.count(i) for i in mixed} == {i: n for i, n in taken.items() if n}
     out = queries.QUERIES["pipeline"](spark, sf).collect()
-    assert all(r.decoded_sha256 == sha(docs[r.doc_id] or "") for r in out)
-    kept = {r.doc_id for r in out}
-    groups = near([(i, docs[i]) for i in kept], 5)
-    assert all(c == i for i, (_, c) in groups.items())
+    assert sorted(r.doc_id for r in out) == sorted(ids) and all(r.decoded_sha256 == sha(docs[r.doc_id] or "") for r in out)
