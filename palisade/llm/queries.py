@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from palisade.llm import bpe, chat, embeddings, exact_dedup, lines, minhash, mixing, pii, secrets, toxicity
+from palisade.llm import bpe, centroids, chat, embeddings, exact_dedup, lines, minhash, mixing, pii, quality, runs, secrets, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash.query,
     "op9_line_dedup": lines.query,
     "op10_pii": pii.query,
+    "op11_quality_mil": quality.query,
+    "op12_periodic_runs": runs.query,
+    "op13_centroid_clusters": centroids.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +29,6 @@ ORACLES = {
     "op6_mixing": mixing.SQL,
     "op8_minhash_near_dedup": minhash.SQL,
     "op9_line_dedup": lines.SQL,
+    "op12_periodic_runs": runs.SQL,
+    "op13_centroid_clusters": centroids.SQL,
 }

@@ -31,13 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+def stored(df: DataFrame, name: str) -> str:
+    """The path of df as a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "snappy").parquet(path)  # its codec needs little memory outside the heap
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete one table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove((spark, path))
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -56,11 +68,8 @@ def release(spark: SparkSession) -> None:
     for entry in [e for e in _tables if e[0] is spark]:
         spark.sql(f"DROP TABLE IF EXISTS {entry[1]}")
         _tables.remove(entry)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for entry in [e for e in _written if e[0] is spark]:
-        path = jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(conf).delete(path, True)
-        _written.remove(entry)
+    for _, path in [e for e in _written if e[0] is spark]:
+        discard(spark, path)
 
 
 @atexit.register
