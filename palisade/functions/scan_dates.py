@@ -2,8 +2,8 @@ r"""Scan times as people and screenshots write them, as columns; accepted only w
 
 A text is cut into tokens: dates of three numbers, clock times, numbers, month names
 and single signs. Week days and the word Time are dropped, blanks separate nothing, so
-parts that recognition ran together come apart by themselves. From each token on,
-the tokens that follow are read as one of these:
+parts that recognition ran together come apart by themselves. The tokens' kinds, one letter each, make one
+string, computed once; where it shows the beginning of one of these, and only there, the tokens are read:
 
     year-month-day [T] clock        day month year [clock]      month day clock year
     number/number/year clock [AM]   day month clock [year]      month day year
@@ -57,35 +57,49 @@ def calendar_day(year: Column, month: Column, day: Column, period: Column) -> Co
     return F.when(known & day.between(1, last), F.concat_ws("-", year.cast("string"), *[F.lpad(x.cast("string"), 2, "0") for x in (month, day)]))
 
 
-def _parts(t: Column, i: Column, period: Column) -> Column:
-    """struct(year, month, day, a, clock, meridiem) that the tokens from i on name, NULL where they name no moment; a: year, month and day are still three numbers."""
-    at = lambda k: F.get(t, i + k)
-    kind = F.concat(*[_kind(at(k)) for k in range(4)])  # one letter a token
-    none, number = F.lit(None).cast("string"), lambda k: at(k)
+#: Beginnings of readings, as kinds of tokens.
+STARTS = "^(?:it?[cb]|[xb][cb]|md[cb]y|mdy|dmy|dm[cb])"
+#: What every text that holds a moment shows: two numbers with a sign between them, or a month.
+SIGNS = rf"(?i)[0-9][-/.,:][0-9]|{MONTH}"
+
+
+def _kinds(t: Column) -> Column:
+    """One letter a token: i: year first, x: year last, c: clock, b: either of these two, d: one or two digits, y: four, m: month, t: the letter, a: AM or PM."""
+    is_a = lambda token, shape: F.rlike(token, F.lit(f"^(?:{shape})$"))
+    plain = lambda token: F.when(F.length(token) <= 2, "d").when(F.length(token) == 4, "y").otherwise("-")
+    signed = (("i", YEAR_FIRST), ("c", "[0-9]{1,2}:[0-9]{2}(?:[:.-][0-9]{2})?|[0-9]{1,2}[.][0-9]{2}(?:[:-][0-9]{2})?"), ("b", "[0-9]{1,2}[.][0-9]{2}[.][0-9]{2}"), ("x", YEAR_LAST))
+
+    def kind(token: Column) -> Column:
+        number = F.when(is_a(token, "[0-9]+"), plain(token))
+        for letter, shape in signed:
+            number = number.when(is_a(token, shape), letter)
+        word = F.when(is_a(token, "m[0-9]+"), "m").when(token == "t", "t").when(is_a(token, MERIDIEM), "a").otherwise("-")
+        return F.when(F.left(token, F.lit(1)).between("0", "9"), number.otherwise("-")).otherwise(word)
+
+    return F.array_join(F.transform(t, kind), "")
+
+
+def _parts(t: Column, kinds: Column, i: Column, period: Column) -> Column:
+    """struct(y, m, d, numbers, clock, meridiem) that the tokens from i on name; numbers: year, month and day are still three numbers."""
+    none, number = F.lit(None).cast("string"), lambda k: F.get(t, i + k)
     folder_year = period["year"].cast("string")
     made = lambda y, m, d, clock=none, meridiem=none, numbers=none: F.struct(y.alias("y"), F.substring(m, 2, 2).alias("m"), d.alias("d"), numbers.alias("numbers"), clock.alias("clock"), meridiem.alias("meridiem"))
-    starts = lambda shape: F.rlike(kind, F.lit(f"^{shape}"))
-    return (
-        F.when(starts("i[cb]"), made(none, none, none, at(1), none, at(0)))
-        .when(starts("it[cb]"), made(none, none, none, at(2), none, at(0)))
-        .when(starts("[xb][cb]"), made(none, none, none, at(1), F.when(_kind(at(2)) == "a", at(2)), at(0)))
-        .when(starts("md[cb]y"), made(number(3), at(0), number(1), at(2)))
-        .when(starts("mdy"), made(number(2), at(0), number(1)))
-        .when(starts("dmy[cb]"), made(number(2), at(1), number(0), at(3)))
-        .when(starts("dm[cb]y"), made(number(3), at(1), number(0), at(2)))
-        .when(starts("dm[cb]"), made(folder_year, at(1), number(0), at(2)))
-        .when(starts("dmy"), made(number(2), at(1), number(0)))
-    )
-
-
-def _kind(token: Column) -> Column:
-    """i: year first, x: year last, c: clock, b: either of these two, d: one or two digits, y: four, m: month, t: the letter, a: AM or PM."""
-    is_a = lambda shape: F.rlike(token, F.lit(f"^(?:{shape})$"))
-    shapes = (("d", "[0-9]{1,2}"), ("y", "[0-9]{4}"), ("m", "m[0-9]+"), ("i", YEAR_FIRST), ("c", "[0-9]{1,2}:[0-9]{2}(?:[:.-][0-9]{2})?|[0-9]{1,2}[.][0-9]{2}(?:[:-][0-9]{2})?"), ("b", "[0-9]{1,2}[.][0-9]{2}[.][0-9]{2}"), ("x", YEAR_LAST), ("t", "t"), ("a", MERIDIEM))
-    out = F.when(is_a(shapes[0][1]), shapes[0][0])
-    for letter, shape in shapes[1:]:
-        out = out.when(is_a(shape), letter)
-    return out.otherwise("-")
+
+    def read(kind: Column) -> Column:
+        starts = lambda shape: F.rlike(kind, F.lit(f"^{shape}"))
+        return (
+            F.when(starts("i[cb]"), made(none, none, none, number(1), none, number(0)))
+            .when(starts("it[cb]"), made(none, none, none, number(2), none, number(0)))
+            .when(starts("[xb][cb]"), made(none, none, none, number(1), F.when(starts("..a"), number(2)), number(0)))
+            .when(starts("md[cb]y"), made(number(3), number(0), number(1), number(2)))
+            .when(starts("mdy"), made(number(2), number(0), number(1)))
+            .when(starts("dmy[cb]"), made(number(2), number(1), number(0), number(3)))
+            .when(starts("dm[cb]y"), made(number(3), number(1), number(0), number(2)))
+            .when(starts("dm[cb]"), made(folder_year, number(1), number(0), number(2)))
+            .when(starts("dmy"), made(number(2), number(1), number(0)))
+        )
+
+    return bound(F.substring(kinds, i + 1, F.lit(4)), read)
 
 
 def _day_of(p: Column, period: Column) -> Column:
@@ -104,22 +118,23 @@ def _day_of(p: Column, period: Column) -> Column:
     return F.when(p["numbers"].isNotNull(), bound(numbers, told)).otherwise(F.struct(whole("y"), whole("m"), whole("d")))
 
 
-def _reading(t: Column, i: Column, period: Column) -> Column:
+def _reading(t: Column, kinds: Column, i: Column, period: Column) -> Column:
     """The moment that the tokens from i on name, or NULL."""
     def said(p: Column) -> Column:
         day = bound(_day_of(p, period), lambda d: calendar_day(d["y"], d["m"], d["d"], period))
         return F.when(p["clock"].isNull(), day).otherwise(F.concat(day, F.lit(" "), clock_time(p["clock"], p["meridiem"])))
 
-    return bound(_parts(t, i, period), said)
+    return bound(_parts(t, kinds, i, period), said)
 
 
 def found_datetime(text: Column, folder: Column, fused: Column | bool = False) -> Column:
     """The first valid moment in a text, '' without one."""
     month = evidence_month(F.coalesce(folder, F.lit("")))
 
-    def first(t: Column, of: Column) -> Column:
-        readings = F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: _reading(t, i, of))
-        return F.get(F.filter(readings, lambda r: r.isNotNull()), F.lit(0))
+    def first(t: Column, kinds: Column, of: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: F.rlike(F.substring(kinds, i + 1, F.lit(4)), F.lit(STARTS)))
+        return F.get(F.filter(F.transform(starts, lambda i: _reading(t, kinds, i, of)), lambda r: r.isNotNull()), F.lit(0))
 
-    found = bound(tokens(text, fused), lambda t: bound(bound(month, lambda m: F.when(m["year"] >= 2000, m)), lambda of: first(t, of)))
-    return F.coalesce(F.when(F.rlike(text, F.lit("[0-9]")), found), F.lit(""))
+    period = lambda make: bound(month, lambda m: bound(F.when(m["year"] >= 2000, m), make))
+    read = lambda t: bound(_kinds(t), lambda kinds: F.when(F.rlike(kinds, F.lit(STARTS.replace("^", ""))), period(lambda of: first(t, kinds, of))))
+    return F.coalesce(F.when(F.rlike(text, F.lit(SIGNS)), bound(tokens(text, fused), read)), F.lit(""))

@@ -2,14 +2,17 @@
 
 Tokens (image, seq, bbox, text, confidence) come from a recogniser outside. The
 clustering of tokens into rows depends on the order they are met in and on the
-medians so far, so places are settled in one Python group an image: rows, the counts
-beside threat labels and the texts beside version labels. An image's tokens are few,
-and images are spread by hash. What the texts say, and the verdict, are columns.
+medians so far, so places are settled in one Python group an image, once for all
+confidences asked for: rows, the counts beside threat labels and the texts beside version labels. An image's
+tokens are few, and images are spread by hash. What the texts say, and the verdict, are columns; profiles of
+strictness are rows, so that several cost one plan and one placing.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,6 +24,8 @@ from palisade.functions.versions import log_number
 from palisade.lineage import cut
 from palisade.operators import scan_text as T
 
+#: What a label and its value may be apart in height, in heights of the larger.
+BAND = 0.65
 LABEL, IGNORED = re.compile(T.LABEL, re.I), re.compile(T.IGNORED, re.I)
 # Wording in screenshots.
 NOT_A_COUNT = re.compile(r"\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b|\b\d{3,}\.\d+\b")
@@ -114,7 +119,7 @@ def offset(value: Box, label: Box) -> tuple[float, float]:
 
 def beside(value: Box, owner: Box) -> bool:
     """Whether a value stands in an owner's band, to its right and within its reach."""
-    level = abs(value.middle - owner.middle) <= 0.65 * max(value.height, owner.height)
+    level = abs(value.middle - owner.middle) <= BAND * max(value.height, owner.height)
     return level and value.left >= owner.right - 2 and value.left - owner.right <= max(240.0, owner.height * 20.0)
 
 
@@ -123,13 +128,40 @@ def isolated(text: str) -> int | None:
     return 0 if clean in ("o", "O") else int(clean) if re.fullmatch(r"\d{1,7}", clean) else None
 
 
-def owner_of(value: Box, label: Box, boxes: list[Box]) -> Box:
-    """The nearest of the label and all other named texts that the value stands beside."""
-    named = [b for b in boxes if b.index not in (value.index, label.index) and b.confidence >= 0.25 and re.search("[A-Za-z]{3}", b.text) and not LABEL.search(b.text) and beside(value, b)]
-    return min([label, *named], key=lambda b: offset(value, b))
-
-
-def count_at(label: Box, boxes: list[Box], least: float) -> int | None:
+class Places:
+    """What stands beside what in an image, for all confidences: numbers and named texts by height, so that each meets its band only."""
+
+    def __init__(self, rows: list[Row]):
+        self.rows, boxes = rows, [b for row in rows for b in row.items]
+        self.reach = BAND * max((b.height for b in boxes), default=0.0)
+        self.numbers = sorted(((b, n) for b in boxes if (n := isolated(b.text)) is not None), key=lambda x: x[0].middle)
+        named = sorted((b for b in boxes if b.confidence >= 0.25 and re.search("[A-Za-z]{3}", b.text) and not LABEL.search(b.text)), key=lambda b: b.middle)
+        heights = [b.middle for b in named]
+        #: How far the nearest other named text that a number stands beside is.
+        self.nearest = {b.index: min((offset(b, o) for o in named[bisect_left(heights, b.middle - self.reach) : bisect_right(heights, b.middle + self.reach)] if beside(b, o)), default=None) for b, _ in self.numbers}
+        self.heights = [b.middle for b, _ in self.numbers]
+        self.found: dict[float, list[tuple[str, Box]]] = {}
+
+    def belonging(self, label: Box) -> Iterator[tuple[Box, int]]:
+        """Numbers beside a label that stand beside no other named text that is nearer."""
+        for b, n in self.numbers[bisect_left(self.heights, label.middle - self.reach) : bisect_right(self.heights, label.middle + self.reach)]:
+            if beside(b, label) and not (self.nearest[b.index] is not None and self.nearest[b.index] < offset(b, label)):
+                yield b, n
+
+    def labels(self, floor: float) -> list[tuple[str, Box]]:
+        """What is said of threats in each row that counts them, and the box that says it."""
+        if floor not in self.found:
+            rows = [(said[1], row) for row in self.rows if (said := LABEL.search(row.trusted(floor)))]
+            boxes = [(said, next((b for b in row.items if b.confidence >= floor and (LABEL.search(b.text) or re.search("d[e3]t[e3]c|infect", b.text, re.I))), row.items[-1])) for said, row in rows]
+            self.found[floor] = [(said, box) for said, box in boxes if not IGNORED.search(box.text)]
+        return self.found[floor]
+
+    def empty_table(self, least: float) -> bool:
+        seen = "\n".join(r.trusted(least) for r in self.rows).lower()
+        return all(w in seen for w in ("clean delete", "detection name", "action taken"))
+
+
+def count_at(label: Box, places: Places, least: float) -> int | None:
     """The count inside a label's own box, else the nearest number alone that belongs to the label."""
     said = LABEL.search(label.text) if label.confidence >= least else None
     tail = label.text[said.end() :] if said else ""
@@ -138,26 +170,19 @@ def count_at(label: Box, boxes: list[Box], least: float) -> int | None:
         return int(n[1])
     if re.fullmatch(r"\s*[:=]?\s*[oO]\s*", tail):
         return 0
-    values = [b for b in boxes if b.confidence >= least and isolated(b.text) is not None and beside(b, label) and owner_of(b, label, boxes) is label]
-    return isolated(min(values, key=lambda b: (abs(b.middle - label.middle), max(0.0, b.left - label.right), -b.confidence)).text) if values else None
+    values = [(abs(b.middle - label.middle), max(0.0, b.left - label.right), -b.confidence, b.index, n) for b, n in places.belonging(label) if b.confidence >= least]
+    return min(values)[-1] if values else None
 
 
-def spatial_counts(rows: list[Row], least: float) -> tuple[float, list[tuple[str, int]], bool]:
+def spatial_counts(rows: list[Row], least: float, places: Places | None = None) -> tuple[float, list[tuple[str, int]], bool]:
     """(least, (label, count) of threat labels, whether some label's count is open), from text of at least this confidence."""
-    boxes = [b for row in rows for b in row.items]
-    seen = "\n".join(r.trusted(least) for r in rows).lower()
-    empty_table = all(w in seen for w in ("clean delete", "detection name", "action taken"))
-    floor, found, unresolved = min(least, 0.25), [], False
-    for row in rows:
-        said = LABEL.search(row.trusted(floor))
-        label = next((b for b in row.items if b.confidence >= floor and (LABEL.search(b.text) or re.search("d[e3]t[e3]c|infect", b.text, re.I))), row.items[-1])
-        if not said or IGNORED.search(label.text):
-            continue
-        n = count_at(label, boxes, least)
-        if n is None and not empty_table:
+    places, found, unresolved = places or Places(rows), [], False
+    for said, label in places.labels(min(least, 0.25)):
+        n = count_at(label, places, least)
+        if n is None and not places.empty_table(least):
             unresolved = True
         else:
-            found.append((said[1], n or 0))
+            found.append((said, n or 0))
     return least, found, unresolved
 
 
@@ -185,16 +210,18 @@ def _tuples(pdf: pd.DataFrame) -> list[tuple]:
     return [(None if b is None else [list(x) for x in b], t or "", 0.0 if c is None else c) for b, t, c in zip(pdf["bbox"], pdf["text"], pdf["confidence"], strict=True)]
 
 
-def placed_texts(tokens: DataFrame, profile: T.Profile) -> DataFrame:
-    """One row an image of tokens (OCR_TOKENS, system, folder): visual rows, and what stands where beside labels at the profile's confidences."""
+def placed_texts(tokens: DataFrame, profiles: Sequence[T.Profile]) -> DataFrame:
+    """One row an image of tokens (OCR_TOKENS, system, folder): visual rows, and what stands where beside labels at each confidence of the profiles."""
+    levels, contexts = sorted({0.0} | {c for p in profiles for c in (p.positive, p.zero)}), sorted({0.0} | {p.context for p in profiles})
 
     def places(pdf: pd.DataFrame) -> pd.DataFrame:
         found = _tuples(pdf)
         boxes = [b for i, t in enumerate(found) if (b := Box.of(i, *t))]
         rows = rows_of(boxes)
         said = [(r.text, float(r.confidence), [(b.text, float(b.confidence)) for b in r.items]) for r in rows]
-        counts = [spatial_counts(rows, c) for c in (0.0, profile.positive, profile.zero)]
-        spots = [version_spots(boxes, rows, c) for c in (0.0, profile.context)]
+        where = Places(rows)
+        counts = [spatial_counts(rows, c, where) for c in levels]
+        spots = [version_spots(boxes, rows, c) for c in contexts]
         first = pdf.iloc[0]
         row = [first["image"], first["system"] or "", first["folder"] or "", len(boxes) == len(found), [(str(t), float(c or 0.0)) for _, t, c in found], said, counts, spots]
         return pd.DataFrame([row], columns=["image", "system", "folder", "located", "spoken", "rows", "counts", "spots"])
@@ -202,26 +229,45 @@ def placed_texts(tokens: DataFrame, profile: T.Profile) -> DataFrame:
     return tokens.groupBy("image").applyInPandas(places, PLACED)
 
 
+class ProfileColumns:
+    """The profile of a row: its fields as columns."""
+
+    FIELDS = ("name", "metadata", "positive", "context", "zero", "lenient")
+
+    def __getattr__(self, field: str) -> Column:
+        return F.col(f"p.{field}")
+
+
+P = ProfileColumns()
+
+
+def by_profile(placed: DataFrame, profiles: Sequence[T.Profile]) -> DataFrame:
+    """Each image once for each profile (p), with its name (strictness)."""
+    rows = [F.struct(*[F.lit(getattr(p, f)).alias(f) for f in P.FIELDS]) for p in profiles]
+    return placed.withColumn("p", F.explode(F.array(*rows))).withColumn("strictness", P.name)
+
+
 def trusted_text(items: Column, least: Column) -> Column:
     return F.array_join(F.transform(F.filter(items, lambda b: b["confidence"] >= least), lambda b: b["text"]), " ")
 
 
-def spoken_lines(placed: DataFrame, profile: T.Profile) -> DataFrame:
-    """image, pass, n, line, system, folder: the lines of raw, trusted and, where nothing has a place, strong and zero texts."""
-    keep = ["image", "system", "folder"]
-    flat = placed.where(F.size("rows") == 0)
+def spoken_lines(placed: DataFrame, profiles: Sequence[T.Profile]) -> DataFrame:
+    """image, strictness, pass, n, line, system, folder: the lines of raw texts (of no strictness) and of each profile's trusted and, where nothing has a place, strong and zero texts."""
+    keep = ["image", "strictness", "system", "folder"]
+    told = by_profile(placed, profiles)
+    flat = told.where(F.size("rows") == 0)
     texts = lambda tokens: F.array_join(F.transform(tokens, lambda t: t["text"]), "\n")
-    least = lambda r: F.when(T.likes(r["text"], CONTEXT) & (r["confidence"] >= profile.context), profile.context).otherwise(profile.metadata)
-    raw = placed.select(*keep, F.lit("raw").alias("pass"), texts(F.when(F.size("rows") > 0, F.transform("rows", lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence")))).otherwise(F.col("spoken"))).alias("text"))
-    sure = placed.where(F.size("rows") > 0).select(*keep, F.lit("trusted").alias("pass"), F.array_join(F.transform("rows", lambda r: trusted_text(r["items"], least(r))), "\n").alias("text"))
+    least = lambda r: F.when(T.likes(r["text"], CONTEXT) & (r["confidence"] >= P.context), P.context).otherwise(P.metadata)
+    raw = placed.withColumn("strictness", F.lit("")).select(*keep, F.lit("raw").alias("pass"), texts(F.when(F.size("rows") > 0, F.transform("rows", lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence")))).otherwise(F.col("spoken"))).alias("text"))
+    sure = told.where(F.size("rows") > 0).select(*keep, F.lit("trusted").alias("pass"), F.array_join(F.transform("rows", lambda r: trusted_text(r["items"], least(r))), "\n").alias("text"))
     at = lambda name, c: flat.select(*keep, F.lit(name).alias("pass"), texts(F.filter("spoken", lambda t: t["confidence"] >= c)).alias("text"))
-    whole = raw.unionByName(sure).unionByName(at("strong", profile.positive)).unionByName(at("zero", profile.zero))
+    whole = raw.unionByName(sure).unionByName(at("strong", P.positive)).unionByName(at("zero", P.zero))
     whole = whole.select(*keep, "pass", F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
     # without places: strong texts, and those around a marker, with the gaps between them kept
-    said = flat.select(*keep, F.posexplode("spoken").alias("i", "t")).select(*keep, "i", F.col("t.text").alias("text"), F.col("t.confidence").alias("c"))
-    inside = Window.partitionBy("image").orderBy("i")
-    marked = F.max((F.col("c") >= profile.context) & T.likes(F.col("text"), CONTEXT)).over(inside.rowsBetween(-T.NEAR, T.NEAR))
-    said = said.withColumn("near", marked).withColumn("sure", (F.col("c") >= profile.metadata) | F.col("near") & (F.col("c") >= profile.context)).where("sure or near")
+    said = flat.select(*keep, "p", F.posexplode("spoken").alias("i", "t")).select(*keep, "p", "i", F.col("t.text").alias("text"), F.col("t.confidence").alias("c"))
+    inside = Window.partitionBy("image", "strictness").orderBy("i")
+    marked = F.max((F.col("c") >= P.context) & T.likes(F.col("text"), CONTEXT)).over(inside.rowsBetween(-T.NEAR, T.NEAR))
+    said = said.withColumn("near", marked).withColumn("sure", (F.col("c") >= P.metadata) | F.col("near") & (F.col("c") >= P.context)).where("sure or near")
     line = F.when(F.col("sure"), F.col("text")).otherwise(UNSURE)
     gap = F.lag("i").over(inside) < F.col("i") - 1
     around = said.withColumn("lines", F.when(gap, F.array(F.lit(T.GAP), line)).otherwise(F.array(line))).select(*keep, F.lit("trusted").alias("pass"), "i", F.posexplode("lines").alias("k", "line"))
@@ -243,27 +289,28 @@ def plausible(dat: Column) -> Column:
     return F.when(n.between(1900, 2100) | (n > 50000), "Unknown").otherwise(dat)
 
 
-def audits(tokens: DataFrame, strictness: str = "high", thresholds: dict[str, float] | None = None, zero: float = 0.0) -> DataFrame:
-    """One row an image of tokens (OCR_TOKENS, system, folder): verdict, metadata, candidates, reasons.
+def audits(tokens: DataFrame, strictness: str | Sequence[str] = "high", thresholds: dict[str, float] | None = None, zero: float = 0.0) -> DataFrame:
+    """One row an image of tokens (OCR_TOKENS, system, folder) and strictness: verdict, metadata, candidates, reasons.
 
     Three passes read threats: everything for candidates, strong text for positives,
     text of the zero confidence for zeros. Only a placed, strong count is a threat;
     weaker signs are reasons for a person to look.
     """
-    p, limits = T.Profile.of(strictness, zero), dict(thresholds or {})
-    placed = cut(placed_texts(tokens, p))  # read by every pass
-    said = T.readings(spoken_lines(placed, p), ["image", "pass"])
-    fields = ["whole", "product", "times", "threats", "flags", "known", "open", "dat_version", "last_scan"]
-    passes = ("raw", "trusted", "strong", "zero")
-    said = said.groupBy("image").agg(*[F.first(F.when(F.col("pass") == k, F.struct(*fields)), ignorenulls=True).alias(k) for k in passes])
-    said = cut(said)
-    df = placed.join(said, "image", "left").withColumn("spatial", F.size("rows") > 0)
+    profiles = [T.Profile.of(s, zero) for s in ([strictness] if isinstance(strictness, str) else strictness)]
+    p, limits = P, dict(thresholds or {})
+    placed = cut(placed_texts(tokens, profiles))  # read by every pass
+    fields = ["product", "times", "threats", "flags", "known", "open", "dat_version", "last_scan"]
+    said = cut(T.readings(spoken_lines(placed, profiles), ["image", "strictness", "pass"]).select("image", "strictness", "pass", F.struct(*fields).alias("said")))
+    raw = said.where(F.col("pass") == "raw").select("image", F.col("said").alias("raw"))
+    own = said.where(F.col("pass") != "raw").groupBy("image", "strictness").agg(*[F.first(F.when(F.col("pass") == k, F.col("said")), ignorenulls=True).alias(k) for k in ("trusted", "strong", "zero")])
+    df = by_profile(placed.join(raw, "image", "left"), profiles).join(own, ["image", "strictness"], "left").withColumn("spatial", F.size("rows") > 0)
+    at = lambda column, level: F.get(F.filter(column, lambda c: c["least"] == level), F.lit(0))
     none = strings().cast("array<string>")
 
-    def read(k: str, i: int) -> Column:
-        """struct(threats, flags, result) of a pass, placed (counts[i]) or, where nothing has a place, plain (column k)."""
-        c = F.get("counts", F.lit(i))
-        seen = F.array_join(F.transform("rows", lambda r: trusted_text(r["items"], c["least"])), "\n")
+    def read(k: str, level: Column) -> Column:
+        """struct(threats, flags, result) of a pass, placed (the counts of a level) or, where nothing has a place, plain (column k)."""
+        c = at("counts", level)
+        seen = F.array_join(F.transform("rows", lambda r: trusted_text(r["items"], level)), "\n")
         known = T.likes(seen, NOTHING) | (F.size(c["labels"]) > 0)
         threats = F.array_distinct(F.transform(F.filter(c["labels"], lambda x: x["n"] > 0), lambda x: F.concat(x["label"], F.lit(": "), x["n"].cast("string"))))
         flags = F.when(c["unresolved"] & ~known, strings(UNPLACED)).otherwise(none)
@@ -273,7 +320,7 @@ def audits(tokens: DataFrame, strictness: str = "high", thresholds: dict[str, fl
         return F.when(F.col("spatial"), here).otherwise(there)
 
     keyword = lambda x: F.startswith(x, F.lit(T.KEYWORD))
-    df = df.withColumns({"weak": read("raw", 0), "sure": read("strong", 1), "least": read("zero", 2)})
+    df = df.withColumns({"weak": read("raw", F.lit(0.0)), "sure": read("strong", p.positive), "least": read("zero", p.zero)})
     result = F.when((F.col("sure.result") != T.POSITIVE) & (F.col("least.result") == T.ZERO), T.ZERO).otherwise(F.col("sure.result"))
     plain_keywords = F.when(F.col("spatial"), F.filter(F.coalesce("raw.threats", none), keyword)).otherwise(none)
     df = df.withColumns({"result": result, "candidates": F.concat("weak.threats", plain_keywords), "found": F.filter("sure.threats", lambda x: ~keyword(x))})
@@ -286,13 +333,13 @@ def audits(tokens: DataFrame, strictness: str = "high", thresholds: dict[str, fl
     unread = F.when((F.size("found") == 0) & (F.col("result") != T.ZERO), strings("No explicit, resolved zero-threat outcome was extracted.")).otherwise(none)
     df = df.withColumn("flags", F.concat(flags, unread))
     # the version: what stands beside a label goes before what the lines say
-    system, value = F.col("system"), placed_version(F.get("spots", F.lit(1)))
+    system, low, high = F.col("system"), at("spots", F.lit(0.0)), at("spots", p.context)
     by_place = F.col("spatial") & (system != "RADIO")
-    labelled = F.get("spots", F.lit(0))["label"] | F.get("spots", F.lit(1))["label"]
+    labelled = low["label"] | high["label"]
     unknown = lambda c: F.coalesce(c, F.lit("Unknown"))
-    df = df.withColumn("value", F.when(by_place, value).otherwise(""))
+    df = df.withColumn("value", F.when(by_place, placed_version(high)).otherwise(""))
     dat = F.when(F.col("value") != "", F.col("value")).when(by_place & labelled, "Unknown").otherwise(unknown(F.col("trusted.dat_version")))
-    raw_dat = F.when(by_place & F.get("spots", F.lit(0))["label"], F.coalesce(F.nullif(placed_version(F.get("spots", F.lit(0))), F.lit("")), F.lit("Unknown"))).otherwise(unknown(F.col("raw.dat_version")))
+    raw_dat = F.when(by_place & low["label"], F.coalesce(F.nullif(placed_version(low), F.lit("")), F.lit("Unknown"))).otherwise(unknown(F.col("raw.dat_version")))
     product = F.coalesce("trusted.product", T.product_of(system, F.lit("")))
     df = df.withColumns({"dat": F.when(by_place, plausible(dat)).otherwise(dat), "raw_dat": F.when(by_place, plausible(raw_dat)).otherwise(raw_dat), "product": F.when(by_place & (product == "clamwin"), "mcafee").otherwise(product)})
     # the time: repeated three times beside a trusted marker it is the scan's; a weak last marker makes it unknown
@@ -318,10 +365,10 @@ def audits(tokens: DataFrame, strictness: str = "high", thresholds: dict[str, fl
         reason(date_candidate.isNotNull(), "A valid date was found, but it could not be confirmed as the completed scan time."),
         reason((F.col("last") == "Unknown") & (F.size("seen") == 0), "No calendar-valid completed-scan timestamp was extracted."),
     )
-    clean = F.lit(p.lenient) | (F.col("result") == T.ZERO) & (F.size("flags") == 0)
+    clean = p.lenient | (F.col("result") == T.ZERO) & (F.size("flags") == 0)
     status = F.when(F.size("found") > 0, "Threats Found").when(clean & ~updated & ~F.col("weak_mark"), "Clean").otherwise("Manual Verification Needed")
     return df.select(
-        "image", T.with_evidence(status, F.col("last"), F.col("dat"), p).alias("status"), F.col("dat").alias("dat_version"), F.col("last").alias("last_scan"),
+        "image", "strictness", T.with_evidence(status, F.col("last"), F.col("dat"), p).alias("status"), F.col("dat").alias("dat_version"), F.col("last").alias("last_scan"),
         T.is_outdated(F.col("dat"), F.col("product"), limits).alias("outdated"),
         F.when((F.col("dat") == "Unknown") & (F.col("raw_dat") != "Unknown"), F.col("raw_dat")).otherwise("").alias("dat_candidate"), F.coalesce(date_candidate, F.lit("")).alias("date_candidate"),
         F.when(counted.isNotNull(), F.size(F.filter("seen", lambda x: x == counted))).otherwise(0).alias("date_count"), F.col("result").alias("threat_result"), F.col("weak.result").alias("candidate_result"), reasons.alias("reasons"),

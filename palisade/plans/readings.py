@@ -87,8 +87,7 @@ OCR_ROWS_SQL = """SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id O
 def ocr_findings(spark, sf):
     """Three strictness profiles' verdict states of every screenshot."""
     t = tokens(spark, sf).withColumns({"system": F.lit("NET"), "folder": F.lit("Jan 2024")})
-    parts = [ocr.audits(t, s).select(F.lit(s).alias("strictness"), F.col("image").cast("bigint").alias("user_id"), "status", "threat_result", "candidate_result") for s in ("high", "medium", "low")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ocr.audits(t, ("high", "medium", "low")).select("strictness", F.col("image").cast("bigint").alias("user_id"), "status", "threat_result", "candidate_result")
 
 
 OCR_FINDINGS_SQL = """WITH p AS (SELECT * FROM (VALUES ('high', 0.90), ('medium', 0.70), ('low', 0.55)) AS t(strictness, positive)),
