@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from palisade.functions.text import lines_of, strings
 from palisade.functions.versions import log_number
@@ -34,6 +36,9 @@ OTHER_LABEL = re.compile(r"\b(?:scan\s+engine|amcore\s+engine|engine|systemcore|
 CONTEXT = r"last\s+(?:full\s+|quick\s+)?scan|scan\s+(?:started|stopped|comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)|scan\s+date|date\s+scanned"
 DECISION = r"last\s+(?:full\s+)?scan\b|scan\s+(?:comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)"
 NOTHING = r"\bnothing\s+found\b|\bno\s+(?:threats?|malware|infections?)\s+found\b|\b(?:detections?|threats?)\s*[:=]\s*[0o]\b"
+HEADING = re.compile(r"\bmfetp\b|ods\w*[.\s_-]*activity|scan\s+(?:summary|surrary|su[mn]{1,2}ary|summ\w*)", re.I)
+HEADING_WORD = re.compile(r"\bscan\b|su[mn]{1,2}ary|surrary", re.I)
+MOST_PANELS = 6
 UNPLACED = "A threat-count label was readable, but its value could not be associated safely."
 UNSURE = "[LOW CONFIDENCE OCR]"
 
@@ -205,28 +210,42 @@ counts array<struct<least:double,labels:array<struct<label:string,n:int>>,unreso
 spots array<struct<least:double,inline:array<string>,placed:array<struct<text:string,away:double,gap:double>>,tails:array<string>,label:boolean>>"""
 
 
-def _tuples(pdf: pd.DataFrame) -> list[tuple]:
-    pdf = pdf.sort_values("seq", kind="stable")
-    return [(None if b is None else [list(x) for x in b], t or "", 0.0 if c is None else c) for b, t, c in zip(pdf["bbox"], pdf["text"], pdf["confidence"], strict=True)]
+def each_image(tokens: DataFrame, schema: str, read: Callable[[str, str, str, list[tuple]], list[tuple]], extra: Sequence[str] = ()) -> DataFrame:
+    """Rows (schema) that read(image, system, folder, tokens) makes of each image's tokens in their order, in Arrow batches of images."""
+    token = F.struct("seq", "bbox", "text", "confidence")
+    images = tokens.groupBy("image").agg(*[F.first(c).alias(c) for c in extra], F.array_sort(F.collect_list(token)).alias("tokens"))
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                found = [(t["bbox"], t["text"] or "", 0.0 if t["confidence"] is None else t["confidence"]) for t in row["tokens"]]
+                out += read(row["image"], row.get("system") or "", row.get("folder") or "", found)
+            columns = list(zip(*out, strict=True)) or [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return images.mapInArrow(run, schema)
+
+
+def boxes_of(tokens: list[tuple]) -> list[Box]:
+    return [b for i, t in enumerate(tokens) if (b := Box.of(i, *t))]
 
 
 def placed_texts(tokens: DataFrame, profiles: Sequence[T.Profile]) -> DataFrame:
     """One row an image of tokens (OCR_TOKENS, system, folder): visual rows, and what stands where beside labels at each confidence of the profiles."""
     levels, contexts = sorted({0.0} | {c for p in profiles for c in (p.positive, p.zero)}), sorted({0.0} | {p.context for p in profiles})
 
-    def places(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _tuples(pdf)
-        boxes = [b for i, t in enumerate(found) if (b := Box.of(i, *t))]
+    def places(image: str, system: str, folder: str, found: list[tuple]) -> list[tuple]:
+        boxes = boxes_of(found)
         rows = rows_of(boxes)
         said = [(r.text, float(r.confidence), [(b.text, float(b.confidence)) for b in r.items]) for r in rows]
         where = Places(rows)
         counts = [spatial_counts(rows, c, where) for c in levels]
         spots = [version_spots(boxes, rows, c) for c in contexts]
-        first = pdf.iloc[0]
-        row = [first["image"], first["system"] or "", first["folder"] or "", len(boxes) == len(found), [(str(t), float(c or 0.0)) for _, t, c in found], said, counts, spots]
-        return pd.DataFrame([row], columns=["image", "system", "folder", "located", "spoken", "rows", "counts", "spots"])
+        return [(image, system, folder, len(boxes) == len(found), [(str(t), float(c or 0.0)) for _, t, c in found], said, counts, spots)]
 
-    return tokens.groupBy("image").applyInPandas(places, PLACED)
+    return each_image(tokens, PLACED, places, ["system", "folder"])
 
 
 class ProfileColumns:
@@ -390,11 +409,56 @@ def usable(tokens: Column) -> Column:
 def visual_rows(tokens: DataFrame) -> DataFrame:
     """image, row_no, text, n_items, middle, height."""
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = rows_of([b for i, t in enumerate(_tuples(pdf)) if (b := Box.of(i, *t))])
-        return pd.DataFrame([(pdf["image"].iloc[0], i, r.text, len(r.items), r.middle, r.height) for i, r in enumerate(found)], columns=["image", "row_no", "text", "n_items", "middle", "height"])
+    def rows(image: str, system: str, folder: str, found: list[tuple]) -> list[tuple]:
+        return [(image, i, r.text, len(r.items), float(r.middle), float(r.height)) for i, r in enumerate(rows_of(boxes_of(found)))]
+
+    return each_image(tokens, "image string, row_no int, text string, n_items int, middle double, height double", rows)
 
-    return tokens.groupBy("image").applyInPandas(rows, "image string, row_no int, text string, n_items int, middle double, height double")
+
+def panel(boxes: list[Box], anchors: list[Box], height: float) -> tuple[int, int]:
+    """Left and right bound of the text group around a row's anchors: it takes in what is near on its level until nothing more is, then gets a margin."""
+    near, taken = max(18.0, 4.0 * height), list(anchors)
+    waiting = [b for b in boxes if all(b is not a for a in anchors)]
+    while True:
+        left, right, level = min(b.left for b in taken), max(b.right for b in taken), upper_median(b.middle for b in taken)
+        joins = [b for b in waiting if abs(b.middle - level) <= BAND * max(b.height, height) and max(left - b.right, b.left - right, 0.0) <= near]
+        if not joins:
+            break
+        taken += joins
+        waiting = [b for b in waiting if all(b is not j for j in joins)]
+    margin = max(8.0, 1.5 * height)
+    return max(0, round(left - margin)), round(right + margin)
+
+
+def panels_of(rows: list[Row]) -> list[tuple[int, int, int, int, int]]:
+    """left, top, right, bottom, line height of the panels that may hold result rows: around summary headings of images without a readable threat label."""
+    if any(LABEL.search(b.text) for row in rows for b in row.items):
+        return []
+    found, levels = [], set()
+    for row in rows:
+        anchors = [b for b in row.items if HEADING.search(b.text) or HEADING_WORD.search(b.text)] if HEADING.search(row.text) else []
+        if not anchors:
+            continue
+        widest = max(anchors, key=lambda b: b.right - b.left)
+        height = max(6.0, widest.height)
+        level = round(widest.middle / max(4.0, height / 2.0))
+        if level in levels:  # the same line of text, cut in two
+            continue
+        levels.add(level)
+        left, right = panel(row.items, anchors, height)
+        top, bottom = max(0, round(widest.top - 0.5 * height)), round(widest.bottom + 3.5 * height)
+        if right > left and bottom > top:
+            found.append((left, top, right, bottom, round(height)))
+    return found[:MOST_PANELS]
+
+
+def panels(tokens: DataFrame) -> DataFrame:
+    """image, panel_no, x0, y0, x1, y1, height: where a recogniser should look again for result rows (at most MOST_PANELS an image, the feature)."""
+
+    def group(image: str, system: str, folder: str, found: list[tuple]) -> list[tuple]:
+        return [(image, i, *p) for i, p in enumerate(panels_of(rows_of(boxes_of(found))))]
+
+    return each_image(tokens, "image string, panel_no int, x0 int, y0 int, x1 int, y1 int, height int", group)
 
 
 def timestamp_consensus(rows: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import scan_dates
-from palisade.functions.text import is_no_count, isolated_count
+from palisade.functions.text import is_no_count, isolated_count, lines_of
 from palisade.operators import explore, ocr, scan_text, second_reader, verdicts
 from palisade.plans.evidence import EVIDENCE_CTE, entries
 from palisade.plans.logs import table, text
+from palisade.sources import state
+from palisade.sources.evidence import pdf_text, with_page_images
 from palisade.streaming.ingest import sessions
 
 
@@ -161,6 +163,101 @@ SELECT id, CASE WHEN i % 17 = 0 OR coalesce(n > 0, false) THEN 'Threats Found' W
   CASE WHEN has_dat THEN '5000.0' WHEN dat_ok THEN (6000 + i % 300) || '.0' ELSE 'Unknown' END AS dat_version, CASE WHEN has_date OR date_ok THEN t ELSE 'Unknown' END AS last_scan, clash AS conflict FROM k"""
 
 
+def marked_files(spark, sf: str) -> DataFrame:
+    """A text a user: a line an event, which is a marker, a time (some cut before AM or PM), a gap or filler."""
+    e = table(spark, sf, "events")
+    i = F.col("event_id")
+    stamp = F.when(i % 3 == 0, F.concat(F.date_format("ts", "M/d/yyyy h:mm:ss"), F.lit("\n"), F.date_format("ts", "a"))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    kind = (i + F.col("user_id")) % 11
+    line = F.when(kind == 0, F.when(F.col("user_id") % 3 == 0, "Last full scan").otherwise("Scan paused")).when(kind == 1, F.when(F.col("user_id") % 2 == 0, "Scan completed").otherwise("On-demand scan")).when(kind == 2, scan_text.GAP).when(kind.between(3, 6), stamp).otherwise(F.concat(F.lit("file "), text(i % 7)))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"])
+    return e.groupBy("user_id").agg(F.array_join(lines, "\n").alias("text")).select(text(F.col("user_id")).alias("source_id"), "text", F.lit("NET").alias("system"), F.when(F.col("user_id") % 5 == 0, "Jan 2024").otherwise("").alias("folder"))
+
+
+def last_scan_priority(spark, sf):
+    """When each text says the last scan was: the last line of its strongest marker, and the latest time near it within its block."""
+    out = scan_text.text_verdicts(marked_files(spark, sf))
+    return out.select(F.col("source_id").cast("bigint").alias("user_id"), "last_scan")
+
+
+PRIORITY_SQL = """WITH e AS (SELECT user_id, event_id, ts, (event_id + user_id) % 11 AS kind, event_id % 3 = 0 AS cut FROM events),
+l AS (SELECT user_id, event_id, 0 AS part, kind, ts, cut FROM e UNION ALL SELECT user_id, event_id, 1, 12, ts, cut FROM e WHERE kind BETWEEN 3 AND 6 AND cut),
+n AS (SELECT *, row_number() OVER w AS n, count(*) FILTER (kind = 2) OVER w AS block FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id, part)),
+m AS (SELECT user_id, arg_max({'n': n, 'block': block}, {'s': -CASE WHEN kind = 0 AND user_id % 3 = 0 THEN 1 WHEN kind = 1 AND user_id % 2 = 0 THEN 2 ELSE 3 END, 'n': n}) AS spot FROM n WHERE kind IN (0, 1) GROUP BY user_id),
+t AS (SELECT user_id, n, block, ts, CASE WHEN cut THEN make_timestamp(year(ts), month(ts), day(ts), CASE WHEN hour(ts) % 12 = 0 THEN 12 ELSE hour(ts) % 12 END, minute(ts), floor(second(ts))) ELSE date_trunc('second', ts) END AS alone, date_trunc('second', ts) AS whole, cut FROM n WHERE kind BETWEEN 3 AND 6),
+u AS (SELECT *, CASE WHEN NOT cut OR user_id % 5 = 0 OR day(ts) > 12 OR day(ts) = 1 AND month(ts) = 1 THEN alone END AS read_alone, CASE WHEN NOT cut OR user_id % 5 = 0 OR day(ts) > 12 OR day(ts) = month(ts) THEN whole END AS read_whole FROM t),
+near AS (SELECT m.user_id, max(coalesce(u.read_whole, u.read_alone)) AS near FROM m JOIN u ON u.user_id = m.user_id AND u.block = m.spot.block AND u.n BETWEEN m.spot.n - 6 AND m.spot.n + 6 GROUP BY m.user_id),
+first AS (SELECT user_id, arg_min(read_alone, n) FILTER (read_alone IS NOT NULL) AS first FROM u GROUP BY user_id)
+SELECT p.user_id, coalesce(strftime(CASE WHEN m.user_id IS NOT NULL THEN coalesce(near.near, first.first) END, '%Y-%m-%d %H:%M:%S'), 'Unknown') AS last_scan
+FROM (SELECT DISTINCT user_id FROM events) p LEFT JOIN m ON m.user_id = p.user_id LEFT JOIN near ON near.user_id = p.user_id LEFT JOIN first ON first.user_id = p.user_id"""
+
+
+def text_findings(spark, sf):
+    """What each plain text says was found, and what about its counts is open."""
+    files = text_files(spark, sf)
+    lines = files.select("source_id", "system", "folder", F.posexplode(lines_of(F.col("text"))).alias("n", "line"))
+    said = scan_text.readings(lines, ["source_id"], wrapped=True)
+    kept = lambda column, kind: F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("said")))
+    told = F.concat(kept("threats", "threat"), kept("flags", "open"))
+    return said.select(F.col("source_id").cast("bigint").alias("user_id"), F.explode(told).alias("f")).select("user_id", "f.kind", "f.said")
+
+
+FINDINGS_SQL = """WITH u AS (SELECT user_id AS i, CASE WHEN user_id % 5 = 0 THEN 0 ELSE count(*) FILTER (event_type = 'error') END AS n FROM events GROUP BY user_id)
+SELECT i AS user_id, 'threat' AS kind, CASE i % 4 WHEN 0 THEN 'Files with detections: ' ELSE 'Infected files: ' END || n AS said FROM u WHERE i % 4 IN (0, 1) AND n > 0
+UNION ALL SELECT i, 'open', 'A threat-count label was readable, but its value was unresolved: ''Files with detections''.' FROM u WHERE i % 4 = 2"""
+
+
+def panel_tokens(spark, sf: str) -> DataFrame:
+    """A screenshot a user: a heading among boxes of a line, with gaps between them that depend on the user's events, and another line below."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("k"), "event_id", (F.col("event_id") % 53).cast("int").alias("gap"), (F.col("event_id") % 5).cast("int").alias("wide"), (F.col("event_id") % 9 == 0).alias("low"))
+    inside = Window.partitionBy("k").orderBy("event_id")
+    e = e.withColumns({"seq": F.row_number().over(inside), "left": F.sum(F.col("gap") + 30).over(inside) + F.lit(0.0), "top": F.when(F.col("low"), 115.0).otherwise(100.0)})
+    right = F.col("left") + 20.0 + F.col("wide")
+    words = F.when(F.col("seq") == 10, "Scan Summary").otherwise(F.concat(F.lit("w"), text(F.col("seq"))))
+    return e.select(text(F.col("k")).alias("image"), "seq", F.array(F.array("left", "top"), F.array(right, F.col("top") + 10.0)).alias("bbox"), words.alias("text"), F.lit(0.9).alias("confidence"))
+
+
+def panel_growth(spark, sf):
+    found = ocr.panels(panel_tokens(spark, sf))
+    return found.select(F.col("image").cast("bigint").alias("user_id"), "x0", "y0", "x1", "y1")
+
+
+#: Boxes left and right of the heading join while a gap is at most 40 pixels and their level is the panel's.
+PANEL_SQL = """WITH RECURSIVE b AS (SELECT user_id AS k, row_number() OVER w AS seq, sum(event_id % 53 + 30) OVER w AS l, event_id % 5 AS wide, event_id % 9 = 0 AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+c AS (SELECT k, seq, l, l + 20 + wide AS r, low FROM b),
+g AS (SELECT k, l, r, low FROM c WHERE seq = 10
+  UNION SELECT g.k, least(g.l, c.l), greatest(g.r, c.r), g.low FROM g JOIN c ON c.k = g.k AND c.low = g.low AND greatest(g.l - c.r, c.l - g.r, 0) <= 40 WHERE c.l < g.l OR c.r > g.r)
+SELECT k AS user_id, CAST(min(l) - 15 AS INTEGER) AS x0, CASE WHEN any_value(low) THEN 110 ELSE 95 END AS y0, CAST(max(r) + 15 AS INTEGER) AS x1, CASE WHEN any_value(low) THEN 160 ELSE 145 END AS y1 FROM g GROUP BY k"""
+
+
+def page_fallback(spark, sf):
+    """Text of reports whose pages hold their own text or images of several sizes, or neither."""
+    d = table(spark, sf, "documents").where("doc_id is not null")
+    i = F.col("doc_id")
+    key = [F.concat(F.lit("report"), text(F.floor(i / 7))).alias("source_id"), (i % 7).cast("int").alias("page_no")]
+    pages = d.select(*key, F.when(i % 3 == 0, F.concat(F.lit("page of document number "), text(i))).when(i % 3 == 1, " short ").alias("native_text"))
+    sizes = F.explode(F.sequence(F.lit(0), (i % 4).cast("int")))
+    images = d.where("doc_id % 5 <> 0").select(*key, i, sizes.alias("image_no")).select("source_id", "page_no", "image_no", (100 + (F.col("image_no") * 37 + i) % 50).alias("width"), F.lit(10).alias("height"), F.array(F.lit("seen"), F.concat(text(F.col("image_no")), F.lit(" of "), text(i))).alias("tokens"))
+    out = pdf_text(with_page_images(pages, images))
+    return out.select("source_id", "text", "used_ocr", F.size("warnings").cast("bigint").alias("n_warnings"))
+
+
+PAGES_SQL = """WITH d AS (SELECT doc_id AS i, 'report' || (doc_id // 7) AS source_id, doc_id % 7 AS page_no FROM documents WHERE doc_id IS NOT NULL),
+m AS (SELECT i, arg_max(k, (100 + (k * 37 + i) % 50) * 10 * 100 - k) AS k FROM (SELECT i, unnest(range(i % 4 + 1)) AS k FROM d WHERE i % 5 <> 0) GROUP BY i),
+p AS (SELECT d.*, CASE WHEN d.i % 3 = 0 THEN 'page of document number ' || d.i WHEN m.i IS NOT NULL THEN 'seen' || chr(10) || m.k || ' of ' || d.i END AS t, d.i % 3 <> 0 AND m.i IS NOT NULL AS ocr FROM d LEFT JOIN m ON m.i = d.i)
+SELECT source_id, coalesce(string_agg(t, chr(10) ORDER BY page_no), '') AS text, bool_or(ocr) AS used_ocr, count(*) FILTER (t IS NULL) AS n_warnings FROM p GROUP BY source_id"""
+
+
+def audit_tail(spark, sf):
+    """The newest five audit events of each actor."""
+    e = table(spark, sf, "events").select("ts", F.col("event_type").alias("event"), text(F.col("user_id")).alias("actor"), F.create_map(F.lit("id"), text(F.col("event_id"))).alias("details"))
+    return state.audit_tail(e, 5).select("actor", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event", F.col("details")["id"].alias("id"), "k")
+
+
+AUDIT_SQL = """SELECT CAST(user_id AS VARCHAR) AS actor, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type AS event, CAST(event_id AS VARCHAR) AS id, CAST(k AS INTEGER) AS k
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type, CAST(event_id AS VARCHAR)) AS k FROM events) WHERE k <= 5"""
+
+
 def shown_entries(spark, sf: str) -> DataFrame:
     e = entries(spark, sf)
     i = F.col("event_id")
@@ -247,6 +344,11 @@ QUERIES = {
     "timestamp_consensus": timestamp_consensus,
     "count_tokens": count_tokens,
     "threat_state": threat_state,
+    "last_scan_priority": last_scan_priority,
+    "text_findings": text_findings,
+    "panel_growth": panel_growth,
+    "page_fallback": page_fallback,
+    "audit_tail": audit_tail,
     "ai_validate": ai_validate,
     "ai_reconcile": ai_reconcile,
     "status_tallies": status_tallies,
@@ -266,6 +368,11 @@ ORACLES = {
     "timestamp_consensus": CONSENSUS_SQL,
     "count_tokens": COUNT_SQL,
     "threat_state": STATE_SQL,
+    "last_scan_priority": PRIORITY_SQL,
+    "text_findings": FINDINGS_SQL,
+    "panel_growth": PANEL_SQL,
+    "page_fallback": PAGES_SQL,
+    "audit_tail": AUDIT_SQL,
     "ai_validate": AI_SQL,
     "ai_reconcile": AI_RECONCILE_SQL,
     "status_tallies": TALLY_SQL,

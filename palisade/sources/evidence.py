@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 
 from palisade.functions.text import extension
 from palisade.schemas import EVIDENCE
+from palisade.sources import listing
 
 HEAD = 8192
 DELIMITERS = ",;\t|"
 MOST_PAGES, LEAST_PAGE_CHARS = 500, 24
 
 
-def evidence_files(spark: SparkSession, root: str, most_bytes: int = 100 << 20, include_empty: bool = True) -> DataFrame:
-    """EVIDENCE rows with paths below root. Names that begin with . or _ are hidden from Spark's listing.
+def evidence_files(spark: SparkSession, root: str, most_bytes: int = 100 << 20, include_empty: bool = True, months: list[str] | None = None) -> DataFrame:
+    """EVIDENCE rows with paths below root, of some months (first folders) or all.
 
-    The reader also leaves out files without bytes, which are evidence that fails to
-    parse; the driver's listing adds them, unless include_empty is off.
+    Executors list the folders and read the files (sources.listing), so names that begin with _ and
+    files without bytes, which are evidence that fails to parse, are there. A store
+    that only Spark can open is read by Spark's own reader, which hides these names.
     """
+    try:
+        listing.opened(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return spark_files(spark, root, most_bytes, include_empty)
+    files = listing.listed(spark, root, months)
+    return listing.contents(files if include_empty else files.where("length > 0"), root, most_bytes)
+
+
+def spark_files(spark: SparkSession, root: str, most_bytes: int, include_empty: bool) -> DataFrame:
+    """The same by Spark's reader, which leaves out files without bytes; the driver's listing adds them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").schema(EVIDENCE).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:(//)?", "")
     below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?/*", "/"), F.concat(F.lit(r"^\Q"), base, F.lit(r"\E/?")), "")
@@ -128,6 +140,16 @@ def csv_rows(files: DataFrame) -> DataFrame:
     return files.select("source_id", "text").mapInArrow(_csv_batches, "source_id string, row_no int, fields map<string,string>, headers array<string>, delimiter string")
 
 
+def with_page_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """pages (source_id, page_no, native_text) with image_tokens: the recognised texts, in their order, of each page's largest image.
+
+    images: source_id, page_no, image_no, width, height, tokens (array of text by order); of equal sizes the first image counts.
+    """
+    largest = F.max_by("tokens", F.struct((F.col("width").cast("long") * F.col("height")).alias("size"), (-F.col("image_no")).alias("first")))
+    chosen = images.groupBy("source_id", "page_no").agg(largest.alias("image_tokens"))
+    return pages.join(chosen, ["source_id", "page_no"], "left").withColumn("image_tokens", F.coalesce("image_tokens", F.array().cast("array<string>")))
+
+
 def pdf_text(pages: DataFrame) -> DataFrame:
     """source_id, text, used_ocr, warnings, too_long from pages (source_id, page_no, native_text, image_tokens array<string>).
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.schemas import AUDIT
@@ -57,26 +58,55 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT).json(path)
 
 
-def replaced(df: DataFrame, folder: str, name: str = "CURRENT") -> str:
-    """Write df as a new version below folder and only then move the pointer, so readers see old or new state, never part of one."""
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, put in the place of an older one in one step."""
     import uuid
 
-    spark = df.sparkSession
-    version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
-    df.write.parquet(version)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs = jvm.org.apache.hadoop.fs
-    pointer = fs.Path(f"{folder.rstrip('/')}/{name}")
-    draft = fs.Path(f"{pointer.toString()}.{uuid.uuid4().hex}")
-    out = pointer.getFileSystem(conf).create(draft, True)
-    out.write(bytearray(version.encode()))
+    target, draft = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = target.getFileSystem(conf).create(draft, True)
+    out.write(bytearray(text.encode()))
     out.close()
     over = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
     over[0] = fs.Options.Rename.OVERWRITE
-    fs.FileContext.getFileContext(pointer.toUri(), conf).rename(draft, pointer, over)  # takes the pointer's place in one step
+    fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, over)
+
+
+def replaced(df: DataFrame, folder: str, name: str = "CURRENT", before_swap: Callable[[], None] | None = None) -> str:
+    """Write df as a new version below folder and only then move the pointer, so readers see old or new state, never part of one.
+
+    before_swap may still refuse the version by raising.
+    """
+    import uuid
+
+    version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    if before_swap:
+        before_swap()
+    put_text(df.sparkSession, f"{folder.rstrip('/')}/{name}", version)
     return version
 
 
+def current(spark: SparkSession, folder: str, name: str = "CURRENT") -> str | None:
+    """The version that the pointer of a folder names; None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return None
+    stream = store.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def audit_tail(audit: DataFrame, newest: int = 20) -> DataFrame:
+    """The newest rows of each actor, numbered from the newest; each task keeps no more of an actor before the shuffle."""
+    order = Window.partitionBy("actor").orderBy(F.desc("ts"), "event", F.to_json("details"))
+    return audit.withColumn("k", F.row_number().over(order)).where(F.col("k") <= newest)
+
+
 def inventory_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, change (added, removed, changed) between two inventories (path, content_sha256)."""
     both = old.select("path", F.col("content_sha256").alias("a")).join(new.select("path", F.col("content_sha256").alias("b")), "path", "full")

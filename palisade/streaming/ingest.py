@@ -24,10 +24,32 @@ def new_contents(files: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def start_inventory(files: DataFrame, out: str, checkpoint: str, root: str):
-    """Appends the placement of every new evidence file to a table; the query's progress is the scan's progress, stop() cancels it."""
+    """Keeps the placement of every new evidence file and tallies by batch; the query's progress is the scan's progress, stop() cancels it.
+
+    A batch's rows and its tallies are written over what an interrupted try of the same batch has left (out/files/batch=N,
+    out/tallies/batch=N), so a restart neither loses nor doubles a file. Tallies come from the batch
+    alone; inventory_tallies() adds them up.
+    """
     below = F.regexp_replace("path", F.lit("^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/"), F.lit(""))
     placed = paths.inventory(files.withColumn("path", below)).drop("content")
-    return placed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/files/batch={number}")
+        rows = batch.sparkSession.read.parquet(f"{out}/files/batch={number}")
+        tallies = rows.groupBy("month", "system", "kind").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+        tallies.write.mode("overwrite").parquet(f"{out}/tallies/batch={number}")
+
+    return placed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def inventory_files(spark: SparkSession, out: str) -> DataFrame:
+    """Every file that start_inventory() has placed, with its batch."""
+    return spark.read.parquet(f"{out}/files")
+
+
+def inventory_tallies(spark: SparkSession, out: str) -> DataFrame:
+    """month, system, kind, n, bytes over all batches: reads the batches' tallies, not the files' rows."""
+    return spark.read.parquet(f"{out}/tallies").groupBy("month", "system", "kind").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def start_audit(events: DataFrame, out: str, checkpoint: str):

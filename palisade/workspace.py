@@ -12,13 +12,16 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.lineage import cut
 from palisade.operators import checklist, explore, paths
 from palisade.plans import inventory, report
-from palisade.sources import evidence, state
+from palisade.sources import evidence, listing, state
 from palisade.sources.workbook import WorkbookSource
+from palisade.streaming.jobs import ScanJobs
 
 VERDICTS = "path string, content_sha256 string, verdict string, reviewer string, reason string, at timestamp"
 SETTINGS = "engine string, value string, at timestamp"
+NO_CHECKLIST = "No valid checklist workbook was found for this month."
 MOST_REVIEWER, MOST_REASON = 128, 1000
 
 
@@ -26,6 +29,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str, state_dir: str):
         self.spark, self.root, self.state_dir = spark, root.rstrip("/"), state_dir.rstrip("/")
         spark.dataSource.register(WorkbookSource)
+        self.jobs = ScanJobs(spark, state_dir)
 
     # state: append-only logs, latest row wins
 
@@ -40,6 +44,14 @@ class Workspace:
     def _append(self, name: str, schema: str, row: tuple, event: str, actor: str, **details: str) -> None:
         now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
         self.spark.createDataFrame([(*row, now)], schema).write.mode("append").parquet(f"{self.state_dir}/{name}")
+        self._audited(event, actor, **details)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _audited(self, event: str, actor: str, **details: str) -> None:
+        now = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
         state.append_audit(self.spark.createDataFrame([(now, event, actor, details)], "ts timestamp, event string, actor string, details map<string,string>"), f"{self.state_dir}/audit")
 
     def thresholds(self) -> dict[str, float | str]:
@@ -71,28 +83,41 @@ class Workspace:
     # evidence
 
     def files(self, month: str) -> DataFrame:
-        return evidence.evidence_files(self.spark, f"{self.root}/{month}").withColumn("path", F.concat(F.lit(f"{month}/"), "path"))
+        return evidence.evidence_files(self.spark, self.root, months=[month]).where(F.startswith("path", F.lit(f"{month}/")))
 
     def months(self) -> list[str]:
         """Month folders with evidence, newest first."""
-        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root).select("path")
-        below = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.lit(r"^.*?\Q" + self.root.rsplit("/", 1)[-1] + r"\E/"), F.lit(""))
-        return [r.month for r in paths.months(listed.select(below.alias("path"))).collect()]  # one row a month
+        return [r.month for r in paths.months(listing.listed(self.spark, self.root).where("length > 0")).collect()]  # one row a month
+
+    def checklist(self, month: str) -> tuple[DataFrame | None, str]:
+        """Cells of the month's workbook, never of another month's, and why there are none.
+
+        A workbook is parsed once: its cells, or the reason that it can't be read, are kept under the hash of its bytes.
+        """
+        found = self.files(month).where(F.rlike("path", F.lit(r"(?i)\.xls[xm]$"))).select("path", F.sha2("content", 256).alias("hash"), F.lit(0).alias("mtime"), F.lit(0).alias("length"))
+        books, reason = cut(found), NO_CHECKLIST
+        while (best := checklist.workbook_choice(books).first()) is not None:  # one month, so one row; the next best where a book can't be read
+            digest = books.where(F.col("path") == best.path).first().hash
+            cells = self._cells(best.path, digest)
+            error = cells.where("error is not null").select("error").first()
+            if error is None:
+                return cells.select("sheet", "sheet_pos", "row", "cells"), ""
+            reason, books = error.error, books.where(F.col("path") != best.path)
+        return None, reason
+
+    def _cells(self, path: str, digest: str) -> DataFrame:
+        folder = f"{self.state_dir}/checklists/{digest}"
+        if state.current(self.spark, folder) is None:
+            state.replaced(self.spark.read.format("workbook").load(f"{self.root}/{path}").drop("path"), folder)
+        return self.spark.read.parquet(state.current(self.spark, folder))
 
     def cells(self, month: str) -> DataFrame | None:
-        """Cells of the month's workbook, never of another month's; None without one that can be read."""
-        books = self.spark.read.format("workbook").load(f"{self.root}/{month}").where("error is null")
-        named = books.select("path").distinct().select("path", F.concat(F.lit(f"{month}/"), F.element_at(F.split("path", "/"), -1)).alias("name"))
-        chosen = checklist.workbook_choice(named.select(F.col("name").alias("path"), F.lit(0).alias("mtime"), F.lit(0).alias("length"))).first()
-        if chosen is None:
-            return None
-        name = chosen.path.split("/", 1)[1]
-        return books.where(F.element_at(F.split("path", "/"), -1) == name).select("sheet", "sheet_pos", "row", "cells")
+        return self.checklist(month)[0]
 
     def system_tree(self, month: str) -> DataFrame:
-        cells = self.cells(month)
+        cells, reason = self.checklist(month)
         if cells is None:
-            raise ValueError("No valid checklist workbook was found for this month.")
+            raise ValueError(reason)
         return checklist.expected_tree(checklist.checklist_rows(cells))
 
     def logs(self, month: str, **tables: DataFrame) -> dict[str, DataFrame]:
@@ -101,11 +126,33 @@ class Workspace:
         strictness = settings.pop("ocr_strictness")
         return inventory.monthly(self.files(month), self.cells(month), self.verdicts(), thresholds=settings, strictness=strictness, **tables)
 
+    def scan(self, month: str, **tables: DataFrame) -> str:
+        """Make the month's entries current below state/entries: one scan at a time, and cancel_scan() leaves the entries of the last."""
+
+        def work(step) -> DataFrame:
+            step()
+            return self.logs(month, **tables)["entries"].drop("pdf_names")
+
+        return self.jobs.run(month, work, f"{self.state_dir}/entries/{month}")
+
+    def cancel_scan(self) -> bool:
+        return self.jobs.cancel()
+
+    def scanned(self, month: str) -> DataFrame | None:
+        """The entries of the month's last whole scan."""
+        version = state.current(self.spark, f"{self.state_dir}/entries/{month}")
+        return None if version is None else self.spark.read.parquet(version)
+
+    def clear_caches(self, actor: str = "operator") -> None:
+        """Forget parsed workbooks; audited."""
+        self._remove("checklists")
+        self._audited("cache.cleared", actor)
+
     def report(self, month: str, **tables: DataFrame) -> str:
         found, settings = self.logs(month, **tables), self.thresholds()
         rows = self.spark.createDataFrame([(k, str(v)) for k, v in settings.items()], "engine string, value string")
         shown = report.report_tables(found["entries"], found["missing"], found["reconciliation"], rows)
-        return report.monthly_html(month, found["summary"], shown, zero_confidence=float(settings["zero_threat_confidence"]))
+        return report.monthly_html(month, found["summary"], shown, zero_confidence=float(settings["zero_threat_confidence"]), checklist_error=self.checklist(month)[1])
 
     def summary_of(self, path: str) -> str:
         """The text of one file, cut for display."""
