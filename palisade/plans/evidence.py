@@ -197,6 +197,15 @@ def match_assigned(spark, sf):
     return matching.assigned(matching.match_edges(*matchable(spark, sf))).select("path", "row_id", F.col("score").cast("bigint").alias("score"))
 
 
+#: The greedy pass itself: a system's edges in order, each kept unless its log or its row is taken.
+ASSIGNED_CTE = f"""{AMBIGUOUS_CTE}, item AS (SELECT system, {{'p': [path], 'r': [row_id], 's': [score]}} AS x, score, path, row_id FROM edges ANTI JOIN tie ON tie.path = edges.path),
+z AS (SELECT list_reduce(list(x ORDER BY score DESC, lower(path), row_id, path), lambda acc, one: CASE WHEN list_has_any(acc.p, one.p) OR list_has_any(acc.r, one.r) THEN acc ELSE {{'p': list_concat(acc.p, one.p), 'r': list_concat(acc.r, one.r), 's': list_concat(acc.s, one.s)}} END) AS z FROM item GROUP BY system),
+asg AS (SELECT unnest(z.p) AS path, unnest(z.r) AS row_id, unnest(z.s) AS score FROM z)"""
+ASSIGNED_SQL = f"WITH {ASSIGNED_CTE} SELECT path, row_id, score FROM asg"
+OUTCOMES_SQL = f"""WITH {ASSIGNED_CTE}, m AS (SELECT c.path, asg.path IS NOT NULL AS matched, tie.path IS NOT NULL AS tied, e.path IS NOT NULL AS known FROM c LEFT JOIN asg ON asg.path = c.path LEFT JOIN tie ON tie.path = c.path LEFT JOIN (SELECT DISTINCT path FROM edges) e ON e.path = c.path)
+SELECT tied OR known AND NOT matched AS ambiguous, CASE WHEN matched THEN '' WHEN tied THEN 'Multiple checklist rows matched with the same confidence.' WHEN known THEN 'The best checklist row was already assigned to other evidence.' ELSE 'No checklist row matched.' END AS reason, count(*) AS n FROM m GROUP BY ALL"""
+
+
 def match_outcomes(spark, sf):
     logs, rows = matchable(spark, sf)
     edges = matching.match_edges(logs, rows)
@@ -397,6 +406,8 @@ ORACLES = {
     "match_edges": EDGES_SQL,
     "match_ambiguous": AMBIGUOUS_SQL,
     "best_row": BEST_SQL,
+    "match_assigned": ASSIGNED_SQL,
+    "match_outcomes": OUTCOMES_SQL,
     "companion_reconcile": COMPANION_SQL,
     "coverage_counts": COUNTS_SQL,
     "coverage_tree": COVERAGE_SQL,

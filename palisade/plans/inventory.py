@@ -95,7 +95,8 @@ def monthly(files: DataFrame, cells: DataFrame | None = None, human_verdicts: Da
     found = cut(reconcile.with_companions(entries(files, **options)))
     spark = files.sparkSession
     rows = checklist.checklist_rows(cells) if cells is not None else spark.createDataFrame([], "id string, system string, location string, item string, pc_name string, tokens array<string>, av_software string, dat_version string, date_scan string, virus_found string, sheet string, row int, sheet_pos int")
-    rows, edges = cut(rows), cut(matching.match_edges(found, rows))
+    rows = cut(rows)
+    edges = matching.match_edges(found, rows)
     matched = matching.match_metadata(found, edges, matching.assigned(edges))
     found = found.join(matched.select("path", "row_id", F.col("ambiguous").alias("match_ambiguous"), F.col("reason").alias("match_reason")), "path", "left")
     wanted = rows.select(F.col("id").alias("row_id"), F.col("dat_version").alias("chk_dat"), F.col("date_scan").alias("chk_date"), "virus_found")

@@ -93,7 +93,7 @@ class ScanJobs:
         if not job:
             return False
         self._create(f"cancel-{job['job_id']}", "")
-        self.spark.interruptTag(job["job_id"])
+        self.spark.sparkContext.cancelJobsWithTag(job["job_id"])
         return True
 
     def cancel_requested(self, job_id: str) -> bool:
@@ -123,7 +123,7 @@ class ScanJobs:
             if self.cancel_requested(job_id):
                 raise ScanCancelled(job_id)
 
-        self.spark.addTag(job_id)
+        self.spark.sparkContext.addJobTag(job_id)
         try:
             self._write("progress", told | {"status": RUNNING})
             result = work(step)
@@ -138,7 +138,7 @@ class ScanJobs:
                 raise ScanCancelled(job_id) from error
             raise
         finally:
-            self.spark.removeTag(job_id)
+            self.spark.sparkContext.removeJobTag(job_id)
             self._write("progress", told | {"finished_at": now()})
             self._delete("lease")
             store, path = self._path(f"cancel-{job_id}")
