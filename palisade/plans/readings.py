@@ -92,13 +92,26 @@ def ocr_findings(spark, sf):
     return ocr.audits(t, ("high", "medium", "low")).select("strictness", F.col("image").cast("bigint").alias("user_id"), "status", "threat_result", "candidate_result")
 
 
-OCR_FINDINGS_SQL = """WITH p AS (SELECT * FROM (VALUES ('high', 0.90), ('medium', 0.70), ('low', 0.55)) AS t(strictness, positive)),
+OCR_POSITIVE_SQL = """WITH p AS (SELECT * FROM (VALUES ('high', 0.90), ('medium', 0.70), ('low', 0.55)) AS t(strictness, positive)),
 e AS (SELECT user_id, event_id % 3 AS n, round(0.3 + (event_id % 70) / 100.0, 2) AS c FROM events WHERE event_type = 'error'),
 u AS (SELECT DISTINCT user_id FROM events),
 s AS (SELECT strictness, u.user_id, count(*) FILTER (c >= positive AND n > 0) AS strong, count(*) FILTER (n > 0) AS weak FROM p CROSS JOIN u LEFT JOIN e ON e.user_id = u.user_id GROUP BY ALL)
 SELECT strictness, user_id, strong > 0 AS has_strong, weak > 0 AS has_weak FROM s"""
 
 
+#: A label's count is open while its confidence is below the pass's; a weak last marker keeps a lenient profile from a clean verdict unless a time repeats.
+OCR_FINDINGS_SQL = """WITH p AS (SELECT * FROM (VALUES ('high', 0.90, 0.50, 0.45), ('medium', 0.70, 0.50, 0.35), ('low', 0.55, 0.0, 0.0)) AS t(strictness, positive, zero, context)),
+e AS (SELECT user_id, event_id, ts, event_type, event_id % 3 AS n, round(0.3 + (event_id % 70) / 100.0, 2) AS c FROM events),
+k AS (SELECT strictness, any_value(context) AS context, user_id,
+  count(*) FILTER (event_type = 'error' AND c >= positive AND n > 0) AS strong, count(*) FILTER (event_type = 'error' AND c >= positive) AS sure, count(*) FILTER (event_type = 'error' AND c >= zero AND n > 0) AS least, count(*) FILTER (event_type = 'error' AND c >= zero) AS read,
+  count(*) FILTER (event_type = 'error' AND n > 0) AS weak, count(*) FILTER (event_type = 'error') AS labels, max(c) FILTER (event_type = 'click') AS mark, arg_max(c, {'t': ts, 'i': event_id}) FILTER (event_type = 'click') AS last_mark FROM p CROSS JOIN e GROUP BY strictness, user_id),
+d AS (SELECT user_id, max(m) AS most FROM (SELECT user_id, count(*) AS m FROM e WHERE event_type = 'click' GROUP BY user_id, date_trunc('day', ts)) GROUP BY user_id),
+r AS (SELECT k.*, CASE WHEN strong > 0 THEN 'positive' WHEN sure > 0 AND sure = labels THEN 'explicit_zero' ELSE 'unknown' END AS own, CASE WHEN least > 0 THEN 'positive' WHEN read > 0 AND read = labels THEN 'explicit_zero' ELSE 'unknown' END AS low,
+  coalesce(last_mark < context AND NOT (most >= 3 AND mark >= context), false) AS doubt FROM k LEFT JOIN d ON d.user_id = k.user_id)
+SELECT strictness, user_id, CASE WHEN strong > 0 THEN 'Threats Found' WHEN strictness = 'high' OR doubt THEN 'Manual Verification Needed' ELSE 'Clean' END AS status, CASE WHEN own <> 'positive' AND low = 'explicit_zero' THEN low ELSE own END AS threat_result,
+  CASE WHEN weak > 0 THEN 'positive' WHEN labels > 0 THEN 'explicit_zero' ELSE 'unknown' END AS candidate_result FROM r"""
+
+
 def ocr_positive(spark, sf):
     """Which screenshots have a trusted, and which any positive count, by strictness."""
     df = ocr_findings(spark, sf)
@@ -364,7 +377,8 @@ ORACLES = {
     "text_verdict": TEXT_SQL,
     "date_in_text": DATE_SQL,
     "ocr_rows": OCR_ROWS_SQL,
-    "ocr_positive": OCR_FINDINGS_SQL,
+    "ocr_positive": OCR_POSITIVE_SQL,
+    "ocr_findings": OCR_FINDINGS_SQL,
     "timestamp_consensus": CONSENSUS_SQL,
     "count_tokens": COUNT_SQL,
     "threat_state": STATE_SQL,
