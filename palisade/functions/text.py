@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: Systems by folder key, in order of precedence.
 SYSTEMS = {"radio": "RADIO", "cctv": "CCTV", "epm": "EPM", "info": "INFO", "net": "NET", "pbx": "PBX", "audio": "AUDIO", "voice": "VOICE", "fac": "FAC", "nvr": "NVR", "fw": "FW", "gw": "GW"}
+#: A date, a clock time, a dotted version.
+NO_COUNT = r"\b[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}\b|\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b|\b[0-9]{3,}\.[0-9]+\b"
 #: Words that say nothing about which device is meant.
 STOP_TOKENS = "pc client server system radio trellix mcafee clamwin nms user scan done yes no the and for rom".split()
 
@@ -133,4 +135,4 @@ def isolated_count(c: Column) -> Column:
 
 def is_no_count(c: Column) -> Column:
     """Whether a text shows a date, a clock time or a dotted version, so that its numbers are no counts."""
-    return F.rlike(c, F.lit(r"\b[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]{1,4}\b|\b[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\b|\b[0-9]{3,}\.[0-9]+\b"))
+    return F.rlike(c, F.lit(NO_COUNT))

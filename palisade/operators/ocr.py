@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from palisade.functions.text import lines_of, strings
+from palisade.functions.text import NO_COUNT, lines_of, strings
 from palisade.functions.versions import log_number
 from palisade.lineage import cut
 from palisade.operators import scan_text as T
@@ -30,7 +30,7 @@ from palisade.operators import scan_text as T
 BAND = 0.65
 LABEL, IGNORED = re.compile(T.LABEL, re.I), re.compile(T.IGNORED, re.I)
 # Wording in screenshots.
-NOT_A_COUNT = re.compile(r"\b\d{1,4}[/-]\d{1,2}[/-]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b|\b\d{3,}\.\d+\b")
+NOT_A_COUNT = re.compile(NO_COUNT)
 DAT_LABEL = re.compile(r"(?:\b(?:amcore|a[i1l]?core)|~core)\s+content\s+versi[oc]n\b|\b(?:anti[- ]?virus\s+dat\s+version|dat\s+version)\b", re.I)
 OTHER_LABEL = re.compile(r"\b(?:scan\s+engine|amcore\s+engine|engine|systemcore|mcafee\s+agent|endpoint\s+security)\s+version\b", re.I)
 CONTEXT = r"last\s+(?:full\s+|quick\s+)?scan|scan\s+(?:started|stopped|comp(?:l|[\]\|i1])?ete(?:d)?|su[mn]{1,2}ary)|scan\s+date|date\s+scanned"
