@@ -11,6 +11,8 @@ from palisade.operators import classify, parsers, verdicts
 from palisade.sources.evidence import csv_rows
 
 MTIME = "2026-05-31 12:00:00"
+#: Orders, or users or customers, whose rows make one rendered file: files grow in number with a table, not in size.
+ORDERS, PARTIES = 1000, 10
 
 
 def table(spark, sf: str, name: str) -> DataFrame:
@@ -108,7 +110,7 @@ SELECT user_id, CASE WHEN pos THEN 'Threats Found' WHEN zero AND NOT open THEN '
 
 
 def epo_files(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("file", F.col("l_suppkey") % 20)
+    rows = table(spark, sf, "lineitem").withColumn("file", F.floor(F.col("l_orderkey") / ORDERS))
     hours = F.when(F.col("l_quantity") < 2, "<1").otherwise(text(F.col("l_quantity"), "int"))
     line = F.concat_ws("  ", F.date_format("l_shipdate", "M/d/yyyy h:mm:ss a"), F.concat(text(4000 + F.col("l_partkey") % 1000), F.lit(".0")), hours, F.concat(F.lit("host-"), text(F.col("l_suppkey"))))
     return text_files(rows, "file", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"], line, head="On-Demand Full Scan Date   AMCore Content Version   System Name\n")
@@ -124,7 +126,7 @@ EPO_ROWS_SQL = """SELECT 'HOST-' || l_suppkey AS endpoint, CAST(4000 + l_partkey
 
 
 def pdf_systems(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("file", F.col("l_suppkey") % 20)
+    rows = table(spark, sf, "lineitem").withColumn("file", F.floor(F.col("l_orderkey") / ORDERS))
     dat, host = F.concat(text(4000 + F.col("l_partkey") % 1000), F.lit(".5")), F.concat(F.lit("SITE"), text(F.col("l_suppkey") % 7), F.lit("-PD"), text(F.col("l_suppkey")))
     date = F.date_format("l_shipdate", "M/d/yy h:mm:ss a")
     line = F.when(F.col("l_suppkey") % 2 == 0, F.concat_ws(" ", date, host, dat)).otherwise(F.concat_ws(" ", date, dat, F.lit("<1"), host))
@@ -132,8 +134,8 @@ def pdf_systems(spark, sf):
     return parsers.pdf_system_rows(files).select(F.col("source_id").cast("bigint").alias("file"), "name", "dat_version", dates.iso(F.col("last_scan")).alias("last_scan"))
 
 
-PDF_SQL = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) AS k FROM lineitem)
-SELECT l_suppkey % 20 AS file, 'SITE' || (l_suppkey % 7) || '-PD' || l_suppkey AS name, CAST(4000 + l_partkey % 1000 AS VARCHAR) || '.5' AS dat_version, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS last_scan FROM r WHERE k = 1"""
+PDF_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey // {ORDERS}, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) AS k FROM lineitem)
+SELECT CAST(l_orderkey // {ORDERS} AS BIGINT) AS file, 'SITE' || (l_suppkey % 7) || '-PD' || l_suppkey AS name, CAST(4000 + l_partkey % 1000 AS VARCHAR) || '.5' AS dat_version, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS last_scan FROM r WHERE k = 1"""
 
 
 def epo_total(spark, sf):
@@ -150,7 +152,7 @@ SELECT user_id, n AS threats_detected, CASE WHEN user_id % 5 <> 0 THEN strftime(
 
 
 def event_csv(spark, sf):
-    e = table(spark, sf, "events").withColumn("file", F.col("user_id") % 10)
+    e = table(spark, sf, "events").withColumn("file", F.floor(F.col("user_id") / PARTIES))
     event = F.when(F.col("event_type") == "click", "Manual Malware Scan Completed").when(F.col("event_type") == "error", "Malware Detected").otherwise("Malware rule updated")
     target = F.concat(F.when(F.col("event_type") == "error", "HOST").otherwise("host"), text(F.col("user_id")), F.lit(" (10.0.0."), text(F.col("user_id") % 250), F.lit(")"))
     explicit = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("\nThreats detected: "), text(F.col("event_id") % 2))).otherwise("")
@@ -164,15 +166,15 @@ def event_csv_scans(spark, sf):
     return runs.select(F.col("source_file_id").cast("bigint").alias("file"), "run_index", "endpoint", dates.iso(F.col("scan_completion_time")).alias("done"), "files_scanned", "threats_detected", F.size("threat_names").cast("bigint").alias("n_names"), "scan_type", "result_basis")
 
 
-EVENT_SQL = """WITH f AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id),
+EVENT_SQL = f"""WITH f AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id),
 c AS (SELECT e.*, coalesce(f.n, 0) AS n FROM events e LEFT JOIN f USING (user_id) WHERE event_type = 'click')
-SELECT user_id % 10 AS file, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS INTEGER) AS run_index, 'host' || user_id AS endpoint, strftime(ts, '%Y-%m-%d %H:%M:%S') AS done,
+SELECT CAST(user_id // {PARTIES} AS BIGINT) AS file, CAST(row_number() OVER (PARTITION BY user_id // {PARTIES} ORDER BY ts, event_id) - 1 AS INTEGER) AS run_index, 'host' || user_id AS endpoint, strftime(ts, '%Y-%m-%d %H:%M:%S') AS done,
   event_id AS files_scanned, CASE WHEN event_id % 7 = 0 THEN event_id % 2 ELSE n END AS threats_detected, n AS n_names, 'Quick' AS scan_type,
   CASE WHEN event_id % 7 = 0 THEN 'explicit_detection_count' WHEN n > 0 THEN 'trend_csv_detection_events' ELSE 'trend_csv_no_detection_events' END AS result_basis FROM c"""
 
 
 def generic_csv(spark, sf):
-    o = table(spark, sf, "orders").withColumn("file", F.col("o_custkey") % 10)
+    o = table(spark, sf, "orders").withColumn("file", F.floor(F.col("o_custkey") / PARTIES))
     date = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
     status = F.when(F.col("o_orderstatus") == "F", "Scan Complete").when(F.col("o_orderstatus") == "P", "Completed").otherwise("Running")
     count = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(text(F.col("o_orderkey") % 3))
@@ -185,7 +187,7 @@ def generic_csv_runs(spark, sf):
     return runs.select(F.col("source_file_id").cast("bigint").alias("file"), "run_index", "endpoint", dates.iso(F.col("scan_start_time")).alias("started"), "files_scanned", "threats_detected", "normalized_status", "original_status")
 
 
-GENERIC_SQL = """SELECT o_custkey % 10 AS file, CAST(row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey) - 1 AS INTEGER) AS run_index, 'PC' || o_custkey AS endpoint,
+GENERIC_SQL = f"""SELECT CAST(o_custkey // {PARTIES} AS BIGINT) AS file, CAST(row_number() OVER (PARTITION BY o_custkey // {PARTIES} ORDER BY o_orderkey) - 1 AS INTEGER) AS run_index, 'PC' || o_custkey AS endpoint,
   strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS started, o_orderkey AS files_scanned, o_orderkey % 3 AS threats_detected, CASE WHEN o_orderkey % 3 > 0 THEN 'Completed with detections' ELSE 'Completed clean' END AS normalized_status,
   CASE WHEN o_orderstatus = 'F' THEN 'Scan Complete' ELSE 'Completed' END AS original_status FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 5 <> 0"""
 
