@@ -299,7 +299,7 @@ def _linked(nodes: DataFrame, n: int, width: int, kind: str, threshold: float) -
     blocks = coded.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = goes.groupBy("list").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
     cells = written(blocks.join(parts, "list"), "cells")  # one row a list
-    cells = F.broadcast(cells) if small_enough(cells, 24) else cells
+    cells = F.broadcast(cells) if small_enough(cells) else cells
     at = lambda c: F.pmod(F.xxhash64("vec_id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     member = coded.withColumn("list", F.col("home")).join(cells, "list").select("list", at("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("visits"), "vec_id", "n", "size", "home", "codes", "error", "probes", "v")

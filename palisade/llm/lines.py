@@ -310,7 +310,7 @@ class LineIndex:
         filters = {r.shard: CuckooFilter.from_bytes(bytes(r.filter)) for r in self.filters.collect()}  # as large as measured
         held = rows.select("text").mapInArrow(_held_batches(filters, self.shards, self.min_chars), "digest binary").distinct()
         wrong = written(held.join(self.dropped_keys(), "digest", "left_anti"), "wrong-lines")
-        if not small_enough(wrong, 80):
+        if not small_enough(wrong):
             return self._apply_shuffled(rows)
         kind = rows.schema["doc_id"].dataType.simpleString()
         return rows.mapInArrow(_rewrite(filters, {bytes(r.digest) for r in wrong.collect()}, self.shards, self.min_chars), f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")

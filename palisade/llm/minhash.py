@@ -12,11 +12,13 @@ Equal word sequences are one node. Within a bucket each member is first paired
 with one hub, not with all others; what those pairs link is joined. Buckets that
 still hold several components are then searched whole, but only between
 components: all members outside the bucket's largest component against all
-others. Both sides are split into parts of about BLOCK, and the search compares
-the signatures of one part with those of another, settles survivors by the hashes of their
-whole sets, and only pairs that join two components leave it as rows, to be
-confirmed on the words. Pairs inside a component are never looked at, so no
-component is lost and no group is expanded into its pairs.
+others. Both sides are split into parts of about BLOCK, and signatures alone go to
+the cells where one part meets another. A cell asks for the sets of those of its documents that some
+signature leaves likely, settles them by the hashes of their whole sets, and only pairs
+that join two components leave it as rows, to be confirmed on the words. Pairs inside a
+component are never looked at, so no component is lost and no group is expanded into its pairs.
+
+Ids are read as whole numbers of 64 bits; an id that is none is an error in ANSI mode, else null.
 
 Defined cases: null text and texts without words have the empty set and link
 with nothing; one word is a set of one; rows that repeat a doc_id are one document
@@ -155,64 +157,96 @@ def _prune_batches(bounds: list[tuple[int, int]]):
     return run
 
 
+def _cells(names: list[str], kinds: list[pa.DataType], found):
+    """found(table) -> columns of each cell's rows, which come in order of main and block; an open cell is copied once, when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        last: tuple[int, int] | None = None
+
+        def closed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found(t), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block = batch.column("main").to_numpy(), batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])))).tolist()
+            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if parts and last != (key[i], block[i]):
+                    yield closed()
+                last = (key[i], block[i])
+                parts.append(batch.slice(i, j - i))
+        if parts:
+            yield closed()
+        trim_memory()
+
+    return run
+
+
+def _likely(t: pa.Table, bounds: list[tuple[int, int]], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, rows j by falling matches) of each rival i: those of other components whose sizes and signatures leave the threshold possible."""
+    rival, home = t.column("rival").to_numpy().astype(bool), t.column("home").to_numpy().astype(bool)
+    n, component = (t.column(c).to_numpy() for c in ("n", "component"))
+    signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, PERMUTATIONS)
+    others = np.flatnonzero(~rival | home)
+    for i in np.flatnonzero(rival).tolist():
+        fits = np.minimum(n[i], n[others]) * 100 >= np.maximum(n[i], n[others]) * percent
+        alive = others[(component[others] != component[i]) & fits]
+        matches, done = np.zeros(len(alive), np.int64), 0
+        for upto, least in bounds:
+            if not len(alive):
+                break
+            matches += (signs[alive, done:upto] == signs[i, done:upto]).sum(1)
+            keep = matches >= least
+            alive, matches, done = alive[keep], matches[keep], upto
+        if len(alive):
+            yield i, alive[np.argsort(-matches, kind="stable")]
+
+
+def _asking_batches(bounds: list[tuple[int, int]], percent: int):
+    """main, block, doc_id of the rows whose sets a cell has to see, from rows (main, block, rival, home, doc_id, n, component, signature)."""
+
+    def found(t: pa.Table) -> list:
+        asked = np.zeros(t.num_rows, bool)
+        for i, alive in _likely(t, bounds, percent):
+            asked[i] = True
+            asked[alive] = True
+        ids = np.unique(t.column("doc_id").to_numpy()[asked])
+        return [np.repeat(t.column(c)[0].as_py(), len(ids)) for c in ("main", "block")] + [ids]
+
+    return _cells(["main", "block", "doc_id"], [pa.int64()] * 3, found)
+
+
 def _search_batches(bounds: list[tuple[int, int]], percent: int):
-    """Pairs (a, b) that join components, from rows (main, block, rival, home, doc_id, n, component, signature, hashes) in order of main and block."""
+    """Pairs (a, b) that join components, from rows (main, block, rival, home, doc_id, n, component, signature, hashes)."""
 
     def similar(a: np.ndarray, b: np.ndarray) -> bool:
         both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def searched(t: pa.Table) -> list[tuple[int, int]]:
-        rival, home = t.column("rival").to_numpy().astype(bool), t.column("home").to_numpy().astype(bool)
-        ids, n, component = (t.column(c).to_numpy() for c in ("doc_id", "n", "component"))
-        signs = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, PERMUTATIONS)
+    def found(t: pa.Table) -> list:
+        ids, component = (t.column(c).to_numpy() for c in ("doc_id", "component"))
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("hashes")]
         up: dict[int, int] = {}
+        pairs = []
 
         def root(c: int) -> int:
             while c in up:
                 c = up[c]
             return c
 
-        others = np.flatnonzero(~rival | home)
-        found = []
-        for i in np.flatnonzero(rival).tolist():
-            fits = np.minimum(n[i], n[others]) * 100 >= np.maximum(n[i], n[others]) * percent
-            alive = others[(component[others] != component[i]) & fits]
-            matches, done = np.zeros(len(alive), np.int64), 0
-            for upto, least in bounds:
-                if not len(alive):
-                    break
-                matches += (signs[alive, done:upto] == signs[i, done:upto]).sum(1)
-                keep = matches >= least
-                alive, matches, done = alive[keep], matches[keep], upto
-            for j in alive[np.argsort(-matches, kind="stable")].tolist():
+        for i, alive in _likely(t, bounds, percent):
+            for j in alive.tolist():
                 x, y = root(int(component[i])), root(int(component[j]))
                 if x != y and similar(sets[i], sets[j]):
                     up[max(x, y)] = min(x, y)
-                    found.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
-        return found
+                    pairs.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+        return [[p[0] for p in pairs], [p[1] for p in pairs]]
 
-    def emitted(t: pa.Table) -> pa.RecordBatch:
-        found = searched(t)
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            key, block = rest.column("main").to_numpy(), rest.column("block").to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
-            for i, j in zip(starts[:-1], starts[1:], strict=True):
-                yield emitted(rest.slice(i, j - i))
-            rest = rest.slice(starts[-1])
-        if rest is not None and rest.num_rows:
-            yield emitted(rest)
-        rest = t = batch = None
-        trim_memory()
-
-    return run
+    return _cells(["a", "b"], [pa.int64()] * 2, found)
 
 
 def _verify_batches(n_words: int, percent: int):
@@ -298,6 +332,7 @@ class NearDuplicates:
         buckets = counts.groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
         buckets = written(buckets.select("key", F.col("largest.component").alias("main")), "open-buckets")
         rows = written(rows.join(buckets, "key").select("main", "doc_id", "n", "component").distinct(), "open")
+        ids = written(rows.select("doc_id").distinct(), "open-ids")
         rows = rows.withColumn("rival", F.col("component") != F.col("main"))
         parts_of = lambda side: F.greatest(F.lit(1), F.ceil(F.count_if(side) / BLOCK)).cast("int")
         parts = rows.groupBy("main").agg(parts_of(~F.col("rival")).alias("blocks"), parts_of(F.col("rival")).alias("rivals"))
@@ -310,12 +345,15 @@ class NearDuplicates:
         sought = F.transform(F.filter(F.sequence(F.lit(0), F.col("at")), lambda p: p < F.col("at")), lambda p: cell(p, own, F.lit(False)))
         plain = F.transform(F.sequence(F.lit(0), F.col("rivals") - 1), lambda p: cell(p, F.col("at"), F.lit(False)))
         rows = rows.withColumn("cell", F.explode(F.when(F.col("rival"), F.concat(seeker, sought)).otherwise(plain)))
-        rows = rows.select("main", "cell.block", F.col("cell.seeks").alias("rival"), "cell.home", "doc_id", "n", "component")
-        texts = semi(self.texts, written(rows.select("doc_id").distinct(), "open-ids"), ["doc_id"])
+        rows = written(rows.select("main", "cell.block", F.col("cell.seeks").alias("rival"), "cell.home", "doc_id", "n", "component"), "cells")
+        bounds, cell = least_matches(self.percent / 100), ["main", "block"]
+        signatures = written(semi(self.nodes.select("doc_id", "signature"), ids, ["doc_id"]), "open-signatures")
+        signed = rows.join(signatures, "doc_id").select(*rows.columns, "signature").repartition(*cell).sortWithinPartitions(*cell)
+        asked = written(signed.mapInArrow(_asking_batches(bounds, self.percent), "main long, block long, doc_id long"), "asking")
+        texts = semi(self.texts, written(asked.select("doc_id").distinct(), "asking-ids"), ["doc_id"])
         sets = written(texts.mapInArrow(_sign_batches(self.n_words, whole=True), "doc_id long, signature binary, hashes binary"), "open-sets")
-        rows = rows.join(sets, "doc_id").select("main", "block", "rival", "home", "doc_id", "n", "component", "signature", "hashes")
-        rows = rows.repartition("main", "block").sortWithinPartitions("main", "block")
-        return rows.mapInArrow(_search_batches(least_matches(self.percent / 100), self.percent), "a long, b long")
+        seen = rows.join(asked, [*cell, "doc_id"]).join(sets, "doc_id").select(*rows.columns, "signature", "hashes")
+        return seen.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_search_batches(bounds, self.percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:

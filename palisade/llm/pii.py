@@ -2,15 +2,18 @@ r"""Personal data: fixed shapes, and identifiers bootstrapped from their context
 
 Built-in functions only. Four kinds have fixed shapes (email, ip, card, phone).
 Their instances are the seeds of a graph between instances and lexical patterns,
-a pattern being the word, or the two words, in front of an instance. The graph is
+a pattern being the word, or the two words, in front of an instance or behind it.
+Words are parted by blanks, brackets, quotes and the signs , ; : = |, so a name that
+is joined to its value (email:a@b.c, id=X7101Q) is a pattern too, and an identifier
+does not hold the comma or the full stop behind it. The graph is
 scored until a round accepts no new pattern: a pattern's confidence is the share of all its occurrences
-in the corpus that precede an instance, each weighed by its score, and a new
+in the corpus that stand beside an instance, each weighed by its score, and a new
 instance's score is the noisy-or of its confident patterns. A pattern counts only
 with SUPPORT different instances of score 1 or discovered before. Identifier-like
 words that confident patterns reach are reported as kind context.
 
 Positions are running totals of the texts between matches, split off by the same
-pattern, and the words in front of a match are read from these texts, so the time
+pattern, and the words beside a match are read from these texts, so the time
 grows with a text's length. The graph has one row for each pattern and
 instance, counted before the shuffle; texts are never shuffled. Patterns are
 joined to the corpus's words by broadcast while they are measured to be few.
@@ -19,8 +22,8 @@ Spans are (kind, start, end) in code points, end exclusive.
 
 Defined cases: null text counts as empty and has no spans; rows that repeat a
 doc_id are searched each for itself; an empty table gives no rows; columns other
-than id and text are not read; an instance that no blank precedes has no pattern,
-nor has one whose preceding words run into the third match of its kind before it.
+than id and text are not read; an instance at the beginning or end of a text has no pattern
+on that side, nor has one whose words there run into the third match of its kind from it.
 """
 
 from __future__ import annotations
@@ -41,13 +44,16 @@ SHAPES = {
 }
 #: What a text must hold for a shape to be searched at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-WORD = r"[^\x20\x09-\x0D]"
-#: Words with a digit or @, whole.
-IDENTIFIER = rf"(?<!{WORD})[^\x20\x09-\x0D0-9@]*+[0-9@]{WORD}*+"
-BLANK = r"[\x20\x09-\x0D]"
+#: What parts words of contexts and identifiers: blanks, brackets, quotes and signs that join a name to its value.
+PARTING = r"\x20\x09-\x0D()<>\[\]{}\"'`,;:=|"
+WORD, BLANK = f"[^{PARTING}]", f"[{PARTING}]"
+#: Words with a digit or @, without signs that end a sentence behind them.
+IDENTIFIER = rf"(?<!{WORD})[^{PARTING}0-9@]*+[0-9@](?:{WORD}*[^{PARTING}.!?])?"
 SUPPORT, CONFIDENT, LEAST_DIGITS, SHORTEST = 5, 0.8, 4, 6
-#: Code points in which the words before a match are sought first, and a mark for where known text begins inside a word.
+#: Code points in which the words beside a match are sought first, and a mark for where known text begins inside a word.
 NEAR, TORN, FAR = 128, "\x01", 1 << 40
+#: In front of patterns that stand behind their instances; no word holds it.
+BEHIND = ">"
 
 
 def only_digits(s: Column) -> Column:
@@ -92,6 +98,22 @@ def patterns_before(m: Column, between: Column, i: Column) -> Column:
     return bound(words, lambda w: F.array(sound(F.element_at(w, -1)), F.when(F.size(w) > 1, sound(F.array_join(w, " "))).otherwise("")))
 
 
+def patterns_after(m: Column, between: Column, i: Column) -> Column:
+    """The word and the two words behind match i, marked as such, '' where there are none, from the texts around the matches after."""
+    close = F.substring(F.get(between, i + 1), 1, NEAR)
+    fast = F.regexp_extract(close, rf"^{BLANK}+({WORD}+{BLANK}+{WORD}+){BLANK}", 1)
+
+    def slow() -> Column:
+        piece = lambda a, k: F.coalesce(F.get(a, i + k), F.lit(""))
+        whole = F.concat(piece(between, 1), piece(m, 1), piece(between, 2), piece(m, 2), piece(between, 3), F.when(i + 3 < F.size(m), TORN).otherwise(""))
+        found = lambda w: bound(F.regexp_extract(w, rf"^{BLANK}+({WORD}+{BLANK}+{WORD}+)", 1), lambda two: F.when(two != "", two).otherwise(F.regexp_extract(w, rf"^{BLANK}+({WORD}+)", 1)))
+        return bound(whole, found)
+
+    words = bound(fast, lambda two: F.split(F.lower(F.when(two != "", two).otherwise(slow())), rf"{BLANK}+"))
+    sound = lambda p: F.when((p == "") | F.contains(p, F.lit(TORN)), "").otherwise(F.concat(F.lit(BEHIND), p))
+    return bound(words, lambda w: F.array(sound(F.get(w, F.lit(0))), F.when(F.size(w) > 1, sound(F.array_join(w, " "))).otherwise("")))
+
+
 def places(kind: str, text: Column, shape: str, valid) -> Column:
     """Marks of the matches of shape in text that are valid; failing matches are used up."""
     parts = F.struct(F.regexp_extract_all(text, F.lit(shape), F.lit(0)).alias("m"), F.split(text, shape, -1).alias("b"))
@@ -99,7 +121,7 @@ def places(kind: str, text: Column, shape: str, valid) -> Column:
     def marks(p: Column) -> Column:
         ends = running_sum(F.zip_with(F.slice(p["b"], 1, F.size(p["m"])), p["m"], lambda gap, m: (F.length(gap) + F.length(m)).cast("long")))
         rows = F.filter(F.transform(ends, lambda end, i: F.struct(end.alias("end"), i.alias("i"))), lambda r: valid(F.get(p["m"], r["i"])))
-        made = lambda r, m: F.struct(F.lit(kind).alias("kind"), (r["end"] - F.length(m)).alias("start"), r["end"].alias("end"), F.sha2(m, 256).alias("instance"), patterns_before(p["m"], p["b"], r["i"]).alias("patterns"))
+        made = lambda r, m: F.struct(F.lit(kind).alias("kind"), (r["end"] - F.length(m)).alias("start"), r["end"].alias("end"), F.sha2(m, 256).alias("instance"), F.concat(patterns_before(p["m"], p["b"], r["i"]), patterns_after(p["m"], p["b"], r["i"])).alias("patterns"))
         return F.transform(rows, lambda r: made(r, F.get(p["m"], r["i"])))
 
     return bound(parts, marks)
@@ -138,12 +160,12 @@ def searched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def pattern_totals(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """pattern, total: how often each of the patterns occurs in all texts."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    both = docs.select(words.alias("w")).select(F.explode(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("pattern"))
-    if small_enough(patterns, 120):
-        return both.join(F.broadcast(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
-    return both.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern", "left_semi")  # counted in each task before the shuffle
+    """words, total: how often each of the words or pairs of words occurs in all texts."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), rf"{BLANK}+"), lambda w: w != "")
+    both = docs.select(words.alias("w")).select(F.explode(F.concat("w", F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("words"))
+    if small_enough(patterns):
+        return both.join(F.broadcast(patterns), "words", "left_semi").groupBy("words").agg(F.count("*").alias("total"))
+    return both.groupBy("words").agg(F.count("*").alias("total")).join(patterns, "words", "left_semi")  # counted in each task before the shuffle
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -153,8 +175,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     graph = marks.select("instance", (F.col("kind") != "context").alias("seed"), F.explode("patterns").alias("pattern")).where("pattern <> ''")
     graph = written(graph.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "graph")
     wide = written(graph.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern"), "wide-patterns")
-    totals = written(pattern_totals(docs, text_col, wide), "pattern-totals")
-    graph = written(graph.join(totals, "pattern"), "wide-graph")
+    said = F.regexp_replace("pattern", f"^{BEHIND}", "").alias("words")
+    totals = written(pattern_totals(docs, text_col, written(wide.select(said).distinct(), "wide-words")), "pattern-totals")
+    graph = written(graph.join(wide.select("pattern", said).join(totals, "words").drop("words"), "pattern"), "wide-graph")
     scores = graph.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(0.0)).alias("score"))
     accepted = 0
     while True:

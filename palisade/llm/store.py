@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side is broadcast only while its measured rows take at most this many bytes.
 BROADCAST_BYTES = 8 << 20
@@ -108,11 +109,29 @@ def trim_memory() -> None:
         return
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether all rows, counted, fit in limit at row_bytes each."""
-    return df.count() * row_bytes <= limit
+#: What a row of a broadcast table takes besides its values.
+ROW_BYTES = 48
 
 
-def semi(df: DataFrame, keys: DataFrame, on: list[str], row_bytes: int = 48, how: str = "left_semi") -> DataFrame:
+def measured(df: DataFrame) -> int:
+    """Bytes that the rows of df take in a broadcast, from the lengths of their values."""
+
+    def width(f):
+        kind = f.dataType
+        value = F.col(f"`{f.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(value)
+        return F.octet_length(F.to_json(F.struct(value))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.lit(8)
+
+    row = sum((F.coalesce(width(f), F.lit(0)) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df, measured, fit in limit."""
+    return measured(df) <= limit
+
+
+def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join; keys (a written table) is broadcast when its measured size allows, else both sides shuffle."""
-    return df.join(F.broadcast(keys) if small_enough(keys, row_bytes) else keys, on, how)
+    return df.join(F.broadcast(keys) if small_enough(keys) else keys, on, how)
