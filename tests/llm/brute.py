@@ -71,5 +71,50 @@ def personal(text):
     return [(k, *m.span()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text or "") if ok(m[0])]
 
 
+PARTS = r"[\x20\x09-\x0D()<>\[\]{}\"'`,;:=|]+"
+
+
+def contexts(docs, support, confident):
+    """doc_id -> context spans: the graph of instances and the one or two words on either side, scored until nothing changes."""
+    from collections import Counter, defaultdict
+    from math import prod
+
+    totals, edges, found = Counter(), Counter(), defaultdict(list)
+    seeds = set()
+    tokens = lambda s: [w for w in re.split(PARTS, s.lower()) if w]
+    for i, text in docs:
+        text = text or ""
+        words = tokens(text)
+        totals.update(words), totals.update(" ".join(p) for p in zip(words, words[1:], strict=False))
+        base = [(a, b) for _, a, b in personal(text)]
+        other = [(m.start(), m.start() + len(m[0].rstrip(".!?"))) for m in re.finditer(PARTS.replace("[", "[^", 1), text) if re.search("[0-9@]", m[0])]
+        other = [(a, b) for a, b in other if b - a >= 6 and ("@" in text[a:b] or len(re.sub("[^0-9]", "", text[a:b])) >= 4) and not any(a < d and c < b for c, d in base)]
+        for kind, spans in ((True, base), (False, other)):
+            for a, b in spans:
+                value = text[a:b]
+                if kind:
+                    seeds.add(value)
+                else:
+                    found[i].append((a, b, value))
+                left = tokens(text[:a]) if re.search(PARTS + "$", text[:a]) else []
+                right = tokens(text[b:]) if re.match(PARTS, text[b:]) else []
+                near = [" ".join(left[-n:]) for n in (1, 2) if len(left) >= n] + [">" + " ".join(right[:n]) for n in (1, 2) if len(right) >= n]
+                edges.update((p, value) for p in near)
+    degree = Counter(p for p, _ in edges)
+    edges = {e: n for e, n in edges.items() if degree[e[0]] >= support}
+    score = {v: float(v in seeds) for _, v in edges}
+    good = {}
+    while True:
+        sums, known = Counter(), Counter()
+        for (p, v), n in edges.items():
+            sums[p] += n * score[v]
+            known[p] += score[v] >= confident
+        before, good = good, {p: min(0.999, sums[p] / totals[p.removeprefix(">")]) for p in sums if known[p] >= support and sums[p] / totals[p.removeprefix(">")] >= confident}
+        score = {v: 1.0 if v in seeds else 1 - prod(1 - good.get(p, 0) for p, w in edges if w == v) for v in score}
+        if len(before) == len(good):
+            break
+    return {i: [(a, b) for a, b, v in found[i] if v not in seeds and score.get(v, 0) >= confident] for i, _ in docs}
+
+
 def joined(spans):
     return ",".join(":".join(map(str, s)) for s in spans)

@@ -301,6 +301,25 @@ def test_rivals_without_links_are_searched_in_bounded_groups(spark, monkeypatch)
     assert got == near([*texts, (150, texts[0][1] + " more")]) and got[150][1] == 0
 
 
+def test_templates_below_the_threshold_move_signatures_alone(spark, monkeypatch):
+    """5,000 documents of one template that all share buckets and link with nothing: no cell asks for a set, and rows grow as rivals by parts."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(5000):
+        words = [f"w{i}" for i in range(60)]
+        for at in rng.choice(29, 8, replace=False):
+            words[2 * at] = f"v{k}x{at}"
+        texts.append((k, " ".join(words)))
+    made = {}
+    plain = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: made.setdefault(name, plain(df, name)) if name in ("cells", "asking", "open-sets", "open-ids") else plain(df, name))
+    rows = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), n_words=2)
+    assert rows.where("component_id <> doc_id").count() == 0
+    rivals = made["open-ids"].count()
+    assert rivals > 4900 and made["asking"].count() == made["open-sets"].count() == 0
+    assert made["cells"].count() <= minhash.BANDS * rivals
+
+
 def test_bounds_lose_no_more_than_promised():
     from math import comb
 
@@ -403,14 +422,16 @@ def test_pii_is_linear_in_spans(spark):
 
 
 def test_pii_contexts(spark):
-    """Words in front of instances, near and far, next to other instances and torn; identifiers over base spans are no candidates."""
+    """Words beside instances, near and far, next to other instances and torn; identifiers over base spans are no candidates."""
     far = "x" * 300
-    texts = ["mail to a@b.c", f"{far} {far} a@b.c", "a@b.c d@e.f g@h.i", "one\t a@b.c", "a@b.c", "email:a@b.c", "see 1.2.3.4 5.6.7.8"]
+    texts = ["mail to a@b.c", f"{far} {far} a@b.c", "a@b.c d@e.f g@h.i", "one\t a@b.c", "a@b.c", "(email:a@b.c)", "see 1.2.3.4 5.6.7.8", "a@b.c, is mine now", f"a@b.c {far} {far} end", "a@b.c d@e.f g@h.i j@k.l"]
     rows = pii.searched(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
     got = {r.doc_id: [[p for p in m.patterns if p] for m in r.marks if m.kind != "context"] for r in rows.collect()}
     assert got[0] == [["to", "mail to"]] and got[1] == [[far, f"{far} {far}"]] and got[3] == [["one"]]
-    assert got[2] == [[], ["a@b.c"], ["d@e.f", "a@b.c d@e.f"]] and got[4] == [[]] and got[5] == [[]]
-    assert got[6] == [["see"], ["1.2.3.4", "see 1.2.3.4"]]
+    assert got[2] == [[">d@e.f", ">d@e.f g@h.i"], ["a@b.c", ">g@h.i"], ["d@e.f", "a@b.c d@e.f"]] and got[4] == [[]] and got[5] == [["email"]]
+    assert got[6] == [["see", ">5.6.7.8"], ["1.2.3.4", "see 1.2.3.4"]]
+    assert got[7] == [[">is", ">is mine"]] and got[8] == [[f">{far}", f">{far} {far}"]]
+    assert got[9][0] == [">d@e.f", ">d@e.f g@h.i"] and got[9][3] == ["g@h.i", "d@e.f g@h.i"]
     words = " ".join(f"id{10000 + i} 10.0.0.{i % 250}" for i in range(600))
     marks = pii.searched(spark.createDataFrame([(1, words)], "doc_id long, text string"), "doc_id", "text").first().marks
     taken = [(m.start, m.end) for m in marks if m.kind != "context"]
@@ -418,6 +439,24 @@ def test_pii_contexts(spark):
     assert len(taken) == 600 and free == [f"id{10000 + i}" for i in range(600)]
 
 
+def test_pii_graph_against_brute_force(spark):
+    """Context spans of a table: names joined to values, words behind, several hops, sentence ends, patterns too common to count."""
+    from brute import contexts
+
+    rng = np.random.default_rng(11)
+    number = lambda k: f"K{50_000 + k}Z"
+    texts = [f"write, email:u{k}@mail.example or later" for k in range(8)]
+    texts += [f"write, email:{number(k)}; or id={number(k)}." for k in range(8)]  # learnt by email, which teach id
+    texts += [f"see (id={number(100 + k)}), then {number(200 + k)} holder said" for k in range(8)]  # known by id; then is common
+    texts += [f"call {number(k)} holder said no" for k in range(8)] + [f"room {number(300 + k)} holder said. Yes" for k in range(4)]  # behind
+    texts += [f"then chapter{1000 + k} and email lists then {''.join(map(str, rng.integers(0, 9, 6)))}" for k in range(12)]
+    rows = list(enumerate([*texts, None, "", "email:", f"email:{number(900)}"]))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "context"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = contexts(rows, pii.SUPPORT, pii.CONFIDENT)
+    assert got == want and sum(map(len, want.values())) > 30
+    assert all(texts[i][a:b].startswith("K") and texts[i][a:b].endswith("Z") for i in range(len(texts)) for a, b in got[i])
+
+
 def test_vectors(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [0.0, 1.0]), (10, [0.0, 1.0])]
