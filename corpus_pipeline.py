@@ -41,7 +41,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; rows that repeat a doc_id as often as the one taken most."""
     copies = written(mixing.mixed(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies")), "mix")
-    few = F.broadcast(copies) if small_enough(copies, 24) else copies
+    few = F.broadcast(copies) if small_enough(copies) else copies
     taken = docs.join(few, docs["doc_id"] == copies["mixed_id"])
     return taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mixed_copies"))).select(*[docs[c] for c in docs.columns])
 
