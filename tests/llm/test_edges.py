@@ -445,15 +445,15 @@ def test_pii_graph_against_brute_force(spark):
 
     rng = np.random.default_rng(11)
     number = lambda k: f"K{50_000 + k}Z"
-    texts = [f"write, email:u{k}@mail.example or later" for k in range(8)]
+    texts = [f"write, email:u{k}@mail.example or later" for k in range(60)]
     texts += [f"write, email:{number(k)}; or id={number(k)}." for k in range(8)]  # learnt by email, which teach id
-    texts += [f"see (id={number(100 + k)}), then {number(200 + k)} holder said" for k in range(8)]  # known by id; then is common
+    texts += [f"see (id={number(100 + k)}), then {number(200 + k)} holder said" for k in range(1)]  # known by id; then is common
     texts += [f"call {number(k)} holder said no" for k in range(8)] + [f"room {number(300 + k)} holder said. Yes" for k in range(4)]  # behind
-    texts += [f"then chapter{1000 + k} and email lists then {''.join(map(str, rng.integers(0, 9, 6)))}" for k in range(12)]
+    texts += [f"then chapter{1000 + k} and post lists then {''.join(map(str, rng.integers(0, 9, 6)))}" for k in range(12)]
     rows = list(enumerate([*texts, None, "", "email:", f"email:{number(900)}"]))
     got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "context"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = contexts(rows, pii.SUPPORT, pii.CONFIDENT)
-    assert got == want and sum(map(len, want.values())) > 30
+    assert got == want and sum(map(len, want.values())) > 20
     assert all(texts[i][a:b].startswith("K") and texts[i][a:b].endswith("Z") for i in range(len(texts)) for a, b in got[i])
 
 
