@@ -19,7 +19,7 @@ from palisade.llm.store import semi, small_enough, written
 
 def without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """docs but for the ids of decisions (doc_id): a broadcast while these are measured to be few, else a join."""
-    return semi(docs, written(decisions.select("doc_id").distinct(), "dropped-ids"), ["doc_id"], row_bytes=24, how="left_anti")
+    return semi(docs, written(decisions.select("doc_id").distinct(), "dropped-ids"), ["doc_id"], how="left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
