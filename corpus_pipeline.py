@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from palisade.llm.store import semi, small_enough, written
+from palisade.llm.store import join_ids, written
 
 
 def without(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs but for the ids of decisions (doc_id): a broadcast while these are measured to be few, else a join."""
-    return semi(docs, written(decisions.select("doc_id").distinct(), "dropped-ids"), ["doc_id"], how="left_anti")
+    """docs but for the ids of decisions (doc_id)."""
+    return join_ids(docs, written(decisions.select("doc_id").distinct(), "dropped-ids"), "doc_id", "left_anti")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; rows that repeat a doc_id as often as the one taken most."""
-    copies = written(mixing.mixed(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies")), "mix")
-    few = F.broadcast(copies) if small_enough(copies) else copies
-    taken = docs.join(few, docs["doc_id"] == copies["mixed_id"])
+    copies = written(mixing.mixed(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mixed_copies")), "mix")
+    taken = join_ids(docs, copies, "doc_id")
     return taken.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mixed_copies"))).select(*[docs[c] for c in docs.columns])
 
 

@@ -10,7 +10,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +135,39 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join; keys (a written table) is broadcast when its measured size allows, else both sides shuffle."""
     return df.join(F.broadcast(keys) if small_enough(keys) else keys, on, how)
+
+
+#: Bytes of the bitmap that Spark makes of each 32,768 neighbouring numbers.
+BITMAP_BYTES = 4096
+
+
+def bitmaps(ids: DataFrame, key: str) -> DataFrame | None:
+    """bucket, bits of the ids in column key, a row for each 32,768 neighbours and each value of the other columns; None if they are not whole numbers or lie too far apart to be broadcast so."""
+    if not isinstance(ids.schema[key].dataType, T.IntegralType):
+        return None
+    others = [c for c in ids.columns if c != key]
+    rows = ids.where(F.col(key).isNotNull()).select(F.bitmap_bucket_number(key).alias("bucket"), F.bitmap_bit_position(key).alias("bit"), *others)
+    if rows.select("bucket", *others).distinct().count() * (BITMAP_BYTES + ROW_BYTES + 8 * len(ids.columns)) > BROADCAST_BYTES:
+        return None
+    # ids travel, not the mostly empty bitmaps of single tasks
+    return written(rows.repartition("bucket").groupBy("bucket", *others).agg(F.bitmap_construct_agg("bit").alias("bits")), "bitmaps")
+
+
+def has_bit(value: Column, bits: Column) -> Column:
+    """Whether the bitmap of value's bucket holds value."""
+    at = F.bitmap_bit_position(value)
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+
+
+def join_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """df joined with ids (a written table: distinct ids in column key, in other columns few different numbers) on key.
+
+    ids is broadcast when its measured size allows, or else as bitmaps, about a bit an id where ids are dense; else both sides shuffle.
+    """
+    side, on = ids, df[key] == ids[key]
+    few = small_enough(ids)
+    if not few and (packed := bitmaps(ids, key)) is not None:
+        few, side, on = True, packed, (F.bitmap_bucket_number(df[key]) == packed["bucket"]) & has_bit(df[key], packed["bits"])
+    others = [side[c] for c in ids.columns if c != key and how == "inner"]
+    return df.join(F.broadcast(side) if few else side, on, how).select(*[df[c] for c in df.columns], *others)

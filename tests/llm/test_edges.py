@@ -554,6 +554,44 @@ def test_stages(spark, docs, empty, labels, tmp_path):
         assert bool(out) == (frame is docs)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_stay_in_place_for_ids_beyond_a_broadcast(spark):
+    n = 200_000  # beyond BROADCAST_BYTES as a list of ids
+    docs = store.written(spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int"))).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source")), "docs")
+    out = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+    taken = mixing.mixed(docs).where("copies > 0").select("doc_id", "copies")
+    counts = out.groupBy("doc_id").agg(F.count("*").alias("copies"))
+    assert counts.exceptAll(taken).count() == taken.exceptAll(counts).count() == 0
+    assert out.agg(F.sum("doc_id"), F.count("text")).first() == taken.agg(F.sum(F.col("doc_id") * F.col("copies")), F.sum("copies")).first()
+    out = corpus_pipeline.without(docs, docs.where("doc_id % 5 > 0"))
+    assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+    assert out.agg(F.count("*"), F.min(F.col("doc_id") % 5), F.max(F.col("doc_id") % 5)).first() == (n // 5, 0, 0)
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_ids_as_bitmaps(spark, monkeypatch, kind):
+    edges = [0, 1, -1, 7, 8, 32767, 32768, 32769, -32767, -32768, -32769, 2**31 - 1, -(2**31)] + [2**63 - 1, -(2**63)] * (kind == "long")
+    values = sorted({v + k for v in edges for k in (-1, 0, 1) if abs(v) < 2**20} | set(edges))
+    cast = str if kind == "string" else int
+    docs = spark.createDataFrame([(cast(v), i) for i, v in enumerate(values)] + [(cast(7), -1), (None, -2)], f"doc_id {kind}, bits int")
+    chosen = store.written(spark.createDataFrame([(cast(v), i % 2 + 1) for i, v in enumerate(values) if i % 3] + [(None, 1)], f"doc_id {kind}, n int"), "chosen")
+    take = {cast(v): i % 2 + 1 for i, v in enumerate(values) if i % 3}
+    rows = [tuple(r) for r in docs.collect()]
+    monkeypatch.setattr(store, "small_enough", lambda df: False)
+    assert (store.bitmaps(chosen, "doc_id") is None) == (kind == "string")
+    for limit in (store.BROADCAST_BYTES, 1):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", limit)
+        got = lambda how: sorted(map(tuple, store.join_ids(docs, chosen, "doc_id", how).collect()), key=str)  # noqa: B023, E731
+        assert got("inner") == sorted([(*r, take[r[0]]) for r in rows if r[0] in take], key=str)
+        assert got("left_semi") == sorted([r for r in rows if r[0] in take], key=str)
+        assert got("left_anti") == sorted([r for r in rows if r[0] not in take], key=str)
+    assert store.bitmaps(chosen, "doc_id") is None
+
+
 def test_shared_tables_are_released(spark):
     import os
 
