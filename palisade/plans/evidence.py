@@ -181,7 +181,7 @@ EDGES_SQL = f"WITH {EDGES_CTE} SELECT path, row_id, system, score FROM edges"
 
 
 def match_ambiguous(spark, sf):
-    return matching.ambiguous(matching.match_edges(*matchable(spark, sf))).select("path", F.col("score").cast("bigint").alias("score"))
+    return matching.best_of(matching.matches(*matchable(spark, sf))).where("tied").select("path", F.col("score").cast("bigint").alias("score"))
 
 
 AMBIGUOUS_CTE = f"{EDGES_CTE}, tie AS (SELECT path, score FROM (SELECT *, max(score) OVER (PARTITION BY path) AS best FROM edges) WHERE score = best GROUP BY path, score HAVING count(DISTINCT target) > 1)"
