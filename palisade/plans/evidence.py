@@ -138,6 +138,13 @@ def matchable(spark, sf: str) -> tuple[DataFrame, DataFrame]:
     return paths.inventory(cut(evidence(spark, sf).select("path").repartition("path"))), checklist.checklist_rows(cells(spark, sf))
 
 
+def found_best(spark, sf: str) -> tuple[DataFrame, matching.Matches, DataFrame]:
+    """Logs, their matches, and the best of each."""
+    logs, rows = matchable(spark, sf)
+    found = matching.matches(logs, rows)
+    return logs, found, cut(matching.best_of(found))
+
+
 def match_edges(spark, sf):
     return matching.match_edges(*matchable(spark, sf)).select("path", "row_id", "system", F.col("score").cast("bigint").alias("score"))
 
@@ -196,7 +203,8 @@ BEST_SQL = f"WITH {EDGES_CTE} SELECT path, row_id, score FROM (SELECT *, row_num
 
 
 def match_assigned(spark, sf):
-    return matching.assigned(matching.match_edges(*matchable(spark, sf))).select("path", "row_id", F.col("score").cast("bigint").alias("score"))
+    _, found, best = found_best(spark, sf)
+    return matching.assigned_of(found, best).select("path", "row_id", F.col("score").cast("bigint").alias("score"))
 
 
 #: The greedy pass itself: a system's edges in order, each kept unless its log or its row is taken.
