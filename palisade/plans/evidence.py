@@ -217,9 +217,8 @@ SELECT tied OR known AND NOT matched AS ambiguous, CASE WHEN matched THEN '' WHE
 
 
 def match_outcomes(spark, sf):
-    logs, rows = matchable(spark, sf)
-    edges = matching.match_edges(logs, rows)
-    return matching.match_metadata(logs, edges, matching.assigned(edges)).groupBy("ambiguous", "reason").agg(F.count("*").alias("n"))
+    logs, found, best = found_best(spark, sf)
+    return matching.outcomes(logs, best, matching.assigned_of(found, best)).groupBy("ambiguous", "reason").agg(F.count("*").alias("n"))
 
 
 def entries(spark, sf: str) -> DataFrame:
