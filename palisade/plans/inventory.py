@@ -96,8 +96,9 @@ def monthly(files: DataFrame, cells: DataFrame | None = None, human_verdicts: Da
     spark = files.sparkSession
     rows = checklist.checklist_rows(cells) if cells is not None else spark.createDataFrame([], "id string, system string, location string, item string, pc_name string, tokens array<string>, av_software string, dat_version string, date_scan string, virus_found string, sheet string, row int, sheet_pos int")
     rows = cut(rows)
-    edges = matching.match_edges(found, rows)
-    matched = matching.match_metadata(found, edges, matching.assigned(edges))
+    scored = matching.matches(found, rows)
+    best = cut(matching.best_of(scored))
+    matched = matching.outcomes(found, best, matching.assigned_of(scored, best))
     found = found.join(matched.select("path", "row_id", F.col("ambiguous").alias("match_ambiguous"), F.col("reason").alias("match_reason")), "path", "left")
     wanted = rows.select(F.col("id").alias("row_id"), F.col("dat_version").alias("chk_dat"), F.col("date_scan").alias("chk_date"), "virus_found")
     found = found.join(wanted, "row_id", "left")
@@ -109,7 +110,7 @@ def monthly(files: DataFrame, cells: DataFrame | None = None, human_verdicts: Da
     tree = coverage.tree_status(checklist.expected_tree(rows).select("system", "location", "expected"), coverage.counts(placed), coverage.unknown_systems(placed))
     return {
         "entries": placed,
-        "edges": edges,
+        "edges": matching.edges_of(scored),
         "tree": tree,
         "missing": coverage.missing_alerts(tree),
         "reconciliation": coverage.reconciliation(placed, tree),
